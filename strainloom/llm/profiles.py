@@ -1,0 +1,47 @@
+"""Allele profiles as NumPy matrices inside tasks: decoding and the missing-aware distance."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+#: Loci of a profile; shorter or longer arrays are cut or filled with missing values.
+LOCI = 240
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, loci: int = LOCI) -> np.ndarray:
+    """int16 matrix of an array<smallint> column; null arrays, null and non-positive values are 0 (missing)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    out = np.zeros((len(column), loci), np.int16)
+    flat = column.values.fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    lengths[np.asarray(column.is_null())] = 0
+    if len(column) and (lengths == loci).all():
+        out[:] = flat[offsets[0] : offsets[0] + loci * len(column)].reshape(-1, loci)
+    else:
+        for i, n in enumerate(lengths):
+            n = min(n, loci)
+            out[i, :n] = flat[offsets[i] : offsets[i] + n]
+    out[out < 0] = 0
+    return out
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row: among the loci above 0 in both, the share with different values; 1 if there are none."""
+    both = (a > 0) & (b > 0)
+    n = both.sum(1)
+    return np.where(n > 0, ((a != b) & both).sum(1) / np.maximum(n, 1), 1.0)
+
+
+def pack(rows: np.ndarray) -> list[bytes]:
+    """Rows as bytes, low bytes before high bytes, which compresses better."""
+    low, high = (rows & 255).astype(np.uint8), (rows >> 8).astype(np.uint8)
+    both = np.hstack([low, high])
+    return [r.tobytes() for r in both]
+
+
+def unpack(blobs, loci: int = LOCI) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 2 * loci)
+    return raw[:, :loci].astype(np.int16) | (raw[:, loci:].astype(np.int16) << 8)

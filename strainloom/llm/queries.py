@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strainloom.functions.text import accession_key, outbreak_key, site_key
 from strainloom.llm.canonical import map_to_reference, unmatched_values
+from strainloom.llm.neighbours import nearest_profiles
+from strainloom.llm.overlap import cross_split_pairs
 from strainloom.llm.splits import related_groups, split_by_weight
 from strainloom.session import cut, read_table
 
@@ -58,5 +60,36 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "split_targets").join(got, "split_name", "left").select("split_name", "target_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares}
+#: Fixed values of the problem: allele distances of near-identical profiles, neighbours of a profile.
+SAME_DISTANCE, NEAR_DISTANCE, NEIGHBOURS = 0.02, 0.05, 5
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = read_table(spark, sf_dir, TRAIN), read_table(spark, sf_dir, TEST)
+    near = cross_split_pairs(train, test, "profile_id", "alleles", SAME_DISTANCE).select("train_id", "eval_id")
+    keys = [t.select(F.col("profile_id").alias(name), accession_key(F.col("barcode")).alias("acc")).where("acc is not null") for t, name in ((train, "train_id"), (test, "eval_id"))]
+    same = keys[0].join(keys[1], "acc").select("train_id", "eval_id")
+    meta = read_table(spark, sf_dir, META).where("hc5 > 0").select(accession_key(F.col("biosample_acc")).alias("acc"), "hc5").where("acc is not null").distinct()
+    hc5 = [k.join(meta, "acc").drop("acc").distinct() for k in keys]
+    cluster = hc5[0].join(hc5[1], "hc5").select("train_id", "eval_id")
+    pairs = near.unionByName(same).unionByName(cluster).distinct()
+    return pairs.select(F.least("train_id", "eval_id").alias("profile_a"), F.greatest("train_id", "eval_id").alias("profile_b"))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping profiles and overlaps of each split and source."""
+    pairs = cut(p5_found(spark, sf_dir))
+    ends = pairs.select(F.explode(F.array("profile_a", "profile_b")).alias("profile_id")).groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = [read_table(spark, sf_dir, t).select(F.lit(s).alias("split_name"), "profile_id", "source") for t, s in ((TRAIN, "training"), (TEST, "testing"))]
+    sized = rows[0].unionByName(rows[1]).join(ends, "profile_id", "left")
+    return sized.groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("n_profiles"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = read_table(spark, sf_dir, TRAIN).select("profile_id", "alleles").unionByName(read_table(spark, sf_dir, TEST).select("profile_id", "alleles"))
+    near = nearest_profiles(both, "profile_id", "alleles", NEIGHBOURS, NEAR_DISTANCE)
+    return near.select(F.least("profile_id", "neighbour").alias("profile_a"), F.greatest("profile_id", "neighbour").alias("profile_b")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found}
 SQL: dict[str, str] = {}
