@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strainloom.llm.profiles import LOCI, distances, matrix, pack, unpack
+from strainloom.session import BROADCAST_ROWS, cut
 
 #: Profiles of the sample on which the lists are fitted (a bound, whatever the table's size), and k-means rounds.
 SAMPLE, ROUNDS = 20_000, 3
 #: Profiles a list should hold, the most lists, lists that a profile enters.
 LIST_SIZE, MAX_LISTS, PROBES = 100, 1024, 2
 #: A list that is expected to hold more is cut into blocks of this size; each pair of blocks is one group.
-BLOCK = 2048
+BLOCK = 8192
 #: Columns after which candidates are tested, and the width of the test.
 COLUMNS, EPSILON = (32, 64, 128, LOCI), 2.1
 ROTATION_SEED = 7
@@ -42,22 +43,27 @@ def sign_vectors(x: np.ndarray) -> np.ndarray:
 
 
 def fit_lists(vectors: np.ndarray, n_lists: int) -> np.ndarray:
-    """k-means centres of the sample."""
+    """Spherical k-means centres of the sample."""
     rng = np.random.default_rng(ROTATION_SEED)
     centres = vectors[rng.choice(len(vectors), min(n_lists, len(vectors)), replace=False)]
     for _ in range(ROUNDS):
+        centres = _unit(centres)
         own = nearest_lists(vectors, centres, 1)[:, 0]
         sums = np.zeros_like(centres)
         np.add.at(sums, own, vectors)
-        counts = np.bincount(own, minlength=len(centres))[:, None]
-        centres = np.where(counts > 0, sums / np.maximum(counts, 1), centres)
-    return centres
+        centres = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, sums, centres)
+    return _unit(centres)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
 
 
 def nearest_lists(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
-    score = vectors @ centres.T - 0.5 * (centres * centres).sum(1)
+    """Places of the centres with the smallest angle (by length, short centres would draw in all outliers)."""
+    score = vectors @ centres.T
     probes = min(probes, len(centres))
-    return np.argsort(-score, 1, kind="stable")[:, :probes] if probes > 1 else score.argmax(1)[:, None]
+    return np.argpartition(-score, probes - 1, 1)[:, :probes] if probes > 1 else score.argmax(1)[:, None]
 
 
 def scan(xa: np.ndarray, xb: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +124,8 @@ def nearest_profiles(profiles: DataFrame, id_col: str, alleles: str, k: int, lim
     w1, w2 = Window.partitionBy("rep", "salt").orderBy("id"), Window.partitionBy("rep").orderBy("id")
     few = salted.withColumn("r", F.row_number().over(w1)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(w2)).where(F.col("r") <= k + 1)
     firsts = few.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    reps = known.join(members.where("id <> rep").select("id"), "id", "left_anti")
+    extra = cut(members.where("id <> rep").select("id"))
+    reps = known.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra, "id", "left_anti")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
