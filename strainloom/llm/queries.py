@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strainloom.functions.text import accession_key, outbreak_key, site_key
 from strainloom.llm.canonical import map_to_reference, unmatched_values
+from strainloom.llm.lookalike import canonical_texts, look_alike_pairs
 from strainloom.llm.neighbours import nearest_profiles
 from strainloom.llm.overlap import cross_split_pairs
 from strainloom.llm.splits import related_groups, split_by_weight
@@ -91,5 +92,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("profile_id", "neighbour").alias("profile_a"), F.greatest("profile_id", "neighbour").alias("profile_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_pairs(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in its one form."""
+    return canonical_texts(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "canonical")
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p9_found": p9_found, "p9_canonical": p9_canonical}
 SQL: dict[str, str] = {}
