@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from strainloom.functions.text import accession_key, outbreak_key, site_key
 from strainloom.llm.canonical import map_to_reference, unmatched_values
 from strainloom.llm.lookalike import canonical_texts, look_alike_pairs
+from strainloom.llm.mixing import mix_sources, repetition_rates, shares_reached
 from strainloom.llm.neighbours import nearest_profiles
 from strainloom.llm.overlap import cross_split_pairs
+from strainloom.llm.packing import pack_documents
 from strainloom.llm.splits import related_groups, split_by_weight
+from strainloom.llm.tokens import n_tokens
 from strainloom.session import cut, read_table
 
 META, TRAIN, TEST = "metadata_training_testing", "knn_training_cgmlst", "knn_testing_cgmlst"
@@ -92,6 +95,39 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("profile_id", "neighbour").alias("profile_a"), F.greatest("profile_id", "neighbour").alias("profile_b")).distinct()
 
 
+#: Tokens of a container.
+CAPACITY = 4096
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their tokens, counted once. Versions of a title count as one cluster, else exact copies."""
+    docs = read_table(spark, sf_dir, "documents")
+    cluster = F.coalesce(F.concat(F.lit("t:"), "title_id"), F.md5("text"))
+    return cut(docs.select("doc_id", "source", cluster.alias("cluster"), n_tokens(F.col("text")).alias("n_tokens")))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its container."""
+    return pack_documents(_sized(spark, sf_dir), "doc_id", "n_tokens", F.col("source"), F.col("cluster"), CAPACITY)
+
+
+def p7_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of room that stays unused."""
+    boxes = p7_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n"))
+    return boxes.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.round(1 - F.sum("used") / (F.count(F.lit(1)) * CAPACITY), 6).alias("unused"))
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document in the mix."""
+    return mix_sources(_sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"), "doc_id", "n_tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share each source reached beside its target."""
+    sized, targets = _sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets")
+    return shares_reached(mix_sources(sized, targets, "doc_id", "n_tokens"), repetition_rates(sized, targets, "n_tokens"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -101,5 +137,5 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p7_containers": p7_containers, "p7_room": p7_room, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_canonical": p9_canonical}
 SQL: dict[str, str] = {}
