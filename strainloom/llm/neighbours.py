@@ -8,6 +8,7 @@ candidates, and the exact distance decides on the rest.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,11 @@ COLUMNS, EPSILON = (32, 64, 128, LOCI), 2.1
 ROTATION_SEED = 7
 
 
+@functools.cache
+def _rotation(loci: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(ROTATION_SEED).standard_normal((loci, loci)))[0].astype(np.float32)
+
+
 def sign_vectors(x: np.ndarray) -> np.ndarray:
     """Rotated sign vectors of the profiles: the squared distance of two is at most 4 for each differing locus plus
     1 for each locus missing in one of them."""
@@ -38,8 +44,7 @@ def sign_vectors(x: np.ndarray) -> np.ndarray:
         k *= np.uint64(0xBF58476D1CE4E5B9)
         k ^= k >> np.uint64(32)
     signs = np.where(x > 0, np.where(k & np.uint64(1), 1, -1), 0).astype(np.float32)
-    turn = np.linalg.qr(np.random.default_rng(ROTATION_SEED).standard_normal((x.shape[1], x.shape[1])))[0].astype(np.float32)
-    return signs @ turn
+    return signs @ _rotation(x.shape[1])
 
 
 def fit_lists(vectors: np.ndarray, n_lists: int) -> np.ndarray:
@@ -68,7 +73,8 @@ def nearest_lists(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.n
 
 def scan(xa: np.ndarray, xb: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of xa, row of xb, distance) of the pairs within `limit`, by the adaptive scan."""
-    va, vb = sign_vectors(xa), sign_vectors(xb)
+    va = sign_vectors(xa)
+    vb = va if xb is xa else sign_vectors(xb)
     ma, mb = (xa <= 0).sum(1), (xb <= 0).sum(1)
     loci = xa.shape[1]
     base = 4 * limit * loci
@@ -146,7 +152,8 @@ def nearest_profiles(profiles: DataFrame, id_col: str, alleles: str, k: int, lim
         ids, own, x = group.column("id").to_numpy(), group.column("own").to_numpy(), unpack(group.column("x").to_pylist())
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b, d = scan(x[left], x[right], limit)
+        first = x[left]
+        a, b, d = scan(first, first if i == j else x[right], limit)
         a, b = left[a], right[b]
         if i == j:
             keep = a < b
