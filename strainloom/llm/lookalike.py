@@ -8,10 +8,14 @@ share a beginning and a length, so no task holds the vocabulary.
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -33,15 +37,42 @@ _TABLE = {ord(k): v for k, v in (_LOOKS | _WIDE).items()} | {o: " " for o in BLA
 _DROP = {o: None for o in IGNORED}
 
 
-_IGN = "".join(map(chr, IGNORED))
-# letters whose base is a look-alike, composed ones included (the base decides what a letter looks like)
-_ALIKE = sorted(c for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]) if unicodedata.normalize("NFD", c)[0] in _LOOKS)
-TOKEN = rf"[\p{{L}}\p{{M}}\p{{Nd}}{_IGN}]+"
-#: A character for which another one looks the same, or that stands beside one in a mixed word.
-VARIANT = rf"[\p{{M}}\p{{IsCyrillic}}\p{{IsGreek}}{_IGN}{''.join(map(chr, BLANKS))}{''.join(_WIDE)}]"
-_LATIN = rf"^[\p{{IsLatin}}0-9&&[^{''.join(_WIDE)}]]+$"
-_CYRILLIC_ONLY, _GREEK_ONLY = r"^[\p{IsCyrillic}0-9&&[^\p{M}]]+$", r"^[\p{IsGreek}0-9&&[^\p{M}]]+$"
-_DISTINCT = rf"[\p{{IsCyrillic}}\p{{IsGreek}}&&[^{''.join(_ALIKE)}]]"
+_BLANK = re.compile("[" + "".join(map(chr, BLANKS)) + "]")
+
+
+def _ranges(chars: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    chars = sorted(chars)
+    starts = [c for i, c in enumerate(chars) if not i or chars[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(chars) if i + 1 == len(chars) or chars[i + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
+_MARKS = [c for c in range(0x300, 0x11000) if unicodedata.category(chr(c))[0] == "M"]
+#: A token: letters, digits, marks and ignorable characters in a row.
+TOKEN = re.compile(rf"[\w{_ranges(_MARKS)}{_ranges(IGNORED)}]+")
+_PLAIN_SIGNS = frozenset(_WIDE) | frozenset(map(chr, IGNORED)) | frozenset(map(chr, _MARKS))
+
+
+def _script(c: str) -> int:
+    """1 Cyrillic, 2 Greek, 0 any other."""
+    o = ord(c)
+    return 1 if 0x400 <= o < 0x530 else 2 if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else 0
+
+
+@functools.lru_cache(200_000)
+def _kind(token: str) -> tuple[bool, bool]:
+    """(in the vocabulary, its own canonical spelling): a vocabulary token has one script and no variant signs; it is
+    settled if it is not Cyrillic or Greek, or has a letter that only its script has."""
+    if token.isascii():
+        return True, True
+    if not _PLAIN_SIGNS.isdisjoint(token):
+        return False, False
+    scripts = {_script(c) for c in token if c.isalpha()}
+    if len(scripts) != 1:
+        return not scripts, not scripts
+    return True, scripts == {0} or any(_script(c) and unicodedata.normalize("NFD", c)[0] not in _LOOKS for c in token)
+
 
 # base letters of composed ones, so that a bucket does not depend on how accents are written
 _COMPOSED = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]) if unicodedata.normalize("NFD", c)[0] != c]
@@ -54,17 +85,8 @@ def by_table(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(_DROP)).translate(_TABLE))
 
 
-def _pure(token: Column) -> Column:
-    return token.rlike(_LATIN) | token.rlike(_CYRILLIC_ONLY) | token.rlike(_GREEK_ONLY)
-
-
-def _settled(token: Column) -> Column:
-    """Tokens that are their own canonical spelling: Latin, or one script with a letter that only this script has."""
-    return token.rlike(_LATIN) | ((token.rlike(_CYRILLIC_ONLY) | token.rlike(_GREEK_ONLY)) & token.rlike(_DISTINCT))
-
-
 def _bucket(token: Column) -> list[Column]:
-    bare = F.regexp_replace(F.translate(token, _FROM, _TO), rf"[\p{{M}}{_IGN}]+", "")
+    bare = F.regexp_replace(F.translate(token, _FROM, _TO), rf"[\p{{M}}{''.join(map(chr, IGNORED))}]+", "")
     return [F.substring(bare, 1, 3).alias("head"), F.length(bare).alias("n")]
 
 
@@ -115,21 +137,33 @@ def canonical_spellings(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     return asked.groupBy("head", "n").cogroup(words.groupBy("head", "n")).applyInPandas(lambda a, w: spell(w, a), "token string, canonical string")
 
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vocabulary tokens with their documents (id null, counted by task) and the tokens each document asks about."""
+    schema, seen = None, Counter()
+    for batch in batches:
+        ids, tokens = [], []
+        for key, text in zip(batch.column(0), batch.column(1)):
+            words = set(TOKEN.findall(text.as_py()))
+            kinds = [(w, *_kind(w)) for w in words]
+            seen.update([w for w, known, _ in kinds if known])
+            for w, _, settled in kinds:
+                if not settled:
+                    ids.append(key)
+                    tokens.append(w)
+        schema = batch.schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in ids], schema), pa.array(tokens, pa.string()), pa.nulls(len(ids), pa.int64())], ["id", "token", "n"])
+    if schema is not None:
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), schema), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["id", "token", "n"])
+
+
 @F.pandas_udf(StringType())
 def _render(texts: pd.Series, tokens: pd.Series, spellings: pd.Series) -> pd.Series:
-    pattern = regex.compile(TOKEN)
-    rest = str.maketrans({**{k: v for k, v in _TABLE.items()}, **_DROP})
-
     def one(text, names, forms):
-        known = dict(zip(names, forms)) if names is not None else {}
-        out, at = [], 0
-        for m in pattern.finditer(text):
-            out.append(text[at : m.start()].translate(rest))
-            word = m.group()
-            out.append(known[word] if word in known else word)
-            at = m.end()
-        out.append(text[at:].translate(rest))
-        return "".join(out)
+        text = _BLANK.sub(" ", text)
+        if names is None:
+            return text
+        known = dict(zip(names, forms))
+        return TOKEN.sub(lambda m: known.get(m.group(), m.group()), text)
 
     return pd.Series([one(t, n, f) for t, n, f in zip(texts, tokens, spellings)], dtype=object)
 
@@ -140,16 +174,16 @@ def canonical_texts(documents: DataFrame, id_col: str, text_col: str) -> DataFra
     Ids are unique. Null texts give no row, an empty text stays empty. Case, accents, punctuation, the number of
     blanks and lines stay as they are. Very long texts are taken whole; other columns are ignored.
     """
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    vocabulary = docs.select(F.explode(found).alias("token")).where(_pure(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
-    mixed = docs.where(F.col("text").rlike(VARIANT))
-    asked = mixed.select("id", F.explode(F.filter(found, lambda t: t.rlike(VARIANT) & ~_settled(t))).alias("token"))
-    spelt = canonical_spellings(vocabulary, asked.select("token").distinct())
-    changed = spelt.where(F.col("token") != F.col("canonical"))
-    maps = asked.join(changed, "token").groupBy("id").agg(F.collect_list(F.struct("token", "canonical")).alias("m"))
-    rendered = mixed.join(maps, "id", "left").select("id", "text", _render("text", F.col("m.token"), F.col("m.canonical")).alias("canonical"))
-    return docs.where(~F.col("text").rlike(VARIANT)).select("id", "text", F.col("text").alias("canonical")).unionByName(rendered).withColumnRenamed("id", id_col)
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    kind = docs.schema["id"].dataType.simpleString()
+    scanned = cut(docs.mapInArrow(_scan, f"id {kind}, token string, n long"))
+    vocabulary = scanned.where("id is null").groupBy("token").agg(F.sum("n").alias("n_docs"))
+    asked = scanned.where("id is not null").select("id", "token")
+    spelt = canonical_spellings(vocabulary, asked.select("token").distinct()).where(F.col("token") != F.col("canonical"))
+    maps = asked.join(spelt, "token").groupBy("id").agg(F.collect_list("token").alias("names"), F.collect_list("canonical").alias("forms"))
+    plain = F.octet_length("text") == F.length("text")  # ASCII only
+    rendered = docs.where(~plain).join(maps, "id", "left").select("id", "text", _render("text", "names", "forms").alias("canonical"))
+    return docs.where(plain).select("id", "text", F.col("text").alias("canonical")).unionByName(rendered).withColumnRenamed("id", id_col)
 
 
 def look_alike_pairs(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,8 +192,8 @@ def look_alike_pairs(documents: DataFrame, id_col: str, text_col: str) -> DataFr
     Only differing texts make a pair, so a group of exact copies gives none among themselves.
     """
     canon = canonical_texts(documents, id_col, text_col)
-    prints = canon.select(F.col(id_col).alias("id"), F.md5("canonical").alias("look"), F.md5("text").alias("own"))
+    prints = cut(canon.select(F.col(id_col).alias("id"), F.md5("canonical").alias("look"), F.md5("text").alias("own")))
     several = prints.groupBy("look").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("look")
-    kept = cut(prints.join(several, "look"))
+    kept = prints.join(several, "look")
     left, right = kept.withColumnsRenamed({"id": "doc_a", "own": "own_a"}), kept.withColumnsRenamed({"id": "doc_b", "own": "own_b"})
     return left.join(right, "look").where("doc_a < doc_b and own_a <> own_b").select("doc_a", "doc_b")
