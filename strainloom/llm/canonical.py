@@ -103,7 +103,9 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
 def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(field_name, token, word, sim, share, n) for the distinct (field_name, token) rows: reference words within two
     edits (one below four letters; a swap of neighbours counts as one), whole or shortened (share below 1)."""
-    forms = tokens.select("field_name", "token", F.inline(_forms(F.col("token"))))
+    longest = vocabulary.agg(F.max(F.length("spelling"))).first()[0] or 0
+    short = tokens.where(F.length("token") <= longest + 4)  # a longer token is more than two edits and a plural away
+    forms = short.select("field_name", "token", F.inline(_forms(F.col("token"))))
     left = forms.select("field_name", "token", "form", "cost", F.explode(_variants(F.col("form"))).alias("v"))
     right = vocabulary.select("field_name", F.col("token").alias("word"), "spelling", "share", F.explode(_variants(F.col("spelling"))).alias("v"))
     pairs = left.join(right, ["field_name", "v"]).groupBy("field_name", "token", "form", "word", "spelling", "share").agg(F.min("cost").alias("cost"))

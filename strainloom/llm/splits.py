@@ -33,7 +33,7 @@ def components(edges: DataFrame, heads: Callable[[Column], Column] | None = None
     sides. A vertex with very many edges is no single group: an edge list is only ever joined with and
     grouped by one end, with partial aggregation, and hub rows collapse into one vertex within a few rounds.
     """
-    clean = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u is not null and v is not null").distinct())
+    clean = cut(edges.where("u is not null and v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     now = clean.where("u <> v")
     maps = []
     for turn in range(MAX_ROUNDS):
