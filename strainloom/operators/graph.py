@@ -92,27 +92,52 @@ def metagraph(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return joined.where("x <> y").groupBy(F.least("x", "y").alias("cu"), F.greatest("x", "y").alias("cv")).agg(F.round(F.sum("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n_edges"))
 
 
-def residual_triangles(counts: DataFrame, tri: DataFrame, max_residual: float = 0.3, base_min_delta: float = 0.15, min_fraction: float = 0.5, min_gap: float = 0.1) -> DataFrame:
+def residual_triangles(counts: DataFrame, tri: DataFrame, max_residual: float = 0.3, base_min_delta: float = 0.15, min_fraction: float = 0.5, min_gap: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
     """Three candidates for each triangle: is the similarity of two nodes explained by the third?
 
     The cosine of two count vectors before and after the third is projected out, in closed form from the dot
     products; candidates are ranked by the drop, the gap of best to second counts for rank 1. Rows whose cosine is
-    undefined are left out.
+    undefined are left out. With `by` (replicates of counts) every triangle is judged in each of them.
     """
-    a, b = counts.select("cluster", F.col("node").alias("p"), F.col("n").alias("np")), counts.select("cluster", F.col("node").alias("q"), F.col("n").alias("nq"))
-    dots = a.join(b, "cluster").groupBy("p", "q").agg(F.sum(F.col("np") * F.col("nq")).cast("double").alias("dot"))
+    a, b = counts.select(*by, "cluster", F.col("node").alias("p"), F.col("n").alias("np")), counts.select(*by, "cluster", F.col("node").alias("q"), F.col("n").alias("nq"))
+    dots = a.join(b, [*by, "cluster"]).groupBy(*by, "p", "q").agg(F.sum(F.col("np") * F.col("nq")).cast("double").alias("dot"))
     named = F.array(*[F.struct(F.col(s).alias("source"), F.col(x).alias("x"), F.col(y).alias("y")) for s, x, y in (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b"))])
     cand = tri.select("a", "b", "c", F.inline(named))
-    for name, p, q in (("xx", "x", "x"), ("yy", "y", "y"), ("ss", "source", "source"), ("xy", "x", "y"), ("xs", "x", "source"), ("ys", "y", "source")):
-        d = dots.select(F.col("p").alias(f"__p{name}"), F.col("q").alias(f"__q{name}"), F.col("dot").alias(name))
-        cand = cand.join(d, (F.col(p) == F.col(f"__p{name}")) & (F.col(q) == F.col(f"__q{name}")), "left").drop(f"__p{name}", f"__q{name}")
+    cand = cand.join(dots.where(F.col("p") == F.col("q")).select(*by, F.col("p").alias("x"), F.col("dot").alias("xx")), "x")
+    for name, p, q in (("yy", "y", "y"), ("ss", "source", "source"), ("xy", "x", "y"), ("xs", "x", "source"), ("ys", "y", "source")):
+        d = dots.select(*by, F.col("p").alias(p), F.col("q").alias(q if q != p else "__q"), F.col("dot").alias(name))
+        if p == q:
+            d = d.where(F.col(p) == F.col("__q")).drop("__q")
+        cand = cand.join(d, [*by, *dict.fromkeys((p, q))], "left")
     cand = cand.fillna(0.0, ["xy", "xs", "ys"])
     c0 = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
     left, right = F.col("xx") - F.col("xs") * F.col("xs") / F.col("ss"), F.col("yy") - F.col("ys") * F.col("ys") / F.col("ss")
     c1 = F.when((left > 1e-9) & (right > 1e-9), (F.col("xy") - F.col("xs") * F.col("ys") / F.col("ss")) / F.sqrt(left * right))
-    got = cand.select("a", "b", "c", "source", F.round(c0 + 0.0, 6).alias("original"), F.round(c1 + 0.0, 6).alias("residual")).where("original is not null and residual is not null")
+    got = cand.select(*by, "a", "b", "c", "source", F.round(c0 + 0.0, 6).alias("original"), F.round(c1 + 0.0, 6).alias("residual")).where("original is not null and residual is not null")
     got = got.withColumn("delta", F.round(F.col("original") - F.col("residual"), 6)).withColumn("fraction", F.when(F.col("original") > 0, F.round((F.col("original") - F.col("residual")) / F.col("original"), 6)))
-    w = Window.partitionBy("a", "b", "c").orderBy(F.desc("delta"), "source")
+    w = Window.partitionBy(*by, "a", "b", "c").orderBy(F.desc("delta"), "source")
     got = got.withColumn("delta_rank", F.row_number().over(w)).withColumn("gap", F.when(F.col("delta_rank") == 1, F.round(F.col("delta") - F.lead("delta").over(w), 6)))
     passes = (F.col("residual") <= max_residual) & (F.col("delta") >= F.greatest(F.lit(base_min_delta), F.col("original") - max_residual)) & (F.col("fraction") >= min_fraction)
     return got.withColumn("supported", F.coalesce((F.col("delta_rank") == 1) & passes & (F.col("gap") >= min_gap), F.lit(False)))
+
+
+def disagreements(sims: DataFrame, measure: str, support: DataFrame, above: float = 0.35, below: float = 0.5) -> DataFrame:
+    """(node, n_pairs): how often a node is in a pair that is similar but rarely assigned together."""
+    joined = sims.select("u", "v", F.col(measure).alias("s")).join(support.select("u", "v", "support"), ["u", "v"], "left").fillna(0.0, ["support"])
+    odd = joined.where((F.col("s") > above) & (F.col("support") < below))
+    return odd.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def community_importance(edges: DataFrame, partition: DataFrame) -> DataFrame:
+    """(community, size, density, external, conductance, importance, role): shares of the largest size, density and
+    external weight, mixed; core, hub, bridge or peripheral by the medians of density and external weight."""
+    stats = community_stats(edges, partition).select("community", "size", F.col("internal_density").alias("density"), "conductance")
+    ends = metagraph(edges, partition).select(F.explode(F.array("cu", "cv")).alias("community"), "weight").groupBy("community").agg(F.sum("weight").alias("external"))
+    got = stats.join(ends, "community", "left").fillna(0.0, ["external"])
+    all_of = Window.partitionBy()
+    share = {c: F.coalesce(F.try_divide(F.col(c), F.max(c).over(all_of)), F.lit(0.0)) for c in ("size", "density", "external")}
+    limits = F.broadcast(got.agg(F.median("density").alias("md"), F.median("external").alias("me")))
+    score = 0.5 * share["size"] + 0.25 * share["density"] + 0.25 * share["external"]
+    dense, far = F.col("density") >= F.col("md"), F.col("external") >= F.col("me")
+    role = F.when(dense & ~far, "core").when(dense, "hub").when(far, "bridge").otherwise("peripheral")
+    return got.withColumn("importance", F.round(score, 6)).crossJoin(limits).withColumn("role", role).select("community", "size", "density", F.round("external", 6).alias("external"), "conductance", "importance", "role")

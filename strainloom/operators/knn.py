@@ -11,25 +11,30 @@ from strainloom.functions.portable import folds
 from strainloom.functions.profiles import matrix
 
 #: Rows of a block of queries and of a block of training profiles that meet in one task.
-QUERY_BLOCK, TRAIN_BLOCK = 2_000, 20_000
+QUERY_BLOCK, TRAIN_BLOCK = 500, 20_000
+#: Queries and training rows compared at once.
+TILE = (64, 4096)
 
 
 def block_distances(y: np.ndarray, x: np.ndarray, plain: bool = False) -> np.ndarray:
     """Distances of each row of y to each row of x, locus by locus: share of differing loci among those known in
     both (1 for none); plain: share of differing raw codes over all loci."""
-    diff = np.zeros((len(y), len(x)), np.int16)
-    known = np.zeros_like(diff)
-    for p in range(x.shape[1]):
-        a, b = y[:, p][:, None], x[:, p][None, :]
-        if plain:
-            diff += a != b
-        else:
-            both = (a > 0) & (b > 0)
-            known += both
-            diff += both & (a != b)
-    if plain:
-        return diff / x.shape[1]
-    return np.where(known > 0, diff / np.maximum(known, 1), 1.0)
+    out = np.empty((len(y), len(x)), np.float32 if plain else np.float64)
+    for i in range(0, len(y), TILE[0]):
+        for j in range(0, len(x), TILE[1]):  # tiles stay in the cache
+            a, b = np.ascontiguousarray(y[i : i + TILE[0]].T), np.ascontiguousarray(x[j : j + TILE[1]].T)
+            diff = np.zeros((a.shape[1], b.shape[1]), np.uint16)
+            if plain:
+                for p in range(len(a)):
+                    diff += a[p][:, None] != b[p][None, :]
+                out[i : i + TILE[0], j : j + TILE[1]] = diff / len(a)
+                continue
+            known = ((a > 0).astype(np.float32).T @ (b > 0).astype(np.float32)).astype(np.uint16)
+            same = np.zeros_like(diff)
+            for p in range(len(a)):
+                same += (a[p][:, None] == b[p][None, :]) & (a[p] > 0)[:, None]
+            out[i : i + TILE[0], j : j + TILE[1]] = np.where(known > 0, (known - same) / np.maximum(known, 1), 1.0)
+    return out
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, per_label: bool = False, pool: int | None = None, min_dist: float = 5e-5) -> DataFrame:
@@ -136,3 +141,20 @@ def trust_histogram(scored: DataFrame, bins: int = 15) -> DataFrame:
     span = F.broadcast(scored.agg(F.min("trust").alias("lo"), F.max("trust").alias("hi")))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("trust") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
     return scored.crossJoin(span).groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
+
+
+def results(near: DataFrame, proba: DataFrame, trusted: DataFrame, truth: DataFrame, names: DataFrame) -> DataFrame:
+    """One row for each query: label, prediction, trust, its neighbours' ids, names, labels and distances in order,
+    and the probability of every class as a map. names(id, name) holds the training profiles' names."""
+    named = near.join(names.select(F.col("id").alias("train_id"), "name"), "train_id", "left")
+    lists = named.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "train_id", "name", "label", "distance"))).alias("n"))
+    maps = proba.groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", F.round("proba", 3))))).alias("probabilities"))
+    joined = truth.join(predictions(proba), "query_id").join(trusted, "query_id", "left").join(lists, "query_id").join(maps, "query_id")
+    return joined.select("query_id", "label", "prediction", "trust", "n.train_id", F.col("n.name").alias("neighbour_names"), F.col("n.label").alias("neighbour_labels"), F.col("n.distance").alias("distances"), "probabilities")
+
+
+def dense_enough(near: DataFrame, alpha: float) -> DataFrame:
+    """(query_id, radius) of the points whose farthest listed neighbour lies within the (1 - alpha) percentile."""
+    radius = near.groupBy("query_id").agg(F.max("distance").alias("radius"))
+    limit = F.broadcast(radius.agg(F.percentile("radius", 1 - alpha).alias("limit")))
+    return radius.crossJoin(limit).where(F.col("radius") <= F.col("limit")).drop("limit")

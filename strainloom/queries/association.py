@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from strainloom.operators import association as A
 from strainloom.queries.base import WITH, counts_of, observations
 
-FEED, HUMAN = F.col("node").startswith("feedmill"), F.col("node").startswith("patient")
-TARGETS = ~FEED & ~HUMAN
 PERMUTATIONS, SEED = 5, 9
 
 
+def marks():
+    """Feed, human and target nodes."""
+    feed, human = F.col("node").startswith("feedmill"), F.col("node").startswith("patient")
+    return feed, human, ~feed & ~human
+
+
 def summary(s, d):
-    return A.breadth(counts_of(s, d), FEED, TARGETS, HUMAN)
+    feed, human, targets = marks()
+    return A.breadth(counts_of(s, d), feed, targets, human)
 
 
 def feed_permutation(s, d):
     """Observed breadth statistics beside those of permuted node labels, with one- and two-sided p."""
+    feed, _, targets = marks()
     rows = observations(s, d)
     dealt = A.permuted_labels(rows, "row_id", "node", PERMUTATIONS, SEED).join(rows.select("row_id", "cluster"), "row_id")
     counts = dealt.groupBy("replicate", "node", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("replicate", "cluster").agg(F.sum(F.when(FEED, F.col("n")).otherwise(0)).alias("feed_count"), F.count_if(TARGETS).alias("target_breadth")).withColumn("feed_present", F.col("feed_count") > 0)
+    per = counts.groupBy("replicate", "cluster").agg(F.sum(F.when(feed, F.col("n")).otherwise(0)).alias("feed_count"), F.count_if(targets).alias("target_breadth")).withColumn("feed_present", F.col("feed_count") > 0)
     null = A.breadth_statistics(per, ["replicate"]).select(F.col("difference").alias("x"))
     seen = A.breadth_statistics(summary(s, d), []).select(F.col("difference").alias("observed"))
     mean = null.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))

@@ -8,6 +8,7 @@ from strainloom.operators import centrality as Z
 from strainloom.operators import counts as C
 from strainloom.operators import graph as G
 from strainloom.plans.consensus import Consensus, consensus_network, threshold_grid
+from strainloom.plans.stability import nested_roles
 from strainloom.queries.base import WITH, counts_of, observations
 from strainloom.queries.network import _BOOT, REPLICATES
 
@@ -44,6 +45,7 @@ QUERIES = {
     "role_frequencies": lambda s, d: Z.role_frequencies(replicate_roles(s, d)),
     "role_recovery": lambda s, d: Z.role_recovery(replicate_roles(s, d), base_graph(s, d)),
     "centrality_summary": lambda s, d: Z.centrality_summary(metrics(run(s, d))),
+    "nested_role_frequencies": lambda s, d: Z.role_frequencies(nested_roles(counts_of(s, d), 8, 20)),
     "threshold_grid": lambda s, d: threshold_grid(observations(s, d), [0.25, 0.35, 0.45], [0.5, 0.75]),
     "node_correlations": lambda s, d: Z.correlations(C.alpha_diversity(counts_of(s, d)).withColumn("size", F.col("isolate_n").cast("double")), ["size", "shannon", "chao1"]),
 }
