@@ -85,9 +85,10 @@ def by_table(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(_DROP)).translate(_TABLE))
 
 
-def _bucket(token: Column) -> list[Column]:
+def _bucket(token: Column, buckets: int) -> Column:
+    """A bucket that all spellings of a look share: of the first three base letters and their number."""
     bare = F.regexp_replace(F.translate(token, _FROM, _TO), rf"[\p{{M}}{''.join(map(chr, IGNORED))}]+", "")
-    return [F.substring(bare, 1, 3).alias("head"), F.length(bare).alias("n")]
+    return F.pmod(F.xxhash64(F.substring(bare, 1, 3), F.length(bare)), F.lit(buckets)).alias("bucket")
 
 
 class Trie:
@@ -115,6 +116,8 @@ class Trie:
         return node.words
 
 
+#: Tokens a bucket should hold.
+BUCKET = 20_000
 _CYRILLIC_SET = set(map(chr, range(0x400, 0x530)))
 
 
@@ -132,9 +135,10 @@ def canonical_spellings(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
         found = [min(w)[2] if (w := trie.walk(t)) else by_table(t) for t in asked["token"]]
         return pd.DataFrame({"token": asked["token"], "canonical": found}, dtype=object)
 
-    words = vocabulary.select("token", "n_docs", *_bucket(F.col("token")))
-    asked = tokens.select("token", *_bucket(F.col("token")))
-    return asked.groupBy("head", "n").cogroup(words.groupBy("head", "n")).applyInPandas(lambda a, w: spell(w, a), "token string, canonical string")
+    buckets = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(vocabulary.count() + tokens.count()) // BUCKET))
+    words = vocabulary.select("token", "n_docs", _bucket(F.col("token"), buckets))
+    asked = tokens.select("token", _bucket(F.col("token"), buckets))
+    return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(lambda a, w: spell(w, a), "token string, canonical string")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +181,9 @@ def canonical_texts(documents: DataFrame, id_col: str, text_col: str) -> DataFra
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     kind = docs.schema["id"].dataType.simpleString()
     scanned = cut(docs.mapInArrow(_scan, f"id {kind}, token string, n long"))
-    vocabulary = scanned.where("id is null").groupBy("token").agg(F.sum("n").alias("n_docs"))
+    vocabulary = cut(scanned.where("id is null").groupBy("token").agg(F.sum("n").alias("n_docs")))
     asked = scanned.where("id is not null").select("id", "token")
-    spelt = canonical_spellings(vocabulary, asked.select("token").distinct()).where(F.col("token") != F.col("canonical"))
+    spelt = canonical_spellings(vocabulary, cut(asked.select("token").distinct())).where(F.col("token") != F.col("canonical"))
     maps = asked.join(spelt, "token").groupBy("id").agg(F.collect_list("token").alias("names"), F.collect_list("canonical").alias("forms"))
     plain = F.octet_length("text") == F.length("text")  # ASCII only
     rendered = docs.where(~plain).join(maps, "id", "left").select("id", "text", _render("text", "names", "forms").alias("canonical"))
