@@ -15,8 +15,8 @@ from pyspark.sql.types import IntegerType
 from strainloom.operators.skew import skew_join
 from strainloom.session import BROADCAST_ROWS, cut, require_columns
 
-#: An entry is accepted when this share of its token weight is explained.
-MIN_COVERAGE = 0.72
+#: An entry is accepted when this share of its token weight is explained; less will do when several tokens do it.
+MIN_COVERAGE, MIN_COVERAGE_SEVERAL = 0.72, 0.58
 #: Tokens in more than this share of a field's names say nothing beside others (USA in "USA: Ohio").
 COMMON_TOKEN = 0.25
 #: A shortened joined name ("layerhengulfco") needs this share of its letters.
@@ -102,7 +102,7 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(field_name, token, word, sim, share, n) for the distinct (field_name, token) rows: reference words within two
-    edits (one below four letters; a swap of neighbours counts as one), whole or shortened (share below 1)."""
+    edits (one below five letters; a swap of neighbours counts as one), whole and shortened (share below 1)."""
     longest = vocabulary.agg(F.max(F.length("spelling"))).first()[0] or 0
     short = tokens.where(F.length("token") <= longest + 4)  # a longer token is more than two edits and a plural away
     forms = short.select("field_name", "token", F.inline(_forms(F.col("token"))))
@@ -117,7 +117,7 @@ def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     kept = pairs.where(F.col("edits") <= allowed)
     kept = kept.where((F.col("share") == 1) | (F.col("edits") == 0) | ((F.length("spelling") >= 4) & (F.col("edits") <= F.when(F.length("spelling") >= 6, 2).otherwise(1))))
     sim = F.greatest(F.lit(0.0), 1 - (F.col("edits") + F.col("cost")) / longer)
-    best = kept.withColumn("sim", sim).groupBy("field_name", "token", "word").agg(F.max_by(F.struct("sim", "share", F.length("spelling").alias("n")), F.struct(F.col("sim") * (0.4 + 0.6 * F.col("share")), "share")).alias("m"))
+    best = kept.withColumn("sim", sim).groupBy("field_name", "token", "word", (F.col("share") == 1).alias("whole")).agg(F.max_by(F.struct("sim", "share", F.length("spelling").alias("n")), F.struct(F.col("sim") * (0.4 + 0.6 * F.col("share")), "share")).alias("m"))
     return best.select("field_name", "token", "word", "m.sim", "m.share", "m.n")
 
 
@@ -125,7 +125,7 @@ def rank_entries(values: DataFrame, reference: DataFrame) -> DataFrame:
     """(field_name, norm, ref_id) for the distinct (field_name, norm, tokens) rows that mean an entry.
 
     Soft TF-IDF: a name's score is the idf-weighted similarity of its tokens to the value's; names explained to
-    MIN_COVERAGE or more compete, the most specific (largest explained weight) wins, then the best explained,
+    MIN_COVERAGE (by several tokens: MIN_COVERAGE_SEVERAL) or more compete, the most specific (largest explained weight) wins, then the best explained,
     then the smallest ref_id.
     """
     names = cut(_names(reference))
@@ -140,7 +140,8 @@ def rank_entries(values: DataFrame, reference: DataFrame) -> DataFrame:
     scored = best.join(names.withColumnRenamed("token", "word"), ["field_name", "word"])
     scored = scored.groupBy("field_name", "norm", "name_id", "ref_id", "weight").agg(F.sum(F.col("idf") * F.col("sim")).alias("score"), F.min("share").alias("least"), F.count(F.lit(1)).alias("n"))
     cover = F.col("score") / F.col("weight")
-    kept = scored.where((cover >= MIN_COVERAGE) & ((F.col("n") > 1) | (F.col("least") >= MIN_JOINED)))
+    several = F.col("n") > 1
+    kept = scored.where((cover >= F.when(several, MIN_COVERAGE_SEVERAL).otherwise(MIN_COVERAGE)) & (several | (F.col("least") >= MIN_JOINED)))
     return kept.groupBy("field_name", "norm").agg(F.max(F.struct(F.round("score", 9).alias("s"), F.round(cover, 9).alias("c"), (-F.col("ref_id")).alias("r"))).alias("b")).select("field_name", "norm", (-F.col("b.r")).alias("ref_id"))
 
 
