@@ -114,7 +114,7 @@ def residual_triangles(counts: DataFrame, tri: DataFrame, max_residual: float =
     left, right = F.col("xx") - F.col("xs") * F.col("xs") / F.col("ss"), F.col("yy") - F.col("ys") * F.col("ys") / F.col("ss")
     c1 = F.when((left > 1e-9) & (right > 1e-9), (F.col("xy") - F.col("xs") * F.col("ys") / F.col("ss")) / F.sqrt(left * right))
     got = cand.select(*by, "a", "b", "c", "source", F.round(c0 + 0.0, 6).alias("original"), F.round(c1 + 0.0, 6).alias("residual")).where("original is not null and residual is not null")
-    got = got.withColumn("delta", F.round(F.col("original") - F.col("residual"), 6)).withColumn("fraction", F.when(F.col("original") > 0, F.round((F.col("original") - F.col("residual")) / F.col("original"), 6)))
+    got = got.withColumn("delta", F.round(F.col("original") - F.col("residual"), 6)).withColumn("fraction", F.when(F.col("original") > 0, F.round((F.col("original") - F.col("residual")) / F.col("original"), 9)))
     w = Window.partitionBy(*by, "a", "b", "c").orderBy(F.desc("delta"), "source")
     got = got.withColumn("delta_rank", F.row_number().over(w)).withColumn("gap", F.when(F.col("delta_rank") == 1, F.round(F.col("delta") - F.lead("delta").over(w), 6)))
     passes = (F.col("residual") <= max_residual) & (F.col("delta") >= F.greatest(F.lit(base_min_delta), F.col("original") - max_residual)) & (F.col("fraction") >= min_fraction)

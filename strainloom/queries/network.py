@@ -73,7 +73,7 @@ _RES = (
    JOIN dots xx ON xx.p = x AND xx.q = x JOIN dots yy ON yy.p = y AND yy.q = y JOIN dots ss ON ss.p = source AND ss.q = source
    LEFT JOIN dots xy ON xy.p = x AND xy.q = y LEFT JOIN dots xs ON xs.p = x AND xs.q = source LEFT JOIN dots ys ON ys.p = y AND ys.q = source),
  cos_c AS (SELECT a, b, c, source, round(xy / sqrt(xx * yy), 6) AS original, round((xy - xs * ys / ss) / sqrt((xx - xs * xs / ss) * (yy - ys * ys / ss)), 6) + 0.0 AS residual FROM full_c WHERE xx - xs * xs / ss > 1e-9 AND yy - ys * ys / ss > 1e-9),
- delta_c AS (SELECT *, round(original - residual, 6) AS delta, CASE WHEN original > 0 THEN round((original - residual) / original, 6) END AS fraction FROM cos_c),
+ delta_c AS (SELECT *, round(original - residual, 6) AS delta, CASE WHEN original > 0 THEN round((original - residual) / original, 9) END AS fraction FROM cos_c),
  rank_c AS (SELECT *, row_number() OVER w AS delta_rank, round(delta - lead(delta) OVER w, 6) AS g FROM delta_c WINDOW w AS (PARTITION BY a, b, c ORDER BY delta DESC, source)),
  last_c AS (SELECT a, b, c, source, original, residual, delta, fraction, delta_rank, CASE WHEN delta_rank = 1 THEN g END AS gap,
    coalesce(delta_rank = 1 AND residual <= 0.3 AND delta >= greatest(0.15, original - 0.3) AND fraction >= 0.5 AND g >= 0.1, FALSE) AS supported FROM rank_c)"""
