@@ -138,4 +138,12 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p7_containers": p7_containers, "p7_room": p7_room, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_canonical": p9_canonical}
-SQL: dict[str, str] = {}
+_ACC = r"nullif(upper(regexp_replace(regexp_replace({}, '\.[0-9]{{1,2}}\s*$', ''), '[^A-Za-z0-9]+', '', 'g')), '')"
+SQL: dict[str, str] = {
+    "p5_found": f"""WITH tr AS (SELECT profile_id AS t, {_ACC.format("barcode")} AS acc, alleles FROM {TRAIN}), te AS (SELECT profile_id AS e, {_ACC.format("barcode")} AS acc, alleles FROM {TEST}),
+ h AS (SELECT DISTINCT {_ACC.format("biosample_acc")} AS acc, hc5 FROM {META} WHERE hc5 > 0),
+ lt AS (SELECT t, generate_subscripts(alleles, 1) AS p, unnest(alleles) AS a FROM tr), le AS (SELECT e, generate_subscripts(alleles, 1) AS p, unnest(alleles) AS a FROM te),
+ near AS (SELECT t, e FROM lt JOIN le ON lt.p = le.p AND lt.a > 0 AND le.a > 0 GROUP BY 1, 2 HAVING count(*) FILTER (WHERE lt.a <> le.a) / CAST(count(*) AS DOUBLE) <= {SAME_DISTANCE}),
+ pairs AS (SELECT t, e FROM near UNION SELECT t, e FROM tr JOIN te ON tr.acc = te.acc UNION SELECT t, e FROM tr JOIN h x ON x.acc = tr.acc JOIN h y ON y.hc5 = x.hc5 JOIN te ON te.acc = y.acc)
+ SELECT least(t, e) AS profile_a, greatest(t, e) AS profile_b FROM pairs""",
+}
