@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +53,22 @@ def permuted_labels(rows: DataFrame, id_col: str, label: str, replicates: int, s
     return spread.withColumn("place", F.row_number().over(w)).join(placed.select("place", label), "place").select("replicate", id_col, label)
 
 
+def permuted_within(rows: DataFrame, id_col: str, label: str, stratum: list[str], replicates: int, seed: int) -> DataFrame:
+    """(replicate, id, label): the labels dealt out anew inside each stratum, so every stratum keeps its labels."""
+    placed = rows.select(*stratum, label, F.row_number().over(Window.partitionBy(*stratum).orderBy(id_col)).alias("__place"))
+    spread = rows.select(id_col, *stratum, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(id_col).cast("string")))
+    dealt = spread.withColumn("__place", F.row_number().over(Window.partitionBy("replicate", *stratum).orderBy(key, id_col)))
+    return dealt.join(placed, [*stratum, "__place"]).select("replicate", id_col, label)
+
+
+def subclass(value: Column, text: Column, of: str, terms: list[str], hit: str, miss: str) -> Column:
+    """`value`, with `of` parted into hit and miss by whether the text holds one of the terms, whatever its case; a null
+    text holds none, other values stay."""
+    pattern = "(?i)" + "|".join(re.escape(t) for t in terms)
+    return F.when(value == of, F.when(F.coalesce(text.rlike(pattern), F.lit(False)), hit).otherwise(miss)).otherwise(value)
+
+
 def quantile_bins(rows: DataFrame, value: str, q: int = 5) -> DataFrame:
     """rows + bin: right-closed bins at the distinct quantiles; 'all' where there are at most one."""
     edges = rows.agg(F.array_distinct(F.percentile(value, [i / q for i in range(q + 1)])).alias("edges"))
@@ -152,5 +169,3 @@ def node_generalism(counts: DataFrame, scores: DataFrame, min_node: int, min_clu
         "top_share": F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.ceil(top * F.col("m"))), F.col("p")).otherwise(0.0)),
     }
     return p.groupBy("node").agg(F.max("nn").alias("n_isolates"), F.sum("n").alias("n_scored"), F.max("m").alias("n_clusters"), *[F.round(c, 6).alias(k) for k, c in named.items()])
-
-

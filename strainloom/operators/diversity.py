@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainloom.functions.portable import draw_without_replacement
+from strainloom.functions.portable import draw_with_replacement, draw_without_replacement
 
 
 def known(distance: Column) -> Column:
@@ -63,3 +63,31 @@ def rarefied(rows: DataFrame, id_col: str, group: str, lineage: str, distance: s
     named = [("auc", "auc"), ("goods", "goods"), ("obs_chao1", "obs_chao1"), ("distc", f"distc{threshold}")]
     aggs = [a for n, c in named for a in (F.round(F.avg(c), 4).alias(f"{n}_mean"), F.round(F.percentile(c, 0.025), 4).alias(f"{n}_lo"), F.round(F.percentile(c, 0.975), 4).alias(f"{n}_hi"))]
     return stats.groupBy(group).agg(*aggs).join(sizes, group)
+
+
+def rarefied_band(rows: DataFrame, id_col: str, group: str, distance: str, n_star: int, replicates: int, seed: int, max_d: int = 50) -> DataFrame:
+    """(group, x, y_mean, y_lo, y_hi): the distance curves of n_star rows of each group, over the replicates; groups
+    with fewer rows are left out, unknown distances do not count."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= n_star).select(group)
+    drawn = draw_without_replacement(rows.join(F.broadcast(sizes), group, "left_semi"), id_col, group, n_star, replicates, seed)  # one row a group
+    curves = ecdf(drawn, [group, "replicate"], distance, max_d, keep_unknown=False)
+    return curves.groupBy(group, "x").agg(F.round(F.avg("y"), 8).alias("y_mean"), F.round(F.percentile("y", 0.025), 8).alias("y_lo"), F.round(F.percentile("y", 0.975), 8).alias("y_hi"))
+
+
+def quadrants(points: DataFrame, name: str, x: str, y: str, size: str, smallest: float = 40.0, largest: float = 400.0, power: float = 0.5) -> DataFrame:
+    """(name, x, y, marker, high_x, high_y): is a point at or above the 75th percentile of x and y, and its size scaled by
+    a power between smallest and largest (the middle where all are equal). One row a group, so the table is small."""
+    s = F.pow(F.col(size).cast("double"), F.lit(power))
+    limits = points.agg(F.percentile(x, 0.75).alias("__qx"), F.percentile(y, 0.75).alias("__qy"), F.min(s).alias("__lo"), F.max(s).alias("__hi"))
+    marker = F.when(F.col("__hi") > F.col("__lo"), smallest + (s - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (largest - smallest)).otherwise((smallest + largest) / 2)
+    return points.crossJoin(F.broadcast(limits)).select(name, x, y, F.round(marker, 6).alias("marker"), (F.col(x) >= F.col("__qx")).alias("high_x"), (F.col(y) >= F.col("__qy")).alias("high_y"))
+
+
+def slope_band(points: DataFrame, id_col: str, x: str, y: str, replicates: int, seed: int) -> DataFrame:
+    """(slope, intercept, slope_lo, slope_hi): least squares of y on x, and the 2.5 and 97.5 percentiles of the slope over
+    resamples of the points; resamples of a single x have no slope and do not count."""
+    whole = points.select(id_col, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__g", F.lit("all"))
+    drawn = draw_with_replacement(whole, id_col, "__g", replicates, seed)
+    slopes = drawn.groupBy("replicate").agg(F.regr_slope(y, x).alias("s"))
+    band = slopes.agg(F.round(F.percentile("s", 0.025), 6).alias("slope_lo"), F.round(F.percentile("s", 0.975), 6).alias("slope_hi"))
+    return whole.agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept")).crossJoin(band)

@@ -99,6 +99,11 @@ SQL = {
     "knn_probabilities": _K + " SELECT * FROM proba",
     "knn_confusion": _K + ", c AS (SELECT te.label, prediction, count(*) AS n FROM pred JOIN te ON te.id = query_id GROUP BY 1, 2) SELECT label, prediction, n, CASE WHEN label = prediction THEN round(n / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE), 6) END AS recall FROM c",
     "knn_trust": _K + ", pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY raw, train_id) AS r FROM dist), md AS (SELECT query_id, label, median(round(greatest(raw, 5e-5), 9)) AS d FROM pl WHERE r <= 3 GROUP BY 1, 2) SELECT query_id, round(1 / (1 + exp(-2.0 * (min(CASE WHEN label <> prediction THEN d END) / (min(CASE WHEN label = prediction THEN d END) + 1e-7) - 1))), 6) AS trust FROM md JOIN pred USING (query_id) GROUP BY 1",
+    "knn_two_phase_topk": _K
+    + f""", g(p) AS (SELECT * FROM range(1, 241)), ct AS (SELECT tr.id, p, greatest(coalesce(alleles[p], 0), 0) AS a FROM tr, g), ce AS (SELECT te.id, p, greatest(coalesce(alleles[p], 0), 0) AS a FROM te, g),
+ pd AS (SELECT ce.id AS query_id, ct.id AS train_id, count(*) FILTER (WHERE ce.a <> ct.a) AS plain FROM ce JOIN ct USING (p) GROUP BY 1, 2),
+ pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY plain, train_id) AS o FROM pd QUALIFY o <= 100)
+ SELECT query_id, train_id, label, round(greatest(raw, 5e-5), 9) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY raw, train_id) AS rank FROM pool JOIN dist USING (query_id, train_id) QUALIFY rank <= {NEIGHBOURS}""",
     "curated_labels": f"""WITH u AS (SELECT * FROM {META} WHERE biosample_acc IS NOT NULL AND (contains(geo_loc_name, 'USA') OR contains(geo_loc_name, 'United States'))),
  e AS (SELECT * FROM u WHERE NOT coalesce(source_type = 'human' OR epi_type = 'clinical' OR host = 'Homo sapiens', FALSE)),
  h AS (SELECT biosample_acc, 0 AS p, 'poultry' AS l FROM e WHERE lower(ifsac_category) IN ('chicken', 'turkey', 'poultry')
@@ -111,3 +116,8 @@ SQL = {
     "human_class_fwg": _HUMAN,
     "attribution_subset_counts": f"SELECT lower(source) AS source, human_class, count(*) AS n FROM ({_HUMAN}) WHERE NOT coalesce(lower(source) = 'human', FALSE) OR human_class IN ('F', 'G') GROUP BY 1, 2",
 }
+_TRUST = SQL["knn_trust"].rpartition(" SELECT query_id, round(1")
+SQL["knn_trust_histogram"] = (
+    f"{_TRUST[0]}, ts AS ({(_TRUST[1] + _TRUST[2]).strip()}), sc AS (SELECT trust, te.label = prediction AS correct, min(trust) OVER () AS lo, max(trust) OVER () AS hi FROM ts JOIN pred USING (query_id) JOIN te ON te.id = query_id)"
+    " SELECT CAST(CASE WHEN hi > lo THEN least(14, floor((trust - lo) / (hi - lo) * 15)) ELSE 0 END AS INT) AS bin, count(*) AS n, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM sc GROUP BY 1"
+)

@@ -11,6 +11,7 @@ from strainloom.plans.consensus import Consensus, consensus_network, threshold_g
 from strainloom.plans.stability import nested_roles
 from strainloom.queries.base import WITH, counts_of, observations
 from strainloom.queries.network import _BOOT, REPLICATES
+from strainloom.queries.network import SQL as _NETWORK
 
 
 def run(s, d) -> Consensus:
@@ -53,4 +54,9 @@ SQL = {
     "threshold_grid": WITH
     + _BOOT
     + f", gr AS (SELECT st AS similarity_threshold, u, v, count(*) / {REPLICATES}.0 AS s FROM bdot JOIN bnorm x ON x.replicate = bdot.replicate AND x.node = u JOIN bnorm y ON y.replicate = bdot.replicate AND y.node = v, (SELECT unnest([0.25, 0.35, 0.45]::DOUBLE[]) AS st) WHERE round(dot / sqrt(x.s2 * y.s2), 6) > st GROUP BY 1, 2, 3) SELECT similarity_threshold, gt AS graph_threshold, count(*) FILTER (WHERE s >= gt) AS n_edges FROM gr, (SELECT unnest([0.5, 0.75]::DOUBLE[]) AS gt) GROUP BY 1, 2",
+    "node_correlations": f"""WITH al AS ({_NETWORK["alpha_diversity"]}), l AS (SELECT node, unnest(['size', 'shannon', 'chao1']) AS c, unnest([CAST(isolate_n AS DOUBLE), shannon, chao1]) AS v FROM al),
+ r AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY v) + (count(*) OVER (PARTITION BY c, v) - 1) / 2.0 AS k FROM l), p AS (SELECT * FROM (VALUES ('size', 'shannon'), ('size', 'chao1'), ('shannon', 'chao1')) t(a, b)),
+ x AS (SELECT p.a, p.b, i.node, i.v AS va, j.v AS vb, i.k AS ka, j.k AS kb FROM p JOIN r i ON i.c = p.a JOIN r j ON j.c = p.b AND j.node = i.node),
+ t AS (SELECT m.a, m.b, sum(sign(m.va - n.va) * sign(m.vb - n.vb)) / sqrt(sum(abs(sign(m.va - n.va))) * sum(abs(sign(m.vb - n.vb)))) AS tau FROM x m JOIN x n ON m.a = n.a AND m.b = n.b AND m.node < n.node GROUP BY 1, 2)
+ SELECT a, b, round(corr(va, vb), 6) AS pearson, round(corr(ka, kb), 6) AS spearman, round(any_value(tau), 6) AS kendall FROM x JOIN t USING (a, b) GROUP BY 1, 2""",
 }

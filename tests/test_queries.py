@@ -7,7 +7,7 @@ import pytest
 from compare import check_query
 
 SF = "/root/testdata/sf0.001"
-MODULES = [importlib.import_module(f"strainloom.queries.{m}") for m in ("training_data", "network", "diversity", "association", "attribution", "stability", "inference")]
+MODULES = [importlib.import_module(f"strainloom.queries.{m}") for m in ("training_data", "network", "diversity", "association", "attribution", "stability", "inference", "details")]
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
