@@ -40,8 +40,19 @@ def _variants(t: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(F.array(t), one, two), lambda v: F.xxhash64(v)))
 
 
+def _above(named: DataFrame) -> DataFrame:
+    """(field_name, ref_id, above): the entries an entry refines, those with a name whose tokens are a proper part of the
+    tokens of one of its names ("USA" of "USA: Ohio"). A name looks for others by its rarest token only, so a token of
+    very many names makes no pairs among them."""
+    single = named.select("field_name", "name_id", "ref_id", "tokens", F.explode("tokens").alias("token"))
+    df = single.groupBy("field_name", "token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = single.join(df, ["field_name", "token"]).groupBy("field_name", "name_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.first("ref_id").alias("general"), F.first("tokens").alias("part"))
+    found = single.join(rarest.drop("name_id"), ["field_name", "token"]).where((F.col("general") != F.col("ref_id")) & (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
+    return found.groupBy("field_name", "ref_id").agg(F.collect_set("general").alias("above"))
+
+
 def _names(reference: DataFrame) -> DataFrame:
-    """(field_name, name_id, ref_id, token, idf, whole, weight): the tokens of every term and other name; a name of several
+    """(field_name, name_id, ref_id, token, idf, whole, weight, above): the tokens of every term and other name; a name of several
     tokens also stands as one joined token. Codes ("USA:AL", a token of one or two letters) stand joined only."""
     named = reference.select("field_name", "ref_id", F.explode(F.array_distinct(F.concat(F.array("term"), F.coalesce("alt_names", F.array().cast("array<string>"))))).alias("name"))
     named = named.where(F.col("name").isNotNull()).withColumn("tokens", F.array_distinct(tokens_of(F.col("name")))).where(F.size("tokens") > 0)
@@ -61,7 +72,7 @@ def _names(reference: DataFrame) -> DataFrame:
     )
     both = apart.withColumn("whole", F.lit(False)).unionByName(joined)
     weights = both.groupBy("field_name", "name_id").agg(F.sum("idf").alias("weight"))
-    return both.join(weights, ["field_name", "name_id"])
+    return both.join(weights, ["field_name", "name_id"]).join(_above(named), ["field_name", "ref_id"], "left").withColumn("above", F.coalesce("above", F.array().cast("array<long>")))
 
 
 def _vocabulary(names: DataFrame) -> DataFrame:
@@ -125,7 +136,8 @@ def rank_entries(values: DataFrame, reference: DataFrame) -> DataFrame:
     """(field_name, norm, ref_id) for the distinct (field_name, norm, tokens) rows that mean an entry.
 
     Soft TF-IDF: a name's score is the idf-weighted similarity of its tokens to the value's; names explained to
-    MIN_COVERAGE (by several tokens: MIN_COVERAGE_SEVERAL) or more compete, the most specific (largest explained weight) wins, then the best explained,
+    MIN_COVERAGE (by several tokens: MIN_COVERAGE_SEVERAL) or more compete; an entry
+    gives way to one that refines it, then the most specific (largest explained weight) wins, then the best explained,
     then the smallest ref_id.
     """
     names = cut(_names(reference))
@@ -138,11 +150,15 @@ def rank_entries(values: DataFrame, reference: DataFrame) -> DataFrame:
     found = alone.select("field_name", "norm", "word", "sim", "share").unionByName(beside)
     best = found.groupBy("field_name", "norm", "word").agg(F.max(F.col("sim") * (0.4 + 0.6 * F.col("share"))).alias("sim"), F.max("share").alias("share"))
     scored = best.join(names.withColumnRenamed("token", "word"), ["field_name", "word"])
-    scored = scored.groupBy("field_name", "norm", "name_id", "ref_id", "weight").agg(F.sum(F.col("idf") * F.col("sim")).alias("score"), F.min("share").alias("least"), F.count(F.lit(1)).alias("n"))
+    scored = scored.groupBy("field_name", "norm", "name_id", "ref_id", "weight").agg(F.sum(F.col("idf") * F.col("sim")).alias("score"), F.min("share").alias("least"), F.count(F.lit(1)).alias("n"), F.first("above").alias("above"))
     cover = F.col("score") / F.col("weight")
     several = F.col("n") > 1
     kept = scored.where((cover >= F.when(several, MIN_COVERAGE_SEVERAL).otherwise(MIN_COVERAGE)) & (several | (F.col("least") >= MIN_JOINED)))
-    return kept.groupBy("field_name", "norm").agg(F.max(F.struct(F.round("score", 9).alias("s"), F.round(cover, 9).alias("c"), (-F.col("ref_id")).alias("r"))).alias("b")).select("field_name", "norm", (-F.col("b.r")).alias("ref_id"))
+    # an entry gives way to those that refine it; a value has at most as many candidates as the list has names
+    ranked = kept.select("field_name", "norm", F.struct(F.round("score", 9).alias("s"), F.round(cover, 9).alias("c"), (-F.col("ref_id")).alias("r")).alias("b"), "above")
+    all_of = ranked.groupBy("field_name", "norm").agg(F.collect_list("b").alias("bs"), F.array_distinct(F.flatten(F.collect_list("above"))).alias("general"))
+    best = F.array_max(F.filter("bs", lambda x: ~F.array_contains("general", -x["r"])))
+    return all_of.select("field_name", "norm", (-best["r"]).alias("ref_id"))
 
 
 def long_values(rows: DataFrame, reference: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

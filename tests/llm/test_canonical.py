@@ -5,12 +5,12 @@ import pytest
 from strainloom.llm.canonical import map_to_reference, unmatched_values
 
 TERMS = [
-    (1, "place", "USA: Alabama", ["USA:AL", "Alabama"]), (2, "place", "USA: Indiana", ["USA:IN", "Indiana"]), (3, "place", "USA", ["United States"]), (4, "place", "USA: Virginia", ["USA:VA", "Virginia"]),
+    (1, "place", "USA: Alabama", ["USA:AL", "Alabama"]), (2, "place", "USA: Indiana", ["USA:IN", "Indiana"]), (3, "place", "USA", ["United States", "United States of America"]), (4, "place", "USA: Virginia", ["USA:VA", "Virginia"]),
     (5, "place", "USA: West Virginia", ["USA:WV", "West Virginia"]), (6, "place", "Mexico", None), (7, "place", "USA: New Mexico", ["USA:NM", "New Mexico"]), (8, "place", "USA: Ohio", ["USA:OH", "Ohio"]),
     (20, "what", "stool specimen", None), (21, "what", "whole broiler carcass", None), (22, "what", "cantaloupe rind", None), (23, "what", "fishery_uplands", None),
 ]
 CASES = [
-    ("place", "usa:in", 2), ("place", "collected in USA", 3), ("place", "U.S.A. - Virginia", 4), ("place", "west virgnia", 5), ("place", "Mexico", None), ("place", "mexcio?", 6), ("place", "US, state of New Mexico", 7),
+    ("place", "usa:in", 2), ("place", "collected in USA", 3), ("place", "U.S.A. - Virginia", 4), ("place", "west virgnia", 5), ("place", "United States: Ohio (inferred)", 8), ("place", "united states: Virgina", 4), ("place", "United States", 3), ("place", "Virginia", 4), ("place", "Mexico", None), ("place", "mexcio?", 6), ("place", "US, state of New Mexico", 7),
     ("place", "Lunar base 4", -1), ("place", "N/A", -1), ("place", "", -1), ("place", " - ", -1), ("place", None, None),
     ("what", "specimen, stool", 20), ("what", "STOOL  SPECIMENS #4", 20), ("what", "whole br0iler ca", 21), ("what", "carcass, whole brolier", 21), ("what", "cantaloupe r", 22), ("what", "fisheryuplands_v2", 23), ("what", "wooden idol", -1),
     ("what", "x" * 200_000, -1),
