@@ -1,9 +1,11 @@
 """The most similar allele profiles of every profile.
 
 Profiles become sign vectors (one hashed sign for each allele, 0 where missing) under a random rotation; lists
-are fitted by k-means on a bounded sample and every profile enters its nearest lists. Inside a list the vectors
-are scanned in blocks of columns: after each block a hypothesis test on the partial distance abandons most
-candidates, and the exact distance decides on the rest.
+are fitted by k-means on a bounded sample, without centres so near each other that they would cut a family of
+near copies, and every profile enters its nearest lists. Inside a list the vectors are scanned in blocks of
+columns: after each block a hypothesis test on the partial distance abandons most candidates, and the exact
+distance decides on the rest. Where most candidates would pass, the exact distances of the tile are counted at
+once. Only the k best of each profile are kept on the way.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ SAMPLE, ROUNDS = 20_000, 3
 LIST_SIZE, MAX_LISTS, PROBES = 100, 1024, 2
 #: A list that is expected to hold more is cut into blocks of this size; each pair of blocks is one group.
 BLOCK = 8192
+#: Rows and columns of a tile of a list; share of a tile's pairs from which exact distances of all are cheaper than
+#: tests, rows and columns of those; pairs tested at once.
+TILE, DENSE, DENSE_TILE, PAIRS = (1024, 2048), 0.05, (256, 1024), 50_000
 #: Columns after which candidates are tested, and the width of the test.
 COLUMNS, EPSILON = (32, 64, 128, LOCI), 2.1
 ROTATION_SEED = 7
@@ -47,17 +52,41 @@ def sign_vectors(x: np.ndarray) -> np.ndarray:
     return signs @ _rotation(x.shape[1])
 
 
-def fit_lists(vectors: np.ndarray, n_lists: int) -> np.ndarray:
-    """Spherical k-means centres of the sample."""
+def fit_lists(vectors: np.ndarray, n_lists: int, limit: float) -> np.ndarray:
+    """Spherical k-means centres of the sample, no two of which are as near as two profiles within a quarter of `limit`
+    are on average: the centres of the parts of one family of near copies are, so it is not cut, however large a
+    share of the sample it is."""
     rng = np.random.default_rng(ROTATION_SEED)
-    centres = vectors[rng.choice(len(vectors), min(n_lists, len(vectors)), replace=False)]
+    near = 1 - limit / 2
+    units, order = _unit(vectors), rng.permutation(len(vectors))
+    centres = units[:0]
+    for k in range(0, len(order), 1024):
+        part = units[order[k : k + 1024]]
+        if len(centres):
+            part = part[(part @ centres.T).max(1) < near]
+        centres = np.concatenate([centres, part[_apart(part, near)]])[:n_lists]
+        if len(centres) == n_lists:
+            break
     for _ in range(ROUNDS):
         centres = _unit(centres)
         own = nearest_lists(vectors, centres, 1)[:, 0]
         sums = np.zeros_like(centres)
         np.add.at(sums, own, vectors)
         centres = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, sums, centres)
-    return _unit(centres)
+    centres = _unit(centres)
+    weight = np.bincount(nearest_lists(vectors, centres, 1)[:, 0], minlength=len(centres))
+    centres = centres[np.argsort(-weight, kind="stable")]
+    return centres[_apart(centres, near)]
+
+
+def _apart(units: np.ndarray, near: float) -> list[int]:
+    """Places of rows, in order, whose cosine with all chosen before is below `near`."""
+    chosen, dropped = [], np.zeros(len(units), bool)
+    for i in range(len(units)):
+        if not dropped[i]:
+            chosen.append(i)
+            dropped |= units @ units[i] >= near
+    return chosen
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -71,33 +100,6 @@ def nearest_lists(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.n
     return np.argpartition(-score, probes - 1, 1)[:, :probes] if probes > 1 else score.argmax(1)[:, None]
 
 
-def scan(xa: np.ndarray, xb: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of xa, row of xb, distance) of the pairs within `limit`, by the adaptive scan."""
-    va = sign_vectors(xa)
-    vb = va if xb is xa else sign_vectors(xb)
-    ma, mb = (xa <= 0).sum(1), (xb <= 0).sum(1)
-    loci = xa.shape[1]
-    base = 4 * limit * loci
-    bound = lambda d, m: (base + m) * (1 + (EPSILON / np.sqrt(d) if d < loci else 1e-4)) ** 2 * d / loci
-    keep_a, keep_b, keep_d = [], [], []
-    for k in range(0, len(va), 1024):
-        d = COLUMNS[0]
-        head, other = va[k : k + 1024, :d], vb[:, :d]
-        partial = (head * head).sum(1)[:, None] + (other * other).sum(1)[None, :] - 2 * head @ other.T
-        a, b = np.nonzero(partial <= bound(d, ma[k : k + 1024][:, None] + mb[None, :]))
-        partial = partial[a, b]
-        a = a + k
-        for d, upto in zip(COLUMNS, COLUMNS[1:]):
-            step = va[a, d:upto] - vb[b, d:upto]
-            partial = partial + np.einsum("ij,ij->i", step, step)
-            ok = partial <= bound(upto, ma[a] + mb[b])
-            a, b, partial = a[ok], b[ok], partial[ok]
-        exact = distances(xa[a], xb[b])
-        ok = exact <= limit
-        keep_a.append(a[ok]), keep_b.append(b[ok]), keep_d.append(exact[ok])
-    return np.concatenate(keep_a), np.concatenate(keep_b), np.concatenate(keep_d)
-
-
 def _best(q: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     """Places of the k nearest of each q, ties by the smaller id."""
     order = np.lexsort((other, d, q))
@@ -107,6 +109,113 @@ def _best(q: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> np.ndarray
     return order[place < k]
 
 
+class KBest:
+    """The k nearest of each row of a block, ties by the smaller place; memory is rows x k."""
+
+    def __init__(self, n: int, k: int, limit: float):
+        self.k, self.d, self.other = k, np.full((n, k), np.inf), np.full((n, k), -1)
+        self.worst = np.full(n, np.nextafter(limit, 2))
+        self.limit = self.worst[:1].copy()
+
+    def add(self, q: np.ndarray, other: np.ndarray, d: np.ndarray) -> None:
+        """Candidates within the limit, in any order."""
+        if not len(q):
+            return
+        rows = np.unique(q)
+        q, other, d = np.r_[q, np.repeat(rows, self.k)], np.r_[other, self.other[rows].ravel()], np.r_[d, self.d[rows].ravel()]
+        top = _best(q, other, d, self.k)  # each row has k places already, so k remain
+        self.other[rows], self.d[rows] = other[top].reshape(-1, self.k), d[top].reshape(-1, self.k)
+        self.worst[rows] = np.minimum(self.d[rows, -1], self.limit)
+
+    def add_tile(self, rows: np.ndarray, others: np.ndarray, d: np.ndarray) -> None:
+        """Distances of rows x others. Others come in ascending order from tile to tile, so one that only equals
+        the worst kept loses the tie."""
+        better = d < self.worst[rows][:, None]
+        if len(others) > self.k and better.sum() > 4 * self.k * len(rows):
+            # distances of unequal shares lie further apart than the column's part of the key
+            key = np.where(better, d, 9) + np.arange(len(others)) * 1e-13
+            few = np.argpartition(key, self.k - 1, 1)[:, : self.k]
+            at = np.repeat(np.arange(len(rows)), self.k), few.ravel()
+            at = tuple(v[better[at]] for v in at)
+        else:
+            at = np.nonzero(better)
+        self.add(rows[at[0]], others[at[1]], d[at])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.nonzero(self.other >= 0)
+        return at[0], self.other[at], self.d[at]
+
+
+def _all_distances(xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
+    """`distances` of each row of xa and each of xb."""
+    ka, kb = xa > 0, xb > 0
+    a, b = np.where(ka, xa, -1).T.copy(), np.where(kb, xb, -2).T.copy()
+    equal = np.zeros((len(xa), len(xb)), np.uint8 if len(a) < 256 else np.uint16)
+    same = np.empty(equal.shape, bool)
+    for u, v in zip(a, b):
+        np.equal(u[:, None], v[None, :], out=same)
+        np.add(equal, same.view(np.uint8), out=equal)
+    known = ka.astype(np.float32) @ kb.T.astype(np.float32)
+    return np.where(known > 0, (known - equal) / np.maximum(known, 1).astype(np.float64), 1.0)
+
+
+def scan(xa: np.ndarray, xb: np.ndarray, limit: float, k: int) -> tuple[KBest, KBest]:
+    """The k best of xb for the rows of xa and of xa for the rows of xb within `limit`, by the adaptive scan. Where xb
+    is xa, both are the same and no row meets itself. Ties go to the smaller place."""
+    same = xb is xa
+    va = sign_vectors(xa)
+    vb = va if same else sign_vectors(xb)
+    ma, mb = (xa <= 0).sum(1), (xb <= 0).sum(1)
+    loci, d = xa.shape[1], COLUMNS[0]
+    base = 4 * limit * loci
+    bound = lambda d, m: (base + m) * (1 + (EPSILON / np.sqrt(d) if d < loci else 1e-4)) ** 2 * d / loci
+    best_a = KBest(len(xa), k, limit)
+    best_b = best_a if same else KBest(len(xb), k, limit)
+    na, nb = (va[:, :d] * va[:, :d]).sum(1), (vb[:, :d] * vb[:, :d]).sum(1)
+    # any row meets the others in ascending order: as a row of the tiles after it, before as a column
+    for i in range(0, len(xa), TILE[0]):
+        rows = slice(i, i + TILE[0])
+        for j in range(i if same else 0, len(xb), TILE[1]):
+            cols = slice(j, j + TILE[1])
+            partial = na[rows, None] + nb[None, cols] - 2 * va[rows, :d] @ vb[cols, :d].T
+            ok = partial <= bound(d, ma[rows, None] + mb[None, cols])
+            if same and j < i + TILE[0]:
+                ok &= np.arange(i, i + ok.shape[0])[:, None] < np.arange(j, j + ok.shape[1])[None, :]
+            if ok.size > PAIRS and ok.sum() > DENSE * ok.size:
+                _dense(xa, xb, range(i, i + ok.shape[0]), range(j, j + ok.shape[1]), same, best_a, best_b)
+                continue
+            at_a, at_b = np.nonzero(ok)
+            partial = partial[at_a, at_b]
+            for p in range(0, len(at_a), PAIRS):
+                a, b, part = at_a[p : p + PAIRS] + i, at_b[p : p + PAIRS] + j, partial[p : p + PAIRS]
+                for start, upto in zip(COLUMNS, COLUMNS[1:]):
+                    step = va[a, start:upto] - vb[b, start:upto]
+                    part = part + np.einsum("ij,ij->i", step, step)
+                    keep = part <= bound(upto, ma[a] + mb[b])
+                    a, b, part = a[keep], b[keep], part[keep]
+                exact = distances(xa[a], xb[b])
+                keep = exact <= limit
+                a, b, exact = a[keep], b[keep], exact[keep]
+                best_a.add(a, b, exact)
+                best_b.add(b, a, exact)
+    return best_a, best_b
+
+
+def _dense(xa: np.ndarray, xb: np.ndarray, rows: range, cols: range, same: bool, best_a: KBest, best_b: KBest) -> None:
+    """Exact distances of all pairs of a tile; where xb is xa, of each pair once."""
+    for i in rows[:: DENSE_TILE[0]]:
+        a = np.arange(i, min(i + DENSE_TILE[0], rows.stop))
+        for j in cols[:: DENSE_TILE[1]]:
+            b = np.arange(j, min(j + DENSE_TILE[1], cols.stop))
+            if same and b[-1] <= a[0]:
+                continue
+            d = _all_distances(xa[a], xb[b])
+            if same and j < a[-1] + 1:
+                d[a[:, None] >= b[None, :]] = 9
+            best_a.add_tile(a, b, d)
+            best_b.add_tile(b, a, d.T)
+
+
 def nearest_profiles(profiles: DataFrame, id_col: str, alleles: str, k: int, limit: float) -> DataFrame:
     """(id, neighbour): for every profile its k nearest others within `limit`, ties by the smaller id.
 
@@ -118,7 +227,7 @@ def nearest_profiles(profiles: DataFrame, id_col: str, alleles: str, k: int, lim
     n = known.count()
     sample = known.where(F.pmod(F.xxhash64("id", F.lit(ROTATION_SEED)), F.lit(max(1, n // SAMPLE))) == 0).select("x").limit(SAMPLE).toArrow()
     vectors = sign_vectors(matrix(sample.column("x"))) if sample.num_rows else np.zeros((1, LOCI), np.float32)
-    centres = fit_lists(vectors, max(1, min(MAX_LISTS, n // LIST_SIZE)))
+    centres = fit_lists(vectors, max(1, min(MAX_LISTS, n // LIST_SIZE)), limit)
     sizes = np.bincount(nearest_lists(vectors, centres, PROBES).ravel(), minlength=len(centres)) * max(1.0, n / max(1, len(vectors)))
     blocks = np.maximum(1, np.ceil(sizes / BLOCK)).astype(int)
 
@@ -151,16 +260,14 @@ def nearest_profiles(profiles: DataFrame, id_col: str, alleles: str, k: int, lim
     def within(group: pa.Table) -> pa.Table:
         ids, own, x = group.column("id").to_numpy(), group.column("own").to_numpy(), unpack(group.column("x").to_pylist())
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        order = np.argsort(ids, kind="stable")
+        left, right = order[own[order] == i], order[own[order] == j]
         first = x[left]
-        a, b, d = scan(first, first if i == j else x[right], limit)
-        a, b = left[a], right[b]
-        if i == j:
-            keep = a < b
-            a, b, d = a[keep], b[keep], d[keep]
-        q, other, d = np.r_[ids[a], ids[b]], np.r_[ids[b], ids[a]], np.r_[d, d]
-        top = _best(q, other, d, k)
-        return pa.table({"q": q[top], "other": other[top], "d": d[top]})
+        top = [(left, right, best.result()) for best in scan(first, first if i == j else x[right], limit, k)]
+        # the second side is that of the columns; within one block both are one
+        sides = top[:1] if i == j else [top[0], (right, left, top[1][2])]
+        q, other, d = (np.concatenate(v) for v in zip(*[(ids[at[r]], ids[to[o]], d) for at, to, (r, o, d) in sides]))
+        return pa.table({"q": q, "other": other, "d": d})
 
     lists = reps.mapInArrow(assign, "list int, i int, j int, own int, id long, x binary")
     found = lists.groupBy("list", "i", "j").applyInArrow(within, "q long, other long, d double").distinct()

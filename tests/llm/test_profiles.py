@@ -71,3 +71,22 @@ def test_many_copies(spark):
     for r in nearest_profiles(df, "profile_id", "alleles", 5, 0.05).collect():
         got.setdefault(r.profile_id, []).append(r.neighbour)
     assert all(sorted(v) == [x for x in range(7) if x != k][:5] for k, v in got.items()) and len(got) == 300
+
+
+def test_family_of_near_copies_is_not_cut(spark):
+    """A third of 9,000 profiles are near (not exact) copies of one."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([family(5, 6000), np.repeat(rng.integers(1, 900, (1, 240)), 3000, 0)]).astype(np.int16)
+    for row in x[6000:]:
+        at = rng.choice(240, rng.poisson(4), replace=False)
+        row[at] = rng.integers(1, 900, len(at))
+    order = rng.permutation(len(x))
+    x = np.maximum(x, 0)[order]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "profile_id long, alleles array<short>")
+    got = {(r.profile_id, r.neighbour) for r in nearest_profiles(df, "profile_id", "alleles", 5, 0.05).collect()}
+    want, asked = set(), rng.choice(np.flatnonzero(order >= 6000), 400, replace=False)
+    for i in asked:
+        d = distances(np.broadcast_to(x[i], x.shape), x)
+        d[i] = 9
+        want |= {(int(i), int(j)) for j in np.lexsort((np.arange(len(x)), d))[:5] if d[j] <= 0.05}
+    assert len(want) > 1500 and len(got & want) >= 0.98 * len(want)
