@@ -1,10 +1,12 @@
 """Overlaps and nearest profiles against brute force, with missing loci, copies, nulls and short arrays."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from strainloom.llm.neighbours import nearest_profiles
-from strainloom.llm.overlap import cross_split_pairs
+from strainloom.llm.overlap import SuffixIndex, cross_split_pairs, near_pairs_in_block
 from strainloom.llm.profiles import distances, pack, unpack
 
 
@@ -90,3 +92,27 @@ def test_family_of_near_copies_is_not_cut(spark):
         d[i] = 9
         want |= {(int(i), int(j)) for j in np.lexsort((np.arange(len(x)), d))[:5] if d[j] <= 0.05}
     assert len(want) > 1500 and len(got & want) >= 0.98 * len(want)
+
+
+def test_overlap_of_many_copies(spark):
+    one = [int(v) for v in family(3)[0]]
+    df = spark.range(500).selectExpr("id as profile_id").crossJoin(spark.createDataFrame([(one,)], "alleles array<short>"))
+    pairs = cross_split_pairs(df.where("profile_id < 300"), df.where("profile_id >= 300"), "profile_id", "alleles", 0.02)
+    got = {(r.train_id, r.eval_id) for r in pairs.where("distance = 0").collect()}
+    assert got == {(a, b) for a in range(300) for b in range(300, 500)} and pairs.count() == 300 * 200
+
+
+def test_overlap_memory_does_not_grow_with_the_anchors():
+    """3,000 near copies meet 800: every anchor finds most of the 2.4 million pairs again."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.integers(1, 900, (1, 240)), 3800, 0).astype(np.int16)
+    for row in x:
+        row[rng.choice(240, 1)] = rng.integers(1, 900)
+    y, x = x[:800], x[800:]
+    index = SuffixIndex(x)
+    tracemalloc.start()
+    r, at, d, _ = near_pairs_in_block(index, x, y, 0.02)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(zip(r.tolist(), at.tolist()))) == len(r) == 800 * 3000 and d.max() <= 0.02
+    assert peak < 400e6
