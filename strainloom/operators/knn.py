@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strainloom.functions.portable import folds
-from strainloom.functions.profiles import matrix
+from strainloom.functions.profiles import extent, matrix
 
 #: Rows of a block of queries and of a block of training profiles that meet in one task.
 QUERY_BLOCK, TRAIN_BLOCK = 500, 20_000
@@ -45,7 +45,8 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, per_label: bool = Fals
     ranks what is left. With `pool`, candidates are first the pool nearest by plain code distance, as a two-phase
     index would give them. Distances are at least min_dist; a null or short array counts as missing loci.
     """
-    n_train, n_query = max(1, -(-train.count() // TRAIN_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    (rows_t, loci_t), (rows_q, loci_q) = extent(train, "alleles"), extent(queries, "alleles")
+    loci, n_train, n_query = max(1, loci_t, loci_q), max(1, -(-rows_t // TRAIN_BLOCK)), max(1, -(-rows_q // QUERY_BLOCK))
     q = queries.select(F.col("id").alias("i"), F.col("alleles").alias("x"), F.pmod(F.xxhash64("id"), F.lit(n_query)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("tb"))
     t = train.select(F.col("id").alias("i"), F.col("alleles").alias("x"), "label", F.pmod(F.xxhash64("id"), F.lit(n_train)).cast("int").alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"))
     keep = pool or k
@@ -54,9 +55,9 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, per_label: bool = Fals
         out = {"query_id": [], "train_id": [], "label": [], "distance": [], "plain": []}
         if left.num_rows and right.num_rows:
             order = np.argsort(right.column("i").to_numpy())
-            x, ids = matrix(right.column("x"))[order], right.column("i").to_numpy()[order]
+            x, ids = matrix(right.column("x"), loci)[order], right.column("i").to_numpy()[order]
             labels = np.array(right.column("label").to_pylist(), dtype=object)[order]
-            y, mine = matrix(left.column("x")), left.column("i").to_numpy()
+            y, mine = matrix(left.column("x"), loci), left.column("i").to_numpy()
             groups = [np.flatnonzero(labels == v) for v in sorted(set(labels.tolist()))] if per_label else [np.arange(len(ids))]
             for at in range(0, len(y), 256):
                 d = block_distances(y[at : at + 256], x)

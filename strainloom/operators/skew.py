@@ -51,23 +51,32 @@ def skew_aggregate(df: DataFrame, keys: list[str], aggs: list[Column], heavy: Da
     return hot.unionByName(rest)
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = 0.01) -> DataFrame:
-    """Join a large skewed `left` with `right` on `keys`; `right` holds each key at most a few times.
+#: Parts that the rows of a heavy key are split in where the other side's rows of such keys are too many to broadcast.
+SALTS = 64
 
-    The right rows of the heavy keys of `left` are broadcast when there are at most BROADCAST_ROWS of them, the
-    remaining keys take a shuffle join. A left join keeps left rows with null keys. how: inner or left.
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = 0.01, heavy: list[str] | None = None) -> DataFrame:
+    """Join a large skewed `left` with `right` on `keys`.
+
+    The right rows of the heavy keys of `left` are broadcast when there are at most BROADCAST_ROWS of them; else the
+    heavy left rows are split in SALTS parts and the right rows of those keys repeated for each part. The remaining
+    keys take a shuffle join. A left join keeps left rows with null keys. how: inner or left. `heavy` names the heavy
+    keys (of a single key column, as text) where they are known; otherwise a sketch of `left` finds them.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     whole = F.to_json(F.struct(*keys)) if len(keys) > 1 else F.col(keys[0]).cast("string")
-    heavy = sketch_heavy_keys(left.select(whole.alias("__key")), "__key", share).select("__key").collect()  # at most 2 / share strings
-    names = [r[0] for r in heavy]
-    if not names:
-        return left.join(right, keys, how)
-    is_hot = F.coalesce(whole.isin(names), F.lit(False))
-    hot_right = right.where(is_hot)
-    if hot_right.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if heavy is None:
+        heavy = [r[0] for r in sketch_heavy_keys(left.select(whole.alias("__key")), "__key", share).select("__key").collect()]  # at most 2 / share strings
+    if not heavy:
         return left.join(right, keys, how)
-    hot = left.where(is_hot).join(F.broadcast(hot_right), keys, how)
+    is_hot = F.coalesce(whole.isin(heavy), F.lit(False))
+    hot_right, hot_left = right.where(is_hot), left.where(is_hot)
+    if hot_right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hot = hot_left.join(F.broadcast(hot_right), keys, how)
+    else:
+        salted = hot_left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        copies = hot_right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hot = salted.join(copies, [*keys, "__salt"], how).drop("__salt")
     rest = left.where(~is_hot).join(right.where(~is_hot), keys, how)
     return hot.unionByName(rest)

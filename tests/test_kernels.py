@@ -2,16 +2,18 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strainloom.functions.profiles import distances, pack, unpack
+from strainloom.functions.profiles import distances, matrix, pack, unpack
 from strainloom.functions.text import accession_key, outbreak_key, site_key
 from strainloom.operators import association as A
 from strainloom.operators import centrality as Z
 from strainloom.operators import curation as U
 from strainloom.operators import diversity as D
 from strainloom.operators import inference as I
+from strainloom.operators import knn as K
 
 
 def path_graph():
@@ -98,4 +100,25 @@ def test_keys(spark):
 
 def test_profiles():
     x = np.array([[1, 2, 0, 4000], [1, 3, 5, 9000]], np.int16)
-    assert distances(x[:1], x[1:])[0] == pytest.approx(2 / 3) and (unpack(pack(x), 4) == x).all()
+    assert distances(x[:1], x[1:])[0] == pytest.approx(2 / 3)
+    for y in (x, x[:1], x[:, :3], x[:0], x[:, :1]):
+        assert (unpack(pack(y), y.shape[1]) == y).all()
+    mixed = pa.chunked_array([pack(x), pack(x[:1])])
+    assert (unpack(mixed, 4) == x[[0, 1, 0]]).all()
+    column = pa.array([[1, 2, None], None, [], [-4, 7, 9]], pa.list_(pa.int16()))
+    assert matrix(column, 3).tolist() == [[1, 2, 0], [0] * 3, [0] * 3, [0, 7, 9]] and matrix(column, 4)[:, 3].sum() == 0
+    with pytest.raises(ValueError):
+        matrix(column, 2)
+
+
+def test_wide_profiles_count_whole(spark):
+    """3,002 loci: the distances are those of all of them."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 60, (40, 3002)).astype(np.int16)
+    df = spark.createDataFrame([(i, r.tolist(), "a") for i, r in enumerate(x)], "id long, alleles array<short>, label string")
+    got = {(r.query_id, r.rank): (r.train_id, r.distance) for r in K.nearest(df.where("id < 5"), df.where("id >= 5"), 3).collect()}
+    x = np.maximum(x, 0)
+    for i in range(5):
+        d = distances(np.broadcast_to(x[i], (35, 3002)), x[5:])
+        for rank, j in enumerate(np.argsort(d, kind="stable")[:3], 1):
+            assert got[i, rank] == (j + 5, pytest.approx(d[j], abs=1e-9))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from strainloom.operators import skew
 from strainloom.operators.skew import sketch_heavy_keys, skew_aggregate, skew_join
 
 
@@ -32,6 +33,18 @@ def test_join_equals_plain_join(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_join_of_too_many_hot_rows_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
+    left = skewed(spark, 3000)
+    right = spark.range(40).select(F.lit("hot").alias("k"), F.col("id").alias("w")).unionByName(spark.createDataFrame([("k5", 7)], "k string, w long"))
+    for how in ("inner", "left"):
+        a, b = skew_join(left, right, ["k"], how, 0.05), left.join(right, ["k"], how)
+        assert "__salt" in a._jdf.queryExecution().toString()
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    named = skew_join(left, right, ["k"], "inner", heavy=["hot", "k7"])
+    assert sorted(map(str, named.collect())) == sorted(map(str, left.join(right, ["k"]).collect()))
+
+
 def test_empty_and_all_null(spark):
     df = skewed(spark).where("false")
     assert sketch_heavy_keys(df, "k", 0.1).count() == 0
