@@ -1,11 +1,12 @@
 """The most similar allele profiles of every profile.
 
-Profiles become sign vectors (one hashed sign for each allele, 0 where missing) under a random rotation; lists
+Profiles become sign vectors (one hashed sign for each allele, 0 where missing) under a random rotation; cells
 are fitted by k-means on a bounded sample, without centres so near each other that they would cut a family of
-near copies, and every profile enters its nearest lists. Inside a list the vectors are scanned in blocks of
-columns: after each block a hypothesis test on the partial distance abandons most candidates, and the exact
-distance decides on the rest. Where most candidates would pass, the exact distances of the tile are counted at
-once. Only the k best of each profile are kept on the way.
+near copies, and every profile enters its nearest cells. A large cell is parted into lists in the same way, so the
+comparisons of a profile don't grow with the table. Inside a list the vectors are scanned in blocks of columns:
+after each block a hypothesis test on the partial distance abandons most candidates, and the exact distance decides
+on the rest. Where most candidates would pass to the end, the exact distances of the tile are counted at once. Only
+the k best of each profile are kept on the way.
 """
 
 from __future__ import annotations
@@ -18,20 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strainloom.llm.profiles import LOCI, distances, matrix, pack, unpack
+from strainloom.functions.profiles import distances, extent, matrix, pack, unpack
+from strainloom.operators.skew import skew_join
 from strainloom.session import BROADCAST_ROWS, cut
 
-#: Profiles of the sample on which the lists are fitted (a bound, whatever the table's size), and k-means rounds.
-SAMPLE, ROUNDS = 20_000, 3
-#: Profiles a list should hold, the most lists, lists that a profile enters.
-LIST_SIZE, MAX_LISTS, PROBES = 100, 1024, 2
-#: A list that is expected to hold more is cut into blocks of this size; each pair of blocks is one group.
-BLOCK = 8192
+#: Most cells, profiles a cell should hold, profiles of the sample for each cell (so the sample has at most
+#: CELLS * SAMPLE of them, whatever the table's size), k-means rounds, and cells or lists that a profile enters.
+CELLS, CELL_SIZE, SAMPLE, ROUNDS, PROBES = 1024, 500, 20, 3, 3
+#: A large cell is parted into lists of about LIST_SIZE, fitted on at least FIT of its own profiles for each list.
+LIST_SIZE, FIT = 500, 8
+#: A cell that is expected to hold more is cut into blocks of this size; each pair of blocks is one group.
+BLOCK = 32_768
 #: Rows and columns of a tile of a list; share of a tile's pairs from which exact distances of all are cheaper than
 #: tests, rows and columns of those; pairs tested at once.
-TILE, DENSE, DENSE_TILE, PAIRS = (1024, 2048), 0.05, (256, 1024), 50_000
+TILE, DENSE, DENSE_TILE, PAIRS = (1024, 2048), 0.02, (256, 1024), 50_000
 #: Columns after which candidates are tested, and the width of the test.
-COLUMNS, EPSILON = (32, 64, 128, LOCI), 2.1
+COLUMNS, EPSILON = (32, 64, 128), 2.1
 ROTATION_SEED = 7
 
 
@@ -159,39 +162,53 @@ def _all_distances(xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
     return np.where(known > 0, (known - equal) / np.maximum(known, 1).astype(np.float64), 1.0)
 
 
-def scan(xa: np.ndarray, xb: np.ndarray, limit: float, k: int) -> tuple[KBest, KBest]:
+def scan(xa: np.ndarray, xb: np.ndarray, limit: float, k: int, va: np.ndarray | None = None, vb: np.ndarray | None = None) -> tuple[KBest, KBest]:
     """The k best of xb for the rows of xa and of xa for the rows of xb within `limit`, by the adaptive scan. Where xb
     is xa, both are the same and no row meets itself. Ties go to the smaller place."""
     same = xb is xa
-    va = sign_vectors(xa)
-    vb = va if same else sign_vectors(xb)
+    va = sign_vectors(xa) if va is None else va
+    vb = va if same else sign_vectors(xb) if vb is None else vb
     ma, mb = (xa <= 0).sum(1), (xb <= 0).sum(1)
-    loci, d = xa.shape[1], COLUMNS[0]
+    loci = xa.shape[1]
+    columns = [*(c for c in COLUMNS if c < loci), loci]
+    if len(columns) == 1:
+        columns = [loci, loci]
     base = 4 * limit * loci
-    bound = lambda d, m: (base + m) * (1 + (EPSILON / np.sqrt(d) if d < loci else 1e-4)) ** 2 * d / loci
     best_a = KBest(len(xa), k, limit)
     best_b = best_a if same else KBest(len(xb), k, limit)
-    na, nb = (va[:, :d] * va[:, :d]).sum(1), (vb[:, :d] * vb[:, :d]).sum(1)
+    # for each stage: the partial distance minus what the missing loci allow, as one product of augmented rows
+    factor = [np.float32((1 + (EPSILON / np.sqrt(d) if d < loci else 1e-4)) ** 2 * d / loci) for d in columns]
+    wide_a = [_augmented(va[:, :d], ma, f, True) for d, f in zip(columns[:-1], factor)]
+    wide_b = [_augmented(vb[:, :d], mb, f, False) for d, f in zip(columns[:-1], factor)]
+    begin = 0
     # any row meets the others in ascending order: as a row of the tiles after it, before as a column
     for i in range(0, len(xa), TILE[0]):
         rows = slice(i, i + TILE[0])
         for j in range(i if same else 0, len(xb), TILE[1]):
             cols = slice(j, j + TILE[1])
-            partial = na[rows, None] + nb[None, cols] - 2 * va[rows, :d] @ vb[cols, :d].T
-            ok = partial <= bound(d, ma[rows, None] + mb[None, cols])
-            if same and j < i + TILE[0]:
-                ok &= np.arange(i, i + ok.shape[0])[:, None] < np.arange(j, j + ok.shape[1])[None, :]
-            if ok.size > PAIRS and ok.sum() > DENSE * ok.size:
+            # a tile goes on to more columns as a whole while many of its pairs pass; the next one begins where it ended
+            for stage in range(begin, len(wide_a)):
+                excess = wide_a[stage][rows] @ wide_b[stage][cols].T
+                ok = excess <= factor[stage] * base
+                if same and j < i + TILE[0]:
+                    ok &= np.arange(i, i + ok.shape[0])[:, None] < np.arange(j, j + ok.shape[1])[None, :]
+                passed = np.count_nonzero(ok)
+                many = passed > max(PAIRS, DENSE * ok.size)
+                if not many:
+                    break
+            begin = stage if passed * 8 > max(PAIRS, DENSE * ok.size) else max(0, stage - 1)
+            if many:
                 _dense(xa, xb, range(i, i + ok.shape[0]), range(j, j + ok.shape[1]), same, best_a, best_b)
                 continue
-            at_a, at_b = np.nonzero(ok)
-            partial = partial[at_a, at_b]
-            for p in range(0, len(at_a), PAIRS):
-                a, b, part = at_a[p : p + PAIRS] + i, at_b[p : p + PAIRS] + j, partial[p : p + PAIRS]
-                for start, upto in zip(COLUMNS, COLUMNS[1:]):
+            flat = np.flatnonzero(ok)
+            at_a, at_b = flat // ok.shape[1], flat % ok.shape[1]
+            for p in range(0, len(flat), PAIRS):
+                a, b = at_a[p : p + PAIRS] + i, at_b[p : p + PAIRS] + j
+                part = excess[at_a[p : p + PAIRS], at_b[p : p + PAIRS]] + factor[stage] * (ma[a] + mb[b])
+                for start, upto, f in zip(columns[stage:], columns[stage + 1 :], factor[stage + 1 :]):
                     step = va[a, start:upto] - vb[b, start:upto]
                     part = part + np.einsum("ij,ij->i", step, step)
-                    keep = part <= bound(upto, ma[a] + mb[b])
+                    keep = part <= f * (base + ma[a] + mb[b])
                     a, b, part = a[keep], b[keep], part[keep]
                 exact = distances(xa[a], xb[b])
                 keep = exact <= limit
@@ -201,6 +218,13 @@ def scan(xa: np.ndarray, xb: np.ndarray, limit: float, k: int) -> tuple[KBest, K
     return best_a, best_b
 
 
+def _augmented(v: np.ndarray, missing: np.ndarray, factor: np.float32, first: bool) -> np.ndarray:
+    """Rows whose product with those of the other side is |a - b|^2 - factor * (missing loci of both)."""
+    own = (np.einsum("ij,ij->i", v, v) - factor * missing)[:, None].astype(np.float32)
+    one = np.ones_like(own)
+    return np.concatenate([-2 * v, own, one] if first else [v, one, own], 1)
+
+
 def _dense(xa: np.ndarray, xb: np.ndarray, rows: range, cols: range, same: bool, best_a: KBest, best_b: KBest) -> None:
     """Exact distances of all pairs of a tile; where xb is xa, of each pair once."""
     for i in rows[:: DENSE_TILE[0]]:
@@ -216,65 +240,104 @@ def _dense(xa: np.ndarray, xb: np.ndarray, rows: range, cols: range, same: bool,
             best_b.add_tile(b, a, d.T)
 
 
+def scan_cell(xa: np.ndarray, xb: np.ndarray, limit: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of xa, row of xb, distance) of the k best of each side found in a cell or a pair of blocks of one, perhaps
+    more than once; where xb is xa each pair comes for both. A large cell is parted into lists as the whole table is
+    into cells, so the comparisons of a row don't grow with the cell, and lists are scanned one by one."""
+    same = xb is xa
+    va = sign_vectors(xa)
+    vb = va if same else sign_vectors(xb)
+    n_lists = max(len(xa), len(xb)) // LIST_SIZE
+    if n_lists > 2 * PROBES**2:  # fewer lists would save nothing, as a row enters PROBES of them
+        every = max(1, max(len(xa), len(xb)) // (n_lists * FIT))
+        centres = fit_lists(np.concatenate([va[::every], vb[1::every]]) if not same else va[::every], n_lists, limit)
+        in_a = nearest_lists(va, centres, PROBES)
+        in_b = in_a if same else nearest_lists(vb, centres, PROBES)
+        lists = [((in_a == c).any(1).nonzero()[0], (in_b == c).any(1).nonzero()[0]) for c in range(len(centres))]
+    else:
+        lists = [(np.arange(len(xa)), np.arange(len(xb)))]
+    for a, b in lists:
+        if not len(a) or not len(b):
+            continue
+        first = xa[a]
+        best_a, best_b = scan(first, first if same else xb[b], limit, k, va[a], None if same else vb[b])
+        r, o, d = best_a.result()
+        yield a[r], (a if same else b)[o], d
+        if not same:
+            o, r, d = best_b.result()
+            yield a[r], b[o], d
+
+
 def nearest_profiles(profiles: DataFrame, id_col: str, alleles: str, k: int, limit: float) -> DataFrame:
-    """(id, neighbour): for every profile its k nearest others within `limit`, ties by the smaller id.
+    """(id, neighbour, distance): for every profile its k nearest others within `limit`, ties by the smaller id.
 
-    Ids are longs and unique. Profiles without any known locus have no neighbours; exact copies are searched once
-    and each gets its own row of neighbours (a group of copies may be any size). The search is approximate: the
-    tests compare it with brute force. An empty table gives no rows; other columns are ignored.
+    Ids are longs and unique. Profiles without any known locus have no neighbours, shorter arrays miss their last loci;
+    exact copies are searched once and each gets its own row of neighbours (a group of copies may be any size). The
+    search is approximate: the tests compare it with brute force. An empty table gives no rows; other columns are
+    ignored.
     """
     known = profiles.where(F.exists(alleles, lambda v: v > 0)).select(F.col(id_col).alias("id"), F.col(alleles).alias("x"))
-    n = known.count()
-    sample = known.where(F.pmod(F.xxhash64("id", F.lit(ROTATION_SEED)), F.lit(max(1, n // SAMPLE))) == 0).select("x").limit(SAMPLE).toArrow()
-    vectors = sign_vectors(matrix(sample.column("x"))) if sample.num_rows else np.zeros((1, LOCI), np.float32)
-    centres = fit_lists(vectors, max(1, min(MAX_LISTS, n // LIST_SIZE)), limit)
+    n, loci = extent(known, "x")
+    n_cells = max(1, min(CELLS, n // CELL_SIZE))
+    size = n_cells * SAMPLE
+    sample = known.where(F.pmod(F.xxhash64("id", F.lit(ROTATION_SEED)), F.lit(max(1, n // size))) == 0).select("x").limit(size).toArrow()
+    loci = max(1, loci)
+    vectors = sign_vectors(matrix(sample.column("x"), loci)) if sample.num_rows else np.zeros((1, loci), np.float32)
+    centres = fit_lists(vectors, n_cells, limit)
     sizes = np.bincount(nearest_lists(vectors, centres, PROBES).ravel(), minlength=len(centres)) * max(1.0, n / max(1, len(vectors)))
-    blocks = np.maximum(1, np.ceil(sizes / BLOCK)).astype(int)
+    blocks = np.maximum(1, np.ceil(sizes / BLOCK)).astype(np.int64)
 
     prints = known.select("id", F.xxhash64("x").alias("h1"), F.hash("x").alias("h2"))
     copies = prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = prints.join(copies, ["h1", "h2"]).select("id", "rep")
+    members = cut(skew_join(prints, copies, ["h1", "h2"]).select("id", "rep"))
     # the k + 1 smallest of a group of copies, found in two steps so that no group meets in one task
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
     w1, w2 = Window.partitionBy("rep", "salt").orderBy("id"), Window.partitionBy("rep").orderBy("id")
     few = salted.withColumn("r", F.row_number().over(w1)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(w2)).where(F.col("r") <= k + 1)
     firsts = few.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    extra = cut(members.where("id <> rep").select("id"))
+    extra = members.where("id <> rep").select("id")
     reps = known.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra, "id", "left_anti")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = batch.column("id").to_numpy(), matrix(batch.column("x"))
+            ids, x = batch.column("id").to_numpy(), matrix(batch.column("x"), loci)
             if not len(ids):
                 continue
-            packed = pack(x)
-            out: dict[str, list] = {"list": [], "i": [], "j": [], "own": [], "id": [], "x": []}
-            for row, lists in enumerate(nearest_lists(sign_vectors(x), centres, PROBES)):
-                for c in lists:
-                    own = int(ids[row]) * 2654435761 % 1_000_003 % int(blocks[c])
-                    for other in range(blocks[c]):
-                        for name, v in zip(out, (int(c), min(own, other), max(own, other), own, int(ids[row]), packed[row])):
-                            out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in (("list", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("id", pa.int64()), ("x", pa.binary()))], list(out))
+            cell = nearest_lists(sign_vectors(x), centres, PROBES)
+            row = np.repeat(np.arange(len(ids)), cell.shape[1])
+            cell = cell.ravel()
+            own = ids[row] % 1_000_003 * 7919 % 1_000_003 % blocks[cell]
+            # a row of a cell of several blocks meets all of them
+            times = blocks[cell]
+            row, cell, own = (np.repeat(v, times) for v in (row, cell, own))
+            other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            out = {"cell": cell.astype(np.int32), "i": np.minimum(own, other).astype(np.int32), "j": np.maximum(own, other).astype(np.int32), "own": own.astype(np.int32), "id": ids[row]}
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in out.values()), pack(x).take(pa.array(row))], [*out, "x"])
 
     def within(group: pa.Table) -> pa.Table:
-        ids, own, x = group.column("id").to_numpy(), group.column("own").to_numpy(), unpack(group.column("x").to_pylist())
+        ids, own, x = group.column("id").to_numpy(), group.column("own").to_numpy(), unpack(group.column("x"), loci)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         order = np.argsort(ids, kind="stable")
         left, right = order[own[order] == i], order[own[order] == j]
-        first = x[left]
-        top = [(left, right, best.result()) for best in scan(first, first if i == j else x[right], limit, k)]
-        # the second side is that of the columns; within one block both are one
-        sides = top[:1] if i == j else [top[0], (right, left, top[1][2])]
-        q, other, d = (np.concatenate(v) for v in zip(*[(ids[at[r]], ids[to[o]], d) for at, to, (r, o, d) in sides]))
-        return pa.table({"q": q, "other": other, "d": d})
-
-    lists = reps.mapInArrow(assign, "list int, i int, j int, own int, id long, x binary")
-    found = lists.groupBy("list", "i", "j").applyInArrow(within, "q long, other long, d double").distinct()
-    nearest = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "other"))).where(F.col("r") <= k).select("q", "other", "d")
+        first, (ids_a, ids_b) = x[left], (ids[left], ids[right])
+        q, other, d = [], [], []
+        for a, b, dist in scan_cell(first, first if i == j else x[right], limit, k):
+            q.append(ids_a[a]), other.append((ids_a if i == j else ids_b)[b]), d.append(dist)
+            if i != j:
+                q.append(ids_b[b]), other.append(ids_a[a]), d.append(dist)
+        kinds = {"q": np.int64, "other": np.int64, "d": np.float64}
+        return pa.table({c: np.concatenate(v) if v else np.empty(0, t) for (c, t), v in zip(kinds.items(), (q, other, d))})
+
+    cells = reps.mapInArrow(assign, "cell int, i int, j int, own int, id long, x binary")
+    found = cells.groupBy("cell", "i", "j").applyInArrow(within, "q long, other long, d double")
+    best = F.slice(F.sort_array(F.collect_set(F.struct("d", "other"))), 1, k)
+    nearest = found.groupBy("q").agg(best.alias("b")).select("q", F.inline("b"))
     # copies: each neighbour stands for the first of its group, and a group's own members are nearest of all
     spread = nearest.join(firsts.withColumnRenamed("rep", "other"), "other", "left").select("q", "d", F.explode(F.coalesce("ids", F.array("other"))).alias("id"))
     own = firsts.select(F.col("rep").alias("q"), F.lit(0.0).alias("d"), F.explode("ids").alias("id"))
     ranked = spread.unionByName(own).groupBy("q").agg(F.sort_array(F.collect_set(F.struct("d", "id"))).alias("near"))
-    queries = ranked.join(members.withColumnRenamed("rep", "q"), "q", "left").select(F.coalesce("id", "q").alias("id"), "near")
+    # every member of a group of copies has the neighbours of its representative; a member that has no copies is one
+    asked = members.select("id", F.col("rep").alias("q"))
+    alone = ranked.join(firsts.select(F.col("rep").alias("q")), "q", "left_anti").select(F.col("q").alias("id"), "near")
+    queries = alone.unionByName(skew_join(asked, ranked, ["q"]).select("id", "near"))
     return queries.select("id", F.explode(F.slice(F.filter("near", lambda v: v["id"] != F.col("id")), 1, k)).alias("v")).select(F.col("id").alias(id_col), F.col("v.id").alias("neighbour"), F.col("v.d").alias("distance"))

@@ -5,9 +5,10 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from strainloom.llm.neighbours import nearest_profiles
+from strainloom.functions.profiles import distances
+from strainloom.llm import neighbours, overlap
+from strainloom.llm.neighbours import nearest_profiles, scan_cell
 from strainloom.llm.overlap import SuffixIndex, cross_split_pairs, near_pairs_in_block
-from strainloom.llm.profiles import distances, pack, unpack
 
 
 def family(seed, n=420):
@@ -39,12 +40,6 @@ def all_distances(x):
     return d
 
 
-def test_pack_round_trip():
-    x = np.vstack([family(2)[:20], np.full((1, 240), 32000, np.int16)])
-    x[x < 0] = 0
-    assert (unpack(pack(x)) == x).all()
-
-
 def test_overlap_is_exact(spark, rows):
     df, ids, x = rows
     train, test = df.where("profile_id % 3 <> 0"), df.where("profile_id % 3 = 0")
@@ -102,6 +97,78 @@ def test_overlap_of_many_copies(spark):
     assert got == {(a, b) for a in range(300) for b in range(300, 500)} and pairs.count() == 300 * 200
 
 
+@pytest.mark.parametrize("known", [(1, 240), (2, 240), (4, 240), (20, 240), (60, 240), (122, 240), (8, 8), (240, 2), (240, 12), (240, 90), (100, 130)])
+def test_sparse_profiles_are_found(spark, known):
+    """A training row is a copy of an evaluation row; both miss all but some loci. Every pair of brute force is found."""
+    rng = np.random.default_rng(sum(known))
+    x = rng.integers(1, 900, (60, 240)).astype(np.int16)
+    y = x[:20].copy()
+    for row, k in [*((r, known[0]) for r in x[:8]), *((r, known[1]) for r in y[:8])]:
+        row[rng.choice(240, 240 - k, replace=False)] = 0
+    data = [(i, r.tolist()) for i, r in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame(data, "profile_id long, alleles array<short>")
+    got = {(r.train_id, r.eval_id) for r in cross_split_pairs(df.where("profile_id >= 60"), df.where("profile_id < 60"), "profile_id", "alleles", 0.02).collect()}
+    want = {(60 + i, int(j)) for i, r in enumerate(y) for j in np.flatnonzero(distances(np.broadcast_to(r, x.shape), x) <= 0.02)}
+    assert got == want and len(want) >= 12
+
+
+def test_several_shards_and_blocks(spark, rows, monkeypatch):
+    df, ids, x = rows
+    train, test = df.where("profile_id % 3 <> 0"), df.where("profile_id % 3 = 0")
+    one = sorted(map(tuple, cross_split_pairs(train, test, "profile_id", "alleles", 0.02).collect()))
+    for name in ("SHARD", "BLOCK", "CHUNK"):
+        monkeypatch.setattr(overlap, name, 40)
+    assert sorted(map(tuple, cross_split_pairs(train, test, "profile_id", "alleles", 0.02).collect())) == one
+
+
+def test_matches_are_maximal_and_merged(spark):
+    rng = np.random.default_rng(8)
+    one = rng.integers(1, 900, 240)
+    two, three, four = one.copy(), one.copy(), one.copy()
+    two[100] += 1  # parts the profile in two matches, each with a whole segment
+    three[[3, 100, 170, 235]] += 1  # of the segments of 48 loci only the second has no difference: from 4 to 99
+    four[50:80] = 0
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate([one, one, two, three, four])], "profile_id long, alleles array<short>")
+    got = {r.eval_id: (r.matched_loci, r.n_spans) for r in cross_split_pairs(df.where("profile_id = 0"), df.where("profile_id > 0"), "profile_id", "alleles", 0.02).collect()}
+    assert got == {1: (240, 1), 2: (239, 2), 3: (96, 1), 4: (210, 1)}
+
+
+def test_index_is_its_text():
+    x = np.maximum(family(9)[:200], 0)
+    index = SuffixIndex.load(SuffixIndex.dump(x), 240)
+    assert (index.x == x).all()
+    assert (index.profiles(7, np.arange(200)) == np.lexsort(x[:, 7:].T[::-1])).all() or len(np.unique(x[:, 7:], axis=0)) < 200
+
+
+@pytest.mark.parametrize("loci", [1, 7, 301])
+def test_other_widths(spark, loci):
+    rng = np.random.default_rng(loci)
+    x = rng.integers(1, 4, (40, loci)).astype(np.int16)
+    x[20:] = x[:20]
+    x[20:, rng.integers(0, loci)] += 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "profile_id long, alleles array<short>")
+    d = all_distances(x)
+    got = {(r.train_id, r.eval_id) for r in cross_split_pairs(df.where("profile_id < 20"), df.where("profile_id >= 20"), "profile_id", "alleles", 0.02).collect()}
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 0.02)) if i < 20 <= j}
+    near = {(r.profile_id, r.neighbour) for r in nearest_profiles(df, "profile_id", "alleles", 5, 0.05).collect()}
+    want = {(i, j) for i in range(40) for j in sorted(np.flatnonzero(d[i] <= 0.05), key=lambda j: (d[i, j], j))[:5]}
+    assert len(near & want) >= 0.9 * len(want)
+
+
+def test_large_cells_are_parted(monkeypatch):
+    """Lists inside a cell, and between the blocks of one, find the pairs that brute force does."""
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 60)
+    x = np.maximum(family(11, 2400), 0)
+    d = all_distances(x)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 0.05))}
+    got = {(int(a), int(b)) for q, o, _ in scan_cell(x, x, 0.05, 5) for a, b in zip(q, o)}
+    assert got <= want and len(got) >= 0.95 * len(want)
+    left, right = x[::2], x[1::2]
+    pairs = {(int(a) * 2, int(b) * 2 + 1) for q, o, _ in scan_cell(left, right, 0.05, 5) for a, b in zip(q, o)}
+    apart = {(i, j) for i, j in want if i % 2 == 0 and j % 2}
+    assert pairs <= apart and len(pairs) >= 0.95 * len(apart)
+
+
 def test_overlap_memory_does_not_grow_with_the_anchors():
     """3,000 near copies meet 800: every anchor finds most of the 2.4 million pairs again."""
     rng = np.random.default_rng(6)
@@ -109,9 +176,9 @@ def test_overlap_memory_does_not_grow_with_the_anchors():
     for row in x:
         row[rng.choice(240, 1)] = rng.integers(1, 900)
     y, x = x[:800], x[800:]
-    index = SuffixIndex(x)
+    index = SuffixIndex.of(x)
     tracemalloc.start()
-    r, at, d, _ = near_pairs_in_block(index, x, y, 0.02)
+    r, at, d, *_ = near_pairs_in_block(index, y, 0.02)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(set(zip(r.tolist(), at.tolist()))) == len(r) == 800 * 3000 and d.max() <= 0.02
