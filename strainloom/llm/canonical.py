@@ -7,10 +7,8 @@ entries. Everything works on distinct values and distinct tokens; the rows are j
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from strainloom.operators.skew import skew_join
 from strainloom.session import BROADCAST_ROWS, cut, require_columns
@@ -93,37 +91,31 @@ def _forms(token: Column) -> Column:
     return F.filter(made, lambda x: x["form"].isNotNull() & ((x["form"] != token) | (x["cost"] == 0)))
 
 
-@F.pandas_udf(IntegerType())
-def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance in which a swap of neighbours is one edit."""
-    out = []
-    for x, y in zip(a, b):
-        before, last = None, list(range(len(y) + 1))
-        for i, c in enumerate(x, 1):
-            row = [i]
-            for j, d in enumerate(y, 1):
-                v = min(row[-1] + 1, last[j] + 1, last[j - 1] + (c != d))
-                if i > 1 and j > 1 and c == y[j - 2] and x[i - 2] == d:
-                    v = min(v, before[j - 2] + 1)
-                row.append(v)
-            before, last = last, row
-        out.append(last[-1])
-    return pd.Series(out, dtype="int32")
+def _swaps(t: Column) -> Column:
+    """The token with each pair of neighbours swapped."""
+    return F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.lit(1)), F.substring(t, i, F.lit(1)), F.substring(t, i + 2, F.length(t))))
+
+
+def _edits(form: Column, spelling: Column, plain: Column) -> Column:
+    """Edit distance in which a swap of neighbours is one edit, exact up to 2; plain is the one without swaps."""
+    swapped = _swaps(form)
+    after = F.array_min(F.transform(swapped, lambda s: F.levenshtein(s, spelling)))
+    twice = F.when(F.arrays_overlap(swapped, _swaps(spelling)), 2)
+    long = (F.length(form) > 1) & (F.length(spelling) > 1)
+    return F.when((plain >= 2) & long, F.least(plain, 1 + after, twice)).otherwise(plain)
 
 
 def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(field_name, token, word, sim, share, n) for the distinct (field_name, token) rows: reference words within two
     edits (one below five letters; a swap of neighbours counts as one), whole and shortened (share below 1)."""
     longest = vocabulary.agg(F.max(F.length("spelling"))).first()[0] or 0
-    short = tokens.where(F.length("token") <= longest + 4)  # a longer token is more than two edits and a plural away
-    forms = short.select("field_name", "token", F.inline(_forms(F.col("token"))))
+    forms = tokens.select("field_name", "token", F.inline(_forms(F.col("token")))).where(F.length("form") <= longest + 2)  # a longer form is more than two edits away
     left = forms.select("field_name", "token", "form", "cost", F.explode(_variants(F.col("form"))).alias("v"))
     right = vocabulary.select("field_name", F.col("token").alias("word"), "spelling", "share", F.explode(_variants(F.col("spelling"))).alias("v"))
     pairs = left.join(right, ["field_name", "v"]).groupBy("field_name", "token", "form", "word", "spelling", "share").agg(F.min("cost").alias("cost"))
     longer = F.greatest(F.length("form"), F.length("spelling"))
     pairs = pairs.withColumn("plain", F.levenshtein("form", "spelling", 4)).where("plain >= 0")
-    swapped = pairs.where("plain >= 2").select("form", "spelling").distinct().withColumn("swapped", _edits("form", "spelling"))
-    pairs = pairs.join(swapped, ["form", "spelling"], "left").withColumn("edits", F.coalesce("swapped", "plain"))
+    pairs = pairs.withColumn("edits", _edits(F.col("form"), F.col("spelling"), F.col("plain")))
     allowed = F.when(longer >= 5, 2).when(longer >= 3, 1).otherwise(0)
     kept = pairs.where(F.col("edits") <= allowed)
     kept = kept.where((F.col("share") == 1) | (F.col("edits") == 0) | ((F.length("spelling") >= 4) & (F.col("edits") <= F.when(F.length("spelling") >= 6, 2).otherwise(1))))

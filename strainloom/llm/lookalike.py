@@ -1,9 +1,10 @@
 """Text that looks the same but differs in its characters, brought to one form.
 
-The vocabulary (tokens in one script, composed, without width or invisible variants) is kept in tries; every other
-token walks them with an automaton whose look-alike and ignorable arcs cost nothing and takes the canonical
-spelling it ends on; tokens that end nowhere are normalised by table. Tries are built for buckets of tokens that
-share a beginning and a length, so no task holds the vocabulary.
+The vocabulary (tokens in one script, composed, without ligatures, width or invisible variants) is kept in tries; every
+other token traverses them with a weighted edit automaton in which look-alikes, ligatures and ignorable characters cost
+nothing and other edits something, and takes the best of the spellings it ends on within its budget; tokens that end
+nowhere are normalised by table. Tries are built for buckets of tokens that share a beginning and a length, so no task
+holds the vocabulary.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from strainloom.operators.skew import skew_join
 from strainloom.session import cut
 
 # Letters of Cyrillic and Greek that look like Latin ones, in natural order.
@@ -27,13 +29,15 @@ CYRILLIC = "АВЕІЈКМНОРСТХЅаеіјорсухѕ"
 CYRILLIC_LOOKS = "ABEIJKMHOPCTXSaeijopcyxs"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"
 GREEK_LOOKS = "ABEZHIKMNOPTYXvo"
+# Ligatures and the letters they look like.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 # Code points of blanks that look like a space, and of characters that show nothing.
 BLANKS = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 IGNORED = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), 0xFEFF]
 
 _LOOKS = dict(zip(CYRILLIC + GREEK, CYRILLIC_LOOKS + GREEK_LOOKS))
 _WIDE = {chr(0xFF00 + o - 0x20): chr(o) for o in range(0x21, 0x7F) if chr(o).isalnum()}
-_TABLE = {ord(k): v for k, v in (_LOOKS | _WIDE).items()} | {o: " " for o in BLANKS}
+_TABLE = {ord(k): v for k, v in (_LOOKS | _WIDE | LIGATURES).items()} | {o: " " for o in BLANKS}
 _DROP = {o: None for o in IGNORED}
 
 
@@ -51,7 +55,7 @@ def _ranges(chars: list[int]) -> str:
 _MARKS = [c for c in range(0x300, 0x11000) if unicodedata.category(chr(c))[0] == "M"]
 #: A token: letters, digits, marks and ignorable characters in a row.
 TOKEN = re.compile(rf"[\w{_ranges(_MARKS)}{_ranges(IGNORED)}]+")
-_PLAIN_SIGNS = frozenset(_WIDE) | frozenset(map(chr, IGNORED)) | frozenset(map(chr, _MARKS))
+_PLAIN_SIGNS = frozenset(_WIDE) | frozenset(LIGATURES) | frozenset(map(chr, IGNORED)) | frozenset(map(chr, _MARKS))
 
 
 def _script(c: str) -> int:
@@ -87,52 +91,97 @@ def by_table(text: str) -> str:
 
 def _bucket(token: Column, buckets: int) -> Column:
     """A bucket that all spellings of a look share: of the first three base letters and their number."""
+    for ligature, letters in LIGATURES.items():
+        token = F.replace(token, F.lit(ligature), F.lit(letters))
     bare = F.regexp_replace(F.translate(token, _FROM, _TO), rf"[\p{{M}}{''.join(map(chr, IGNORED))}]+", "")
     return F.pmod(F.xxhash64(F.substring(bare, 1, 3), F.length(bare)), F.lit(buckets)).alias("bucket")
 
 
+#: Cost of a character that is replaced by one that looks different, missing or too many.
+EDIT = 1.0
+
+
 class Trie:
-    """Spellings by their decomposed characters; arcs are found by what a character looks like."""
+    """Spellings by their decomposed characters. A node is a dict of arcs: character to node; words end in a node."""
 
     def __init__(self):
-        self.arcs: dict[str, list[Trie]] = {}
-        self.words: list[tuple[int, int, str]] = []
+        self.arcs: list[dict[str, int]] = [{}]
+        self.words: dict[int, list[tuple[int, int, str]]] = {}
 
     def add(self, word: str, count: int) -> None:
-        node = self
+        node = 0
         for c in unicodedata.normalize("NFD", word):
-            node = node.arcs.setdefault(_TABLE.get(ord(c), c), [Trie()])[0]
-        script = 0 if any("LATIN" in unicodedata.name(c, "") for c in word) or word.isascii() else 1 if any(c in _CYRILLIC_SET for c in word) else 2
-        node.words.append((script, -count, word))
-
-    def walk(self, token: str) -> list[tuple[int, int, str]]:
-        """Spellings at cost 0: an ignorable character stays where it is, a look-alike takes the arc for free."""
-        node = self
-        for c in unicodedata.normalize("NFD", token.translate(_DROP)):
-            following = node.arcs.get(_TABLE.get(ord(c), c))
+            following = self.arcs[node].get(c)
             if following is None:
+                following = self.arcs[node][c] = len(self.arcs)
+                self.arcs.append({})
+            node = following
+        script = 0 if any("LATIN" in unicodedata.name(c, "") for c in word) or word.isascii() else 1 if any(c in _CYRILLIC_SET for c in word) else 2
+        self.words.setdefault(node, []).append((script, -count, word))
+
+    def _alike(self, states: dict[int, float], look: str) -> dict[int, float]:
+        """States after one character that looks like `look`, at no cost."""
+        out: dict[int, float] = {}
+        for node, cost in states.items():
+            for c in _FAMILY.get(look, look):
+                to = self.arcs[node].get(c)
+                if to is not None and cost < out.get(to, float("inf")):
+                    out[to] = cost
+        return out
+
+    def _closed(self, states: dict[int, float], budget: float) -> dict[int, float]:
+        """States with those reached by characters that the token lacks."""
+        todo = list(states.items())
+        while todo:
+            node, cost = todo.pop()
+            for to in self.arcs[node].values():
+                if cost + EDIT <= budget and cost + EDIT < states.get(to, float("inf")):
+                    states[to] = cost + EDIT
+                    todo.append((to, cost + EDIT))
+        return states
+
+    def walk(self, token: str, budget: float = 0.0) -> list[tuple[float, int, int, str]]:
+        """(cost, script, -count, spelling) of the spellings within the budget. The automaton holds every node it may be
+        in with its cost: a look-alike takes each arc of its look and a ligature one for each of its letters for free,
+        an ignorable character or an unseen mark stays; any other edit costs EDIT."""
+        states = self._closed({0: 0.0}, budget)
+        for c in unicodedata.normalize("NFD", token):
+            if ord(c) in _DROP:
+                continue
+            following = states
+            for look in _TABLE.get(ord(c), c):
+                following = self._alike(following, look)
+            for node, cost in states.items() if budget else ():
+                for to in (node, *self.arcs[node].values()):  # too many, or another one
+                    if cost + EDIT <= budget and cost + EDIT < following.get(to, float("inf")):
+                        following[to] = cost + EDIT
+            states = self._closed(following, budget)
+            if not states:
                 return []
-            node = following[0]
-        return node.words
+        return [(cost, *w) for node, cost in states.items() for w in self.words.get(node, ())]
 
 
 #: Tokens a bucket should hold.
 BUCKET = 20_000
 _CYRILLIC_SET = set(map(chr, range(0x400, 0x530)))
+#: All characters of a look.
+_FAMILY = {look: look + "".join(c for c, v in (_LOOKS | _WIDE).items() if v == look) for look in {*_LOOKS.values(), *_WIDE.values()}}
 
 
-def canonical_spellings(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
+def canonical_spellings(vocabulary: DataFrame, tokens: DataFrame, budget: float = 0.0) -> DataFrame:
     """(token, canonical) for distinct `tokens`; vocabulary is (token, n) with one-script spellings and counts.
 
-    Among the spellings a token reaches at no cost the Latin one wins, then Cyrillic, then Greek, then the more
-    frequent, then the smaller. A token that reaches none is normalised by table.
+    Of the spellings a token reaches within `budget` the cheapest wins, then the Latin one, then Cyrillic, then Greek, then the more
+    frequent, then the smaller. A token that reaches none is normalised by table. With the budget 0 only characters that
+    make no visible difference are free; a larger one repairs misread letters too (bucketed by the first three base
+    letters and the length, so not there).
     """
 
     def spell(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
         for word, n in zip(words["token"], words["n_docs"]) if len(asked) else ():
             trie.add(word, n)
-        found = [min(w)[2] if (w := trie.walk(t)) else by_table(t) for t in asked["token"]]
+        found = [min(w)[3] if (w := trie.walk(t, budget)) else by_table(t) for t in asked["token"]]
         return pd.DataFrame({"token": asked["token"], "canonical": found}, dtype=object)
 
     buckets = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(vocabulary.count() + tokens.count()) // BUCKET))
@@ -184,20 +233,39 @@ def canonical_texts(documents: DataFrame, id_col: str, text_col: str) -> DataFra
     vocabulary = cut(scanned.where("id is null").groupBy("token").agg(F.sum("n").alias("n_docs")))
     asked = scanned.where("id is not null").select("id", "token")
     spelt = canonical_spellings(vocabulary, cut(asked.select("token").distinct())).where(F.col("token") != F.col("canonical"))
-    maps = asked.join(spelt, "token").groupBy("id").agg(F.collect_list("token").alias("names"), F.collect_list("canonical").alias("forms"))
+    maps = skew_join(asked, cut(spelt), ["token"]).groupBy("id").agg(F.collect_list("token").alias("names"), F.collect_list("canonical").alias("forms"))
     plain = F.octet_length("text") == F.length("text")  # ASCII only
     rendered = docs.where(~plain).join(maps, "id", "left").select("id", "text", _render("text", "names", "forms").alias("canonical"))
     return docs.where(plain).select("id", "text", F.col("text").alias("canonical")).unionByName(rendered).withColumnRenamed("id", id_col)
 
 
+def _looks(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, look, own) of the documents whose look has more than one text, and (look, own, n) of those texts."""
+    canon = canonical_texts(documents, id_col, text_col)
+    prints = cut(canon.select(F.col(id_col).alias("id"), F.md5("canonical").alias("look"), F.md5("text").alias("own")))
+    texts = cut(prints.groupBy("look", "own").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")))
+    several = texts.groupBy("look").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"), F.min("least").alias("class_id")).where("k > 1")
+    classes = cut(texts.join(several, "look").select("look", "own", "n", "size", "class_id"))
+    return skew_join(prints, classes.select("own", "look"), ["own", "look"]).select("id", "own"), classes
+
+
 def look_alike_pairs(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_a, doc_b): pairs of documents, smaller id first, whose texts look the same but are not the same characters.
 
-    Only differing texts make a pair, so a group of exact copies gives none among themselves.
+    Only differing texts make a pair, so a group of exact copies gives none among themselves: the texts of a look are
+    paired first, then each pair's documents.
     """
-    canon = canonical_texts(documents, id_col, text_col)
-    prints = cut(canon.select(F.col(id_col).alias("id"), F.md5("canonical").alias("look"), F.md5("text").alias("own")))
-    several = prints.groupBy("look").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("look")
-    kept = prints.join(several, "look")
-    left, right = kept.withColumnsRenamed({"id": "doc_a", "own": "own_a"}), kept.withColumnsRenamed({"id": "doc_b", "own": "own_b"})
-    return left.join(right, "look").where("doc_a < doc_b and own_a <> own_b").select("doc_a", "doc_b")
+    docs, classes = _looks(documents, id_col, text_col)
+    docs = cut(docs)
+    texts = classes.select("look", F.col("own").alias("own_a")).join(classes.select("look", F.col("own").alias("own_b")), "look").where("own_a < own_b").select("own_a", "own_b")
+    first = skew_join(docs.withColumnsRenamed({"id": "a", "own": "own_a"}), texts, ["own_a"]).select("a", "own_b")
+    both = skew_join(first, docs.withColumnsRenamed({"id": "b", "own": "own_b"}), ["own_b"])
+    return both.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
+
+
+def look_alike_classes(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, n_links): one row for each document whose text has a look-alike that is not the same characters;
+    class_id is the smallest id of that look, n_links the number of such look-alikes."""
+    docs, classes = _looks(documents, id_col, text_col)
+    links = classes.select("own", "class_id", (F.col("size") - F.col("n")).alias("n_links"))
+    return skew_join(docs, links, ["own"]).select(F.col("id").alias(id_col), "class_id", "n_links")

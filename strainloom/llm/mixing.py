@@ -35,9 +35,11 @@ def mix_sources(sized: DataFrame, targets: DataFrame, id_col: str, size_col: str
 
 
 def shares_reached(mixed: DataFrame, rates: DataFrame) -> DataFrame:
-    """(source, target_share, rate, n_rows, size, share): what each source came to, beside its target."""
+    """(source, target_share, rate, n_rows, size, share, expected_share): what each source came to, beside its target and
+    the share its rate comes to on average: below the target by the cap on repeats, off the share by the draw alone."""
     got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("size").cast("long")).alias("size"))
     total = F.broadcast(got.agg(F.sum("size").alias("total")))
-    wanted = rates.select(F.col("source").alias("s"), "target_share", "rate")
-    joined = wanted.join(got, F.col("s").eqNullSafe(F.col("source")), "left").crossJoin(total)
-    return joined.select(F.col("s").alias("source"), "target_share", F.round("rate", 6).alias("rate"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("size", F.lit(0)).alias("size"), F.round(F.coalesce(F.col("size") / F.col("total"), F.lit(0.0)), 6).alias("share"))
+    wanted = rates.select(F.col("source").alias("s"), "target_share", "rate", (F.col("rate") * F.col("size")).alias("expected"))
+    hoped = F.broadcast(wanted.agg(F.sum("expected").alias("all_expected")))
+    joined = wanted.join(got, F.col("s").eqNullSafe(F.col("source")), "left").crossJoin(total).crossJoin(hoped)
+    return joined.select(F.col("s").alias("source"), "target_share", F.round("rate", 6).alias("rate"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("size", F.lit(0)).alias("size"), F.round(F.coalesce(F.col("size") / F.col("total"), F.lit(0.0)), 6).alias("share"), F.round(F.coalesce(F.try_divide("expected", "all_expected"), F.lit(0.0)), 6).alias("expected_share"))

@@ -15,15 +15,14 @@ from pyspark.sql import functions as F
 
 #: Documents a shard should hold; its containers are filled independently of other shards.
 SHARD = 8_000
-#: A source may enter a container again only where keeping it apart would leave this share of a container unused.
-SOURCE_SLACK = 0.02
 
 
-def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
+def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, source_slack: float | None = None) -> list[int]:
     """Container of each item (sizes at most capacity, in falling order).
 
-    Two items of one cluster (an id from 0; -1 for none) never share a container. Two of one source share one only
-    if the tightest container that keeps them apart would be left with more free room than SOURCE_SLACK.
+    Two items of one cluster (an id from 0; -1 for none) never share a container, nor do two of one source. With a
+    `source_slack`, two of one source may share the tightest container where the tightest one that keeps them apart
+    would be left with more free room than this share of the capacity, or is a new one.
     """
     rooms: list[tuple[int, int]] = []  # (free room, container), ordered
     in_source: list[int] = []
@@ -31,22 +30,18 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     out = []
     for size, source, cluster in zip(sizes, sources, clusters):
         source_bit, cluster_bit = 1 << source, 1 << cluster if cluster >= 0 else 0
-        chosen = -1
+        chosen = shared = -1
         k = bisect_left(rooms, (size, -1))
         while k < len(rooms):
             room, box = rooms[k]
             if not in_cluster[box] & cluster_bit:
-                apart = not in_source[box] & source_bit
-                if chosen < 0:
+                if not in_source[box] & source_bit:
                     chosen = k
-                    if apart or room - size <= 0:
-                        break
-                elif apart and room - size <= SOURCE_SLACK * capacity:
-                    chosen = k
-                    break
-                if room - size > SOURCE_SLACK * capacity:
                     break
+                shared = k if shared < 0 else shared
             k += 1
+        if source_slack is not None and shared >= 0 and (chosen < 0 or rooms[chosen][0] - size > source_slack * capacity):
+            chosen = shared
         if chosen < 0:
             box, room = len(in_source), capacity
             in_source.append(0)
@@ -61,8 +56,9 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return out
 
 
-def pack_documents(sized: DataFrame, id_col: str, size_col: str, source: Column, cluster: Column, capacity: int) -> DataFrame:
-    """(id, piece, token_from, token_to, n_tokens, container): every document in containers of `capacity` tokens.
+def pack_documents(sized: DataFrame, id_col: str, size_col: str, source: Column, cluster: Column, capacity: int, source_slack: float | None = None) -> DataFrame:
+    """(id, piece, token_from, token_to, n_tokens, container, source_again): every document in containers of `capacity`
+    tokens; source_again: its container held its source already (never without a `source_slack`, see best_fit).
 
     A document within the capacity is one piece; a longer one is cut into full pieces, each a container of its own,
     and a rest that is packed like others. Empty and null texts (size 0 or null) take no room and give no row.
@@ -84,9 +80,10 @@ def pack_documents(sized: DataFrame, id_col: str, size_col: str, source: Column,
         clusters = [-1] * len(group)
         for place, code in zip(twice.nonzero()[0], pd.factorize(codes[twice])[0]):  # only clusters met twice can conflict
             clusters[place] = int(code)
-        box = best_fit(group.n_tokens.tolist(), sources, clusters, capacity)
+        box = best_fit(group.n_tokens.tolist(), sources, clusters, capacity, source_slack)
         group["container"] = [f"{s}-{b}" for s, b in zip(group.shard, box)]
-        return group[["id", "piece", "token_from", "token_to", "n_tokens", "container"]]
+        group["source_again"] = group.duplicated(["container", "source"])
+        return group[["id", "piece", "token_from", "token_to", "n_tokens", "container", "source_again"]]
 
-    packed = cut_up.groupBy("shard").applyInPandas(fill, f"id {docs.schema['id'].dataType.simpleString()}, piece int, token_from int, token_to int, n_tokens int, container string")
+    packed = cut_up.groupBy("shard").applyInPandas(fill, f"id {docs.schema['id'].dataType.simpleString()}, piece int, token_from int, token_to int, n_tokens int, container string, source_again boolean")
     return packed.withColumnRenamed("id", id_col)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from strainloom.functions.text import accession_key, outbreak_key, site_key
 from strainloom.llm.canonical import map_to_reference, unmatched_values
-from strainloom.llm.lookalike import canonical_texts, look_alike_pairs
+from strainloom.llm.lookalike import canonical_texts, look_alike_classes, look_alike_pairs
 from strainloom.llm.mixing import mix_sources, repetition_rates, shares_reached
 from strainloom.llm.neighbours import nearest_profiles
 from strainloom.llm.overlap import cross_split_pairs
 from strainloom.llm.packing import pack_documents
 from strainloom.llm.splits import related_groups, split_by_weight
 from strainloom.llm.tokens import n_tokens
+from strainloom.operators.skew import skew_join
 from strainloom.session import cut, read_table
 
 META, TRAIN, TEST = "metadata_training_testing", "knn_training_cgmlst", "knn_testing_cgmlst"
@@ -47,14 +48,14 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = cut(_groups(spark, sf_dir))
     tied = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id")
-    return grouped.join(tied, "group_id").select("row_id", "group_id")
+    return skew_join(grouped, cut(tied), ["group_id"]).select("row_id", "group_id")
 
 
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metadata row with its group and split."""
     grouped = cut(_groups(spark, sf_dir))
     weights = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("weight"))
-    return grouped.join(split_by_weight(weights, read_table(spark, sf_dir, "split_targets")), "group_id").select("row_id", "group_id", "split_name")
+    return skew_join(grouped, cut(split_by_weight(weights, read_table(spark, sf_dir, "split_targets"))), ["group_id"]).select("row_id", "group_id", "split_name")
 
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,21 +73,30 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = read_table(spark, sf_dir, TRAIN), read_table(spark, sf_dir, TEST)
     near = cross_split_pairs(train, test, "profile_id", "alleles", SAME_DISTANCE).select("train_id", "eval_id")
     keys = [t.select(F.col("profile_id").alias(name), accession_key(F.col("barcode")).alias("acc")).where("acc is not null") for t, name in ((train, "train_id"), (test, "eval_id"))]
-    same = keys[0].join(keys[1], "acc").select("train_id", "eval_id")
+    same = skew_join(keys[0], keys[1], ["acc"]).select("train_id", "eval_id")
     meta = read_table(spark, sf_dir, META).where("hc5 > 0").select(accession_key(F.col("biosample_acc")).alias("acc"), "hc5").where("acc is not null").distinct()
-    hc5 = [k.join(meta, "acc").drop("acc").distinct() for k in keys]
-    cluster = hc5[0].join(hc5[1], "hc5").select("train_id", "eval_id")
+    hc5 = [cut(k.join(meta, "acc").drop("acc").distinct()) for k in keys]
+    cluster = skew_join(hc5[0], hc5[1], ["hc5"]).select("train_id", "eval_id")
     pairs = near.unionByName(same).unionByName(cluster).distinct()
     return pairs.select(F.least("train_id", "eval_id").alias("profile_a"), F.greatest("train_id", "eval_id").alias("profile_b"))
 
 
-def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping profiles and overlaps of each split and source."""
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(split_name, profile_id, source) of both tables."""
+    rows = [read_table(spark, sf_dir, t).select(F.lit(s).alias("split_name"), "profile_id", "source") for t, s in ((TRAIN, "training"), (TEST, "testing"))]
+    return rows[0].unionByName(rows[1])
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile with the number of its overlaps with the other split."""
     pairs = cut(p5_found(spark, sf_dir))
     ends = pairs.select(F.explode(F.array("profile_a", "profile_b")).alias("profile_id")).groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = [read_table(spark, sf_dir, t).select(F.lit(s).alias("split_name"), "profile_id", "source") for t, s in ((TRAIN, "training"), (TEST, "testing"))]
-    sized = rows[0].unionByName(rows[1]).join(ends, "profile_id", "left")
-    return sized.groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("n_profiles"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    return _profiles(spark, sf_dir).join(ends, "profile_id", "left").select("split_name", "profile_id", "source", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping profiles and overlaps of each split and source."""
+    return p5_links(spark, sf_dir).groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("n_profiles"), F.count_if(F.col("n_links") > 0).alias("n_overlapping"), F.sum("n_links").alias("n_pairs"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +121,21 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_sized(spark, sf_dir), "doc_id", "n_tokens", F.col("source"), F.col("cluster"), CAPACITY)
 
 
+#: The slack that p7_room compares with the hard conflict.
+SOURCE_SLACK = 0.02
+
+
 def p7_room(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers, tokens and the share of room that stays unused."""
-    boxes = p7_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n"))
-    return boxes.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.round(1 - F.sum("used") / (F.count(F.lit(1)) * CAPACITY), 6).alias("unused"))
+    """Containers, tokens, the share of room that stays unused and the documents that met their source, where sources
+    never meet (source_slack null) and where they may for SOURCE_SLACK of the room."""
+    sized, out = _sized(spark, sf_dir), None
+    for slack in (None, SOURCE_SLACK):
+        packed = pack_documents(sized, "doc_id", "n_tokens", F.col("source"), F.col("cluster"), CAPACITY, slack)
+        boxes = packed.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n"), F.count_if("source_again").alias("again"))
+        room = boxes.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.round(1 - F.sum("used") / (F.count(F.lit(1)) * CAPACITY), 6).alias("unused"), F.sum("again").alias("n_source_again"))
+        room = room.select(F.lit(slack).cast("double").alias("source_slack"), "*")
+        out = room if out is None else out.unionByName(room)
+    return out
 
 
 def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +153,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that has look-alikes, with its class and their number."""
+    return look_alike_classes(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in its one form."""
     return canonical_texts(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p7_containers": p7_containers, "p7_room": p7_room, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_canonical": p9_canonical}
+_ALL = (p1_found, p1_unmatched, p4_found, p4_splits, p4_shares, p5_found, p5_links, p5_counts, p6_found, p7_containers, p7_room, p8_mixed, p8_shares, p9_found, p9_classes, p9_canonical)
+QUERIES = {q.__name__: q for q in _ALL}
 _ACC = r"nullif(upper(regexp_replace(regexp_replace({}, '\.[0-9]{{1,2}}\s*$', ''), '[^A-Za-z0-9]+', '', 'g')), '')"
 SQL: dict[str, str] = {
     "p5_found": f"""WITH tr AS (SELECT profile_id AS t, {_ACC.format("barcode")} AS acc, alleles FROM {TRAIN}), te AS (SELECT profile_id AS e, {_ACC.format("barcode")} AS acc, alleles FROM {TEST}),

@@ -13,10 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strainloom.operators.skew import skew_join
 from strainloom.session import cut
 
 #: Rounds are given up beyond this; each at least halves the expected number of edges of a matching.
 MAX_ROUNDS = 200
+#: A vertex with more edges than this, and more than HOT_SHARE of all, is joined apart from the others.
+HOT_DEGREE, HOT_SHARE = 10_000, 0.01
 #: Buckets over which cumulative weights are summed before they are summed inside a bucket.
 WEIGHT_BUCKETS = 1024
 
@@ -30,21 +33,26 @@ def components(edges: DataFrame, heads: Callable[[Column], Column] | None = None
 
     u and v are longs; loops and repeated edges are allowed, rows with a null are ignored, no edges give no rows.
     `heads`, a condition on a vertex, replaces the coins of the first round where the graph is known to have two
-    sides. A vertex with very many edges is no single group: an edge list is only ever joined with and
-    grouped by one end, with partial aggregation, and hub rows collapse into one vertex within a few rounds.
+    sides. A vertex with very many edges is no single task: its edges are combined before a shuffle, and joined by
+    broadcast with what it collapses into.
     """
     clean = cut(edges.where("u is not null and v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     now = clean.where("u <> v")
     maps = []
     for turn in range(MAX_ROUNDS):
-        if now.isEmpty():
-            break
         both = now.select(F.inline(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))))
         is_head = heads if heads is not None and turn == 0 else (lambda c: _coin(c, turn))
-        mates = both.where(~is_head(F.col("a")) & is_head(F.col("b")))
-        step = cut(mates.groupBy("a").agg(F.min("b").alias("b")))  # combined before the shuffle, so a hub costs little
+        mate = F.when(~is_head(F.col("a")) & is_head(F.col("b")), F.col("b"))
+        around = cut(both.groupBy("a").agg(F.min(mate).alias("b"), F.count(F.lit(1)).alias("n")))  # combined before the shuffle
+        ends, most = around.agg(F.sum("n"), F.max("n")).first()
+        if not ends:
+            break
+        hot = max(HOT_DEGREE, HOT_SHARE * ends)
+        heavy = [str(r.a) for r in around.where(F.col("n") > hot).select("a").collect()] if most > hot else []  # at most 1 / HOT_SHARE
+        step = around.where("b is not null").select("a", "b")
         maps.append(step)
-        moved = now.join(step.select(F.col("a").alias("u"), F.col("b").alias("nu")), "u", "left").join(step.select(F.col("a").alias("v"), F.col("b").alias("nv")), "v", "left")
+        moved = skew_join(now, step.select(F.col("a").alias("u"), F.col("b").alias("nu")), ["u"], "left", heavy=heavy)
+        moved = skew_join(moved, step.select(F.col("a").alias("v"), F.col("b").alias("nv")), ["v"], "left", heavy=heavy)
         moved = moved.select(F.coalesce("nu", "u").alias("x"), F.coalesce("nv", "v").alias("y")).where("x <> y")
         now = cut(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
     else:
@@ -54,7 +62,7 @@ def components(edges: DataFrame, heads: Callable[[Column], Column] | None = None
         if labels is None:
             labels = step.select(F.col("a").alias("vertex"), F.col("b").alias("label"))
             continue
-        through = step.join(labels.select(F.col("vertex").alias("b"), F.col("label").alias("end")), "b", "left").select(F.col("a").alias("vertex"), F.coalesce("end", "b").alias("label"))
+        through = skew_join(step, labels.select(F.col("vertex").alias("b"), F.col("label").alias("end")), ["b"], "left").select(F.col("a").alias("vertex"), F.coalesce("end", "b").alias("label"))
         labels = cut(through.unionByName(labels))
     vertices = clean.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
     if labels is None:
@@ -72,11 +80,11 @@ def related_groups(records: DataFrame, id_col: str, ties: DataFrame) -> DataFram
     known = ties.where(F.col("key").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "kind", "key")
     # the hub of a key is a vertex of its own, named by the smallest id that has it: 8 kinds fit beside the ids
     hubs = known.groupBy("kind", "key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = known.join(hubs, ["kind", "key"]).select((F.col("id") * 8).alias("u"), (F.col("least") * 8 + F.col("kind")).alias("v"))
+    edges = skew_join(known, cut(hubs), ["kind", "key"]).select((F.col("id") * 8).alias("u"), (F.col("least") * 8 + F.col("kind")).alias("v"))
     found = components(edges, lambda vertex: vertex % 8 != 0).where("vertex % 8 = 0").select(F.expr("vertex div 8").alias(id_col), "label")
     found = cut(found)
     least = found.groupBy("label").agg(F.min(id_col).alias("group_id"))
-    grouped = found.join(least, "label").select(id_col, "group_id")
+    grouped = skew_join(found, least, ["label"]).select(id_col, "group_id")
     return records.select(id_col).join(grouped, id_col, "left").select(id_col, F.coalesce("group_id", id_col).alias("group_id"))
 
 
@@ -89,7 +97,10 @@ def split_by_weight(groups: DataFrame, targets: DataFrame, seed: int = 17) -> Da
     """
     share = targets.where("target_share > 0")
     w = Window.orderBy(F.desc("target_share"), "split_name").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = share.select("split_name", F.sum("target_share").over(w).alias("upto"), "target_share").withColumn("frm", F.col("upto") - F.col("target_share"))
+    ends = share.select("split_name", "target_share", F.sum("target_share").over(w).alias("upto"))
+    by_end = Window.orderBy("upto", F.desc("target_share"), "split_name")
+    # each split begins where the one before ends; the first and the last reach beyond 0 and the total
+    cuts = ends.select("split_name", F.lag("upto", 1, -1.0).over(by_end).alias("frm"), F.when(F.lead("upto").over(by_end).isNull(), float("inf")).otherwise(F.col("upto")).alias("upto"))
     total_share, least = share.agg(F.sum("target_share"), F.min("target_share")).first()
     total = groups.agg(F.sum("weight")).first()[0] or 0
     limit = max(1.0, 0.01 * (least or 0.0) / (total_share or 1.0) * total)

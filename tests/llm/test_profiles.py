@@ -97,7 +97,7 @@ def test_overlap_of_many_copies(spark):
     assert got == {(a, b) for a in range(300) for b in range(300, 500)} and pairs.count() == 300 * 200
 
 
-@pytest.mark.parametrize("known", [(1, 240), (2, 240), (4, 240), (20, 240), (60, 240), (122, 240), (8, 8), (240, 2), (240, 12), (240, 90), (100, 130)])
+@pytest.mark.parametrize("known", [(1, 240), (4, 240), (20, 240), (60, 240), (122, 240), (8, 8), (240, 2), (240, 12), (100, 130)])
 def test_sparse_profiles_are_found(spark, known):
     """A training row is a copy of an evaluation row; both miss all but some loci. Every pair of brute force is found."""
     rng = np.random.default_rng(sum(known))

@@ -2,6 +2,7 @@
 
 import random
 
+from strainloom.llm import splits
 from strainloom.llm.splits import components, related_groups, split_by_weight
 
 
@@ -31,6 +32,14 @@ def test_components(spark):
     assert same_partition(got, union_find(edges))
 
 
+def test_hub_that_holds_half_of_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(splits, "HOT_DEGREE", 50)
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 800)] + [(1000 + rng.randrange(600), 1000 + rng.randrange(600)) for _ in range(400)] + [(799, 1000)]
+    got = {r.vertex: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert same_partition(got, union_find(edges))
+
+
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
@@ -53,3 +62,10 @@ def test_shares(spark):
     total = sum(by.values())
     assert abs(by["test"] / total - 0.1) < 0.01 and abs(by["train"] / total - 0.8) < 0.01
     assert split_by_weight(groups.where("false"), targets).count() == 0
+
+
+def test_cuts_leave_no_gap(spark):
+    """Shares that do not add up exactly in binary: every group has one split."""
+    targets = spark.createDataFrame([(f"s{i}", 0.1) for i in range(10)], "split_name string, target_share double")
+    got = split_by_weight(spark.range(3000).selectExpr("id as group_id", "1L as weight"), targets)
+    assert got.count() == got.select("group_id").distinct().count() == 3000

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from strainloom.llm.lookalike import by_table, canonical_texts, look_alike_pairs
+from strainloom.llm.lookalike import Trie, by_table, canonical_texts, look_alike_classes, look_alike_pairs
 from strainloom.llm.mixing import mix_sources, repetition_rates, shares_reached
 from strainloom.llm.packing import best_fit, pack_documents
 from strainloom.llm.tokens import n_tokens
@@ -16,13 +16,22 @@ def test_best_fit_respects_conflicts():
     rng = random.Random(1)
     sizes = sorted((rng.randint(1, 60) for _ in range(900)), reverse=True)
     sources, clusters = [rng.randrange(9) for _ in sizes], [rng.choice([-1, -1, rng.randrange(40)]) for _ in sizes]
-    boxes = best_fit(sizes, sources, clusters, 100)
-    used, met = Counter(), set()
-    for s, c, b in zip(sizes, clusters, boxes):
-        used[b] += s
-        assert c < 0 or (c, b) not in met
-        met.add((c, b))
-    assert max(used.values()) <= 100 and sum(sizes) / (100 * len(used)) > 0.97
+    for slack, fill in ((0.02, 0.97), (None, 0.96)):
+        boxes = best_fit(sizes, sources, clusters, 100, slack)
+        used, met = Counter(), set()
+        for s, c, b in zip(sizes, clusters, boxes):
+            used[b] += s
+            assert c < 0 or (c, b) not in met
+            met.add((c, b))
+        assert max(used.values()) <= 100 and sum(sizes) / (100 * len(used)) > fill
+    assert len(set(zip(sources, boxes))) == len(sizes)  # without a slack no source meets itself
+
+
+def test_search_goes_on_to_the_tightest_compatible_container():
+    # rooms of 10, 20 and 50 are open; the item of 8 fits none of the tighter two
+    assert best_fit([90, 80, 50, 8], [0, 1, 2, 0], [-1, 7, -1, 7], 100) == [0, 1, 2, 2]
+    assert best_fit([90, 80, 50, 8], [0, 1, 2, 0], [-1, 7, -1, 7], 100, 0.02) == [0, 1, 2, 0]
+    assert best_fit([90, 90, 8], [0, 0, 0], [-1, -1, -1], 100) == [0, 1, 2]
 
 
 def test_pack_documents(spark):
@@ -85,3 +94,41 @@ def test_look_alikes_against_table(spark):
     forms = {r.doc_id: r.canonical for r in canonical_texts(df, "doc_id", "text").collect()}
     assert all(forms[i] == t for i, t in enumerate(PLAIN))
     assert look_alike_pairs(df.where("false"), "doc_id", "text").count() == 0
+
+
+# Written by hand: texts of one number look the same, all others differ.
+SAME_LOOK = [
+    (1, "The final office"), (1, "The ﬁnal oﬃce"), (1, "The fi\u200bnal office"), (1, "Тhe final оffice"), (1, "Ｔｈｅ\u00a0final\u2009office"), (1, "The ﬁnal o\ufb00ice"),
+    (2, "ﬂuﬀy"), (2, "fluffy"), (2, "ｆluffу"), (3, "best"), (3, "be\ufb06"), (3, "beﬅ"),
+    (4, "сор"), (4, "cop"), (4, "сοp"), (5, "Cop"), (6, "c0p"), (7, "café"), (7, "cafe\u0301"), (7, "сafé"), (8, "cafe"), (9, "ΝΕΟ"), (9, "NEO"), (10, "Nεο"), (11, "the  cop"), (12, "the cop"), (13, "the\ncop"), (12, "the\u3000cop"), (14, "l"), (15, "I"), (16, "1"),
+    (17, "привет"), (17, "пpивeт"), (17, "приве\u00adт"), (18, "cop."), (19, "cop，"), (20, "ﬁ"), (20, "fi"), (21, "f i"),
+]
+
+
+def test_looks_written_by_hand(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(SAME_LOOK)], "doc_id long, text string")
+    want = {(i, j) for i, (a, x) in enumerate(SAME_LOOK) for j, (b, y) in enumerate(SAME_LOOK) if i < j and a == b and x != y}
+    got = [(r.doc_a, r.doc_b) for r in look_alike_pairs(df, "doc_id", "text").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    least = {}
+    for i, (a, _) in enumerate(SAME_LOOK):
+        least.setdefault(a, i)
+    links = {i: sum(i in p for p in want) for i in range(len(SAME_LOOK))}
+    assert {(r.doc_id, r.class_id, r.n_links) for r in look_alike_classes(df, "doc_id", "text").collect()} == {(i, least[a], links[i]) for i, (a, _) in enumerate(SAME_LOOK) if links[i]}
+
+
+def test_automaton_weighs_edits():
+    trie = Trie()
+    for word, n in (("cop", 3), ("сор", 9), ("corps", 1), ("fine", 2)):
+        trie.add(word, n)
+    assert sorted(w[3] for w in trie.walk("сop")) == ["cop", "сор"] and min(trie.walk("сop"))[3] == "cop"
+    assert [w[3] for w in trie.walk("ﬁ\u200dnе")] == ["fine"] and trie.walk("c0p") == [] and trie.walk("copy") == []
+    assert min(trie.walk("c0p", 1.0))[0] == 1.0 and {w[3] for w in trie.walk("ccp", 1.0)} == {"cop", "сор"}
+    assert {w[3] for w in trie.walk("corp", 1.0)} == {"cop", "сор", "corps"}
+
+
+def test_hot_look_among_copies(spark):
+    """A third of all documents are copies of one text; only its look-alikes make pairs with them."""
+    df = spark.range(600).selectExpr("id as doc_id", "if(id % 3 = 0, if(id < 6, 'с\u043ep', 'cop'), concat('n', id)) as text")
+    assert look_alike_pairs(df, "doc_id", "text").count() == 2 * 198
+    assert look_alike_classes(df, "doc_id", "text").count() == 200
