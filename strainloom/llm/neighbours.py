@@ -24,8 +24,9 @@ from strainloom.operators.skew import skew_join
 from strainloom.session import BROADCAST_ROWS, cut
 
 #: Most cells, profiles a cell should hold, profiles of the sample for each cell (so the sample has at most
-#: CELLS * SAMPLE of them, whatever the table's size), k-means rounds, and cells or lists that a profile enters.
-CELLS, CELL_SIZE, SAMPLE, ROUNDS, PROBES = 1024, 500, 20, 3, 3
+#: CELLS * SAMPLE of them, whatever the table's size), k-means rounds, and cells or lists that a profile enters: at most
+#: PROBES, those whose centres' products with its vector are within MARGIN of the best one.
+CELLS, CELL_SIZE, SAMPLE, ROUNDS, PROBES, MARGIN = 1024, 500, 20, 3, 3, 0.5
 #: A large cell is parted into lists of about LIST_SIZE, fitted on at least FIT of its own profiles for each list.
 LIST_SIZE, FIT = 500, 8
 #: A cell that is expected to hold more is cut into blocks of this size; each pair of blocks is one group.
@@ -72,12 +73,12 @@ def fit_lists(vectors: np.ndarray, n_lists: int, limit: float) -> np.ndarray:
             break
     for _ in range(ROUNDS):
         centres = _unit(centres)
-        own = nearest_lists(vectors, centres, 1)[:, 0]
+        own = nearest_list(vectors, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, vectors)
         centres = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, sums, centres)
     centres = _unit(centres)
-    weight = np.bincount(nearest_lists(vectors, centres, 1)[:, 0], minlength=len(centres))
+    weight = np.bincount(nearest_list(vectors, centres), minlength=len(centres))
     centres = centres[np.argsort(-weight, kind="stable")]
     return centres[_apart(centres, near)]
 
@@ -96,11 +97,19 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
 
 
-def nearest_lists(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
-    """Places of the centres with the smallest angle (by length, short centres would draw in all outliers)."""
+def nearest_list(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Place of the centre with the smallest angle (by length, short centres would draw in all outliers)."""
+    return (vectors @ centres.T).argmax(1)
+
+
+def probed_lists(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists that each vector enters."""
+    probes = min(PROBES, len(centres))
     score = vectors @ centres.T
-    probes = min(probes, len(centres))
-    return np.argpartition(-score, probes - 1, 1)[:, :probes] if probes > 1 else score.argmax(1)[:, None]
+    lists = np.argpartition(-score, probes - 1, 1)[:, :probes]
+    score = np.take_along_axis(score, lists, 1)
+    row, k = np.nonzero(score >= score.max(1, keepdims=True) - MARGIN)
+    return row, lists[row, k]
 
 
 def _best(q: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
@@ -251,9 +260,9 @@ def scan_cell(xa: np.ndarray, xb: np.ndarray, limit: float, k: int) -> Iterator[
     if n_lists > 2 * PROBES**2:  # fewer lists would save nothing, as a row enters PROBES of them
         every = max(1, max(len(xa), len(xb)) // (n_lists * FIT))
         centres = fit_lists(np.concatenate([va[::every], vb[1::every]]) if not same else va[::every], n_lists, limit)
-        in_a = nearest_lists(va, centres, PROBES)
-        in_b = in_a if same else nearest_lists(vb, centres, PROBES)
-        lists = [((in_a == c).any(1).nonzero()[0], (in_b == c).any(1).nonzero()[0]) for c in range(len(centres))]
+        in_a = probed_lists(va, centres)
+        in_b = in_a if same else probed_lists(vb, centres)
+        lists = [(in_a[0][in_a[1] == c], in_b[0][in_b[1] == c]) for c in range(len(centres))]
     else:
         lists = [(np.arange(len(xa)), np.arange(len(xb)))]
     for a, b in lists:
@@ -284,7 +293,7 @@ def nearest_profiles(profiles: DataFrame, id_col: str, alleles: str, k: int, lim
     loci = max(1, loci)
     vectors = sign_vectors(matrix(sample.column("x"), loci)) if sample.num_rows else np.zeros((1, loci), np.float32)
     centres = fit_lists(vectors, n_cells, limit)
-    sizes = np.bincount(nearest_lists(vectors, centres, PROBES).ravel(), minlength=len(centres)) * max(1.0, n / max(1, len(vectors)))
+    sizes = np.bincount(probed_lists(vectors, centres)[1], minlength=len(centres)) * max(1.0, n / max(1, len(vectors)))
     blocks = np.maximum(1, np.ceil(sizes / BLOCK)).astype(np.int64)
 
     prints = known.select("id", F.xxhash64("x").alias("h1"), F.hash("x").alias("h2"))
@@ -303,9 +312,7 @@ def nearest_profiles(profiles: DataFrame, id_col: str, alleles: str, k: int, lim
             ids, x = batch.column("id").to_numpy(), matrix(batch.column("x"), loci)
             if not len(ids):
                 continue
-            cell = nearest_lists(sign_vectors(x), centres, PROBES)
-            row = np.repeat(np.arange(len(ids)), cell.shape[1])
-            cell = cell.ravel()
+            row, cell = probed_lists(sign_vectors(x), centres)
             own = ids[row] % 1_000_003 * 7919 % 1_000_003 % blocks[cell]
             # a row of a cell of several blocks meets all of them
             times = blocks[cell]
@@ -335,7 +342,7 @@ def nearest_profiles(profiles: DataFrame, id_col: str, alleles: str, k: int, lim
     # copies: each neighbour stands for the first of its group, and a group's own members are nearest of all
     spread = nearest.join(firsts.withColumnRenamed("rep", "other"), "other", "left").select("q", "d", F.explode(F.coalesce("ids", F.array("other"))).alias("id"))
     own = firsts.select(F.col("rep").alias("q"), F.lit(0.0).alias("d"), F.explode("ids").alias("id"))
-    ranked = spread.unionByName(own).groupBy("q").agg(F.sort_array(F.collect_set(F.struct("d", "id"))).alias("near"))
+    ranked = cut(spread.unionByName(own).groupBy("q").agg(F.sort_array(F.collect_set(F.struct("d", "id"))).alias("near")))
     # every member of a group of copies has the neighbours of its representative; a member that has no copies is one
     asked = members.select("id", F.col("rep").alias("q"))
     alone = ranked.join(firsts.select(F.col("rep").alias("q")), "q", "left_anti").select(F.col("q").alias("id"), "near")
