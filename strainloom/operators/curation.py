@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strainloom.operators.skew import skew_join
+from strainloom.session import BROADCAST_ROWS, cut
+
 
 @dataclass(frozen=True)
 class Predicate:
@@ -80,3 +83,57 @@ def keep_subset(rows: DataFrame, is_human: Column, attributed: str, subset: str)
         raise ValueError(f"unknown subset {subset}")
     human = F.coalesce(is_human, F.lit(False))
     return rows if subset == "all" else rows.where(~human | F.col(attributed).isin(list(subset)))
+
+
+def letters_key(value: Column, noise: Sequence[str]) -> Column:
+    """The letters of a text in lower case, without the noise words and version marks ("v2")."""
+    return F.regexp_replace(F.regexp_replace(F.lower(value), rf"\b({'|'.join(noise)})\b|v[0-9]+", " "), "[^a-z]+", "")
+
+
+def map_terms(rows: DataFrame, column: str, terms: DataFrame, noise: Sequence[str], most_edits: int = 2, least_part: float = 0.65) -> DataFrame:
+    """(value, term) for every distinct non-null value of the column: the term of the two-part list terms(term) it is
+    written for, null for none.
+
+    Compared are the letters only, with the parts in either order: equal ones first, then those within `most_edits`
+    edits, then beginnings of at least `least_part` of the letters; ties by the smaller term. The list is a small
+    reference table (it goes with each row); a value's work does not depend on how many rows hold it.
+    """
+    parts = F.split(F.lower("term"), "[^a-z]+")
+    names = terms.select("term", F.explode(F.array_distinct(F.array(F.array_join(parts, ""), F.array_join(F.reverse(parts), "")))).alias("name")).where("name <> ''")
+    listed = F.broadcast(names.agg(F.collect_list(F.struct("name", "term")).alias("names")))  # one row
+    keys = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().withColumn("k", letters_key(F.col("value"), noise))
+
+    def cost(name: Column) -> Column:
+        edits = F.levenshtein("k", name)
+        return F.when(F.col("k") == name, 0).when(edits <= most_edits, edits).when(name.startswith(F.col("k")) & (F.length("k") >= least_part * F.length(name)), most_edits + 1)
+
+    best = F.array_min(F.filter(F.transform("names", lambda n: F.struct(cost(n["name"]).alias("cost"), n["term"].alias("term"))), lambda n: n["cost"].isNotNull()))
+    return keys.crossJoin(listed).select("value", F.when(F.col("k") != "", best["term"]).alias("term"))
+
+
+def with_terms(rows: DataFrame, column: str, terms: DataFrame, noise: Sequence[str], name: str) -> DataFrame:
+    """rows + name: the term of each row's value (see map_terms), null where it means none."""
+    mapping = cut(map_terms(rows, column, terms, noise).withColumnsRenamed({"value": column, "term": name}))
+    if mapping.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(mapping), column, "left")
+    return skew_join(rows, mapping, [column], "left")
+
+
+def class_in(value: Column, classes: Sequence[str]) -> Column:
+    """The class a text begins or ends with ("Swine / pike hollow 10599", "Elm Ford-10739; Poultry"), null for none."""
+    of = "|".join(classes)
+    text = F.lower(value)
+    first, last = F.regexp_extract(text, rf"^\W*({of})\b", 1), F.regexp_extract(text, rf"\b({of})\W*$", 1)
+    return F.when(first != "", first).when(last != "", last)
+
+
+def renamed(value: Column, names: dict[str, str]) -> Column:
+    """The value by its new name; values without one stay."""
+    if not names:
+        return value
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[value], value)
+
+
+def missing_from(needed: DataFrame, present: DataFrame, column: str) -> DataFrame:
+    """(column): the distinct non-null values of `needed` that `present` lacks."""
+    return needed.select(column).where(F.col(column).isNotNull()).subtract(present.select(column))

@@ -25,9 +25,15 @@ RESOLVE = {"dairy|bovine": "dairy"}
 
 
 def labelled(s, d, table):
-    """id, alleles and the class of profiles whose source is a class only."""
+    """id, alleles and the class of all profiles whose source names one, with or without a site; source_unmatched
+    reports the others."""
     t = read_table(s, d, table)
-    return t.select(F.col("profile_id").alias("id"), "alleles", F.lower("source").alias("label")).where(F.col("label").isin(CLASSES))
+    return t.select(F.col("profile_id").alias("id"), "alleles", U.class_in(F.col("source"), CLASSES).alias("label")).where("label is not null")
+
+
+def source_unmatched(s, d):
+    both = read_table(s, d, TRAIN).select("source").unionByName(read_table(s, d, TEST).select("source"))
+    return both.where(U.class_in(F.col("source"), CLASSES).isNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n_profiles"))
 
 
 def near(s, d, **kw):
@@ -66,6 +72,7 @@ def subset_counts(s, d):
 
 
 QUERIES = {
+    "source_unmatched": source_unmatched,
     "knn_topk": near,
     "knn_two_phase_topk": lambda s, d: near(s, d, pool=100),
     "knn_class_weights": lambda s, d: K.class_weights(labelled(s, d, TRAIN)),
@@ -79,8 +86,9 @@ QUERIES = {
     "attribution_subset_counts": subset_counts,
 }
 
-_IN = ", ".join(f"'{c}'" for c in CLASSES)
-_K = f"""WITH tr AS (SELECT profile_id AS id, alleles, lower(source) AS label FROM {TRAIN} WHERE lower(source) IN ({_IN})), te AS (SELECT profile_id AS id, alleles, lower(source) AS label FROM {TEST} WHERE lower(source) IN ({_IN})),
+_OF = "|".join(CLASSES)
+_CLASS = rf"coalesce(nullif(regexp_extract(lower(source), '^\W*({_OF})\b', 1), ''), nullif(regexp_extract(lower(source), '\b({_OF})\W*$', 1), ''))"
+_K = f"""WITH tr AS (SELECT profile_id AS id, alleles, {_CLASS} AS label FROM {TRAIN} WHERE {_CLASS} IS NOT NULL), te AS (SELECT profile_id AS id, alleles, {_CLASS} AS label FROM {TEST} WHERE {_CLASS} IS NOT NULL),
  lt AS (SELECT id, label, generate_subscripts(alleles, 1) AS p, unnest(alleles) AS a FROM tr), le AS (SELECT id, generate_subscripts(alleles, 1) AS p, unnest(alleles) AS a FROM te),
  kn AS (SELECT e.id AS query_id, t.id AS train_id, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE e.a <> t.a) AS diff FROM le e JOIN lt t ON e.p = t.p AND e.a > 0 AND t.a > 0 GROUP BY 1, 2),
  dist AS (SELECT te.id AS query_id, tr.id AS train_id, tr.label, coalesce(diff / n, 1.0) AS raw FROM te CROSS JOIN tr LEFT JOIN kn ON kn.query_id = te.id AND kn.train_id = tr.id),
@@ -94,6 +102,7 @@ _HUMAN = f"""SELECT row_id, source, CASE WHEN lower(source) = 'human' THEN CASE
  CASE WHEN prediction IS NULL THEN 'G' WHEN d <= 38 AND trust_rounded >= 0.54 THEN 'F' WHEN d > 38 THEN 'W' ELSE 'G' END END END AS human_class FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(dist_int, '[\\[\\]\\s]', '', 'g'), ','), lambda v: TRY_CAST(v AS DOUBLE)), lambda v: v IS NOT NULL)[1] AS d FROM {META})"""
 
 SQL = {
+    "source_unmatched": f"SELECT source, count(*) AS n_profiles FROM (SELECT source FROM {TRAIN} UNION ALL SELECT source FROM {TEST}) WHERE {_CLASS} IS NULL GROUP BY 1",
     "knn_topk": _K + " SELECT * FROM near",
     "knn_class_weights": _K + " SELECT * FROM cw",
     "knn_probabilities": _K + " SELECT * FROM proba",

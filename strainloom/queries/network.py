@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strainloom.functions.portable import draw_with_replacement
 from strainloom.operators import counts as C
 from strainloom.operators import graph as G
-from strainloom.queries.base import WITH, counts_of, observations
+from strainloom.plans.consensus import replicate_similarities
+from strainloom.queries.base import META, REGION, REGIONS_SQL, WITH, counts_of, observations, regions
 
 THRESHOLD, REPLICATES, SUPPORT = 0.35, 8, 0.5
 
@@ -23,17 +23,17 @@ def _partition(vertices):
 
 def bootstrap_support(spark, sf_dir):
     """Share of replicates in which an edge appears; one self-join carries all replicates."""
-    drawn = draw_with_replacement(observations(spark, sf_dir), "row_id", "node", REPLICATES, 186)
-    counts = drawn.groupBy("replicate", "node", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    a, b = counts.select("replicate", "cluster", F.col("node").alias("u"), F.col("n").alias("nu")), counts.select("replicate", "cluster", F.col("node").alias("v"), F.col("n").alias("nv"))
-    norms = counts.groupBy("replicate", "node").agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("s2"))
-    dots = a.join(b, ["replicate", "cluster"]).where("u < v").groupBy("replicate", "u", "v").agg(F.sum(F.col("nu") * F.col("nv")).cast("double").alias("dot"))
-    both = dots.join(F.broadcast(norms.withColumnsRenamed({"node": "u", "s2": "su"})), ["replicate", "u"]).join(F.broadcast(norms.withColumnsRenamed({"node": "v", "s2": "sv"})), ["replicate", "v"])
-    edges = both.where(F.round(F.col("dot") / F.sqrt(F.col("su") * F.col("sv")), 6) > THRESHOLD)
+    edges = replicate_similarities(observations(spark, sf_dir), REPLICATES, 186).where(F.col("weight") > THRESHOLD)
     return edges.groupBy("u", "v").agg(F.round(F.count(F.lit(1)) / F.lit(float(REPLICATES)), 6).alias("support"))
 
 
+def region_unmatched(spark, sf_dir):
+    """Regions, as written, that mean no node, with their rows."""
+    return regions(spark, sf_dir).where(F.col(REGION).isNotNull() & F.col("node").isNull()).groupBy(F.col(REGION).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 QUERIES = {
+    "region_unmatched": region_unmatched,
     "node_cluster_counts": lambda s, d: counts_of(s, d),
     "node_richness": lambda s, d: C.richness(counts_of(s, d)),
     "matrix_sparsity": lambda s, d: C.sparsity(counts_of(s, d)),
@@ -80,6 +80,7 @@ _RES = (
 )
 
 SQL = {
+    "region_unmatched": f"WITH {REGIONS_SQL} SELECT value, count(*) AS n_rows FROM {META} JOIN rmap ON value = {REGION} WHERE term IS NULL GROUP BY 1",
     "node_cluster_counts": WITH + " SELECT * FROM counts",
     "node_richness": WITH + " SELECT node, CAST(rich AS BIGINT) AS richness, CAST(s1 AS BIGINT) AS n_rows, rank() OVER (ORDER BY rich DESC) AS richness_rank FROM stats",
     "matrix_sparsity": WITH + " SELECT node, CAST(rich AS BIGINT) AS n_nonzero, round(100.0 * (k - rich) / k, 6) AS pct_zero FROM stats, kk",
