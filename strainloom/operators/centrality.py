@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import random
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -144,10 +145,17 @@ def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
     return label
 
 
-def replicate_metrics(edges: DataFrame, nodes: list[str], by: str = "replicate") -> DataFrame:
-    """(by, node, six metrics) of each replicate's graph edges(by, u, v, weight) on the given vertices."""
+def replicate_metrics(edges: DataFrame, nodes: list[str] | None, by: str = "replicate", weighted: bool = True, normalised: bool = True) -> DataFrame:
+    """(by, node, six metrics) of each replicate's graph edges(by, u, v, weight) on the given vertices (None: those with
+    an edge). Not weighted: every weight is 1; not normalised: degree and strength as counts and sums. Replicates
+    without edges give no rows."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return metrics_of(pdf, nodes).assign(**{by: pdf[by].iloc[0]})[[by, "node", *METRICS]]
+        names = nodes if nodes is not None else sorted(set(pdf.u) | set(pdf.v))
+        got = metrics_of(pdf if weighted else pdf.assign(weight=1.0), names).assign(**{by: pdf[by].iloc[0]})
+        if not normalised:
+            w = _matrix(pdf if weighted else pdf.assign(weight=1.0), names)
+            got = got.assign(degree=(w > 0).sum(1).astype(float), strength=w.sum(1))
+        return got[[by, "node", *METRICS]]
 
     return edges.groupBy(by).applyInPandas(run, f"{by} {edges.schema[by].dataType.simpleString()}, node string, " + ", ".join(f"{m} double" for m in METRICS))
 
@@ -160,9 +168,10 @@ def replicate_communities(edges: DataFrame, nodes: list[str], by: str = "replica
     return edges.groupBy(by).applyInPandas(run, f"{by} {edges.schema[by].dataType.simpleString()}, node string, community int")
 
 
-def coassignment(partitions: DataFrame, by: str = "replicate") -> DataFrame:
-    """(u, v, support): share of the replicates in which two nodes share a community, u < v."""
-    b = F.broadcast(partitions.agg(F.countDistinct(by).alias("b")))
+def coassignment(partitions: DataFrame, by: str = "replicate", replicates: int | None = None) -> DataFrame:
+    """(u, v, support): share of the replicates in which two nodes share a community, u < v; of those asked for where
+    their number is given, as one without edges has no partition and joins nothing."""
+    b = F.broadcast(partitions.agg((F.countDistinct(by) if replicates is None else F.lit(replicates)).alias("b")))
     x, y = partitions.select(by, "community", F.col("node").alias("u")), partitions.select(by, "community", F.col("node").alias("v"))
     return x.join(y, [by, "community"]).where("u < v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).crossJoin(b).select("u", "v", F.round(F.col("n") / F.col("b"), 6).alias("support"))
 
@@ -177,25 +186,57 @@ def consensus_partition(support: DataFrame, nodes: list[str], threshold: float)
     return support.groupBy(F.lit(1).alias("one")).applyInPandas(run, "node string, community int")
 
 
+#: The role of a node that has no edge in a graph.
+NOT_RETAINED = "not retained"
+
+
 def roles(metrics: DataFrame, by: list[str], q: float = 0.75) -> DataFrame:
-    """metrics + role, by whether betweenness and eigenvector reach their q-quantile among the nodes of a graph."""
-    limits = metrics.groupBy(*by).agg(F.percentile("betweenness", q).alias("qb"), F.percentile("eigenvector", q).alias("qe"))
-    joined = metrics.join(F.broadcast(limits), by) if by else metrics.crossJoin(F.broadcast(limits))
+    """metrics + role, by whether betweenness and eigenvector reach their q-quantile among the retained nodes of a graph,
+    those with an edge; the others are not retained. A metric that is not a finite number raises an error."""
+    kept = metrics.where("degree > 0")
+    limits = kept.groupBy(*by).agg(F.percentile("betweenness", q).alias("qb"), F.percentile("eigenvector", q).alias("qe"))
+    joined = metrics.join(F.broadcast(limits), by, "left") if by else metrics.crossJoin(F.broadcast(limits))
+    odd = reduce(lambda a, b: a | b, [F.col(m).isNull() | F.isnan(m) | (F.abs(m) == float("inf")) for m in ("betweenness", "eigenvector")])
     high_b, high_e = F.col("betweenness") >= F.col("qb"), F.col("eigenvector") >= F.col("qe")
-    return joined.withColumn("role", F.when(high_b & high_e, "global connector").when(high_b, "broker").when(high_e, "core influencer").otherwise("peripheral")).drop("qb", "qe")
+    role = F.when(F.col("degree") <= 0, NOT_RETAINED).when(odd, F.raise_error(F.lit("a metric is not finite"))).when(high_b & high_e, "global connector").when(high_b, "broker").when(high_e, "core influencer").otherwise("peripheral")
+    return joined.withColumn("role", role).drop("qb", "qe")
+
+
+def all_roles(labelled: DataFrame, replicates: int, nodes: DataFrame) -> DataFrame:
+    """(replicate, node, role) for replicates 0.. and every node of nodes(node): those without a row are not retained."""
+    grid = labelled.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(nodes.select("node")))  # a row a node
+    return grid.join(labelled.select("replicate", "node", "role"), ["replicate", "node"], "left").fillna(NOT_RETAINED, ["role"])
 
 
 def role_frequencies(labelled: DataFrame) -> DataFrame:
-    """(node, role, percent, mcse) over the replicates of (replicate, node, role)."""
+    """(node, role, percent, mcse) over the replicates of (replicate, node, role); with all_roles a node's rows sum to
+    100."""
     b = F.broadcast(labelled.agg(F.countDistinct("replicate").alias("b")))
     p = labelled.groupBy("node", "role").agg(F.count(F.lit(1)).alias("n")).crossJoin(b).withColumn("p", F.col("n") / F.col("b"))
     return p.select("node", "role", F.round(100 * F.col("p"), 6).alias("percent"), F.round(100 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("b")), 6).alias("mcse"))
 
 
 def role_recovery(labelled: DataFrame, baseline: DataFrame) -> DataFrame:
-    """(node, baseline_role, recovery_percent): share of replicates in which a node has its baseline role."""
+    """(node, baseline_role, recovery_percent, retention_percent): shares of the replicates in which a node has its
+    baseline role, and in which it is retained."""
     base = baseline.select("node", F.col("role").alias("baseline_role"))
-    return labelled.join(F.broadcast(base), "node").groupBy("node", "baseline_role").agg(F.round(100 * F.avg((F.col("role") == F.col("baseline_role")).cast("double")), 6).alias("recovery_percent"))
+    share = lambda c: F.round(100 * F.avg(c.cast("double")), 6)
+    return labelled.join(F.broadcast(base), "node").groupBy("node", "baseline_role").agg(share(F.col("role") == F.col("baseline_role")).alias("recovery_percent"), share(F.col("role") != NOT_RETAINED).alias("retention_percent"))
+
+
+def percentile_ranks(metrics: DataFrame, by: str = "replicate") -> DataFrame:
+    """(by, node, metric, percentile): average rank of a node among the retained ones of a graph, in per cent."""
+    long = metrics.where("degree > 0").select(by, "node", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])))
+    w = Window.partitionBy(by, "metric")
+    rank = F.rank().over(w.orderBy("value")) + (F.count(F.lit(1)).over(Window.partitionBy(by, "metric", "value")) - 1) / 2
+    return long.select(by, "node", "metric", F.round(100 * rank / F.count(F.lit(1)).over(w), 6).alias("percentile"))
+
+
+def incomplete_replicates(labelled: DataFrame, replicates: int, n_nodes: int) -> DataFrame:
+    """(replicate, n_rows, n_nodes) of the replicates 0.. that lack a node or hold one twice."""
+    seen = labelled.groupBy("replicate").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("node").alias("n_nodes"))
+    asked = labelled.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
+    return asked.join(seen, "replicate", "full").fillna(0, ["n_rows", "n_nodes"]).where((F.col("n_rows") != n_nodes) | (F.col("n_nodes") != n_nodes) | (F.col("replicate") >= replicates))
 
 
 def centrality_summary(metrics: DataFrame) -> DataFrame:

@@ -49,6 +49,11 @@ def filtered(counts: DataFrame, remove_singletons: bool = False, binary: bool =
     return counts.withColumn("n", F.lit(1).cast("long")) if binary else counts
 
 
+def row_shares(counts: DataFrame) -> DataFrame:
+    """Counts as shares of their node's total; a node without rows has none."""
+    return counts.withColumn("n", F.try_divide("n", F.sum("n").over(Window.partitionBy("node"))))
+
+
 def similarities(counts: DataFrame) -> DataFrame:
     """(u, v, cosine, pearson, jaccard, ruzicka, braycurtis) for every pair of nodes u < v.
 
@@ -71,7 +76,8 @@ def similarities(counts: DataFrame) -> DataFrame:
         "ruzicka": F.try_divide(d("least"), d("s1_u") + d("s1_v") - d("least")),
         "braycurtis": F.try_divide(2 * d("least"), d("s1_u") + d("s1_v")),
     }
-    return p.select("u", "v", *[F.round(c + 0.0, 6).alias(n) for n, c in named.items()])
+    # a hair is added so that sums of shares that are a half in the last digit round as the exact value does
+    return p.select("u", "v", *[F.round(c + (0.0 if n == "pearson" else 1e-12), 6).alias(n) for n, c in named.items()])
 
 
 def pair_profiles(counts: DataFrame) -> DataFrame:

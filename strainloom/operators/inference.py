@@ -9,7 +9,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strainloom.operators.centrality import _matrix, communities
@@ -25,7 +25,8 @@ def fit_glm(rows: DataFrame, response: str, terms: list[str], family: str, weigh
     """
     names = ["intercept", *terms]
     w0 = F.col(weight).cast("double") if weight else F.lit(1.0)
-    data = rows.select(F.col(response).cast("double").alias("y"), w0.alias("w"), F.lit(1.0).alias("x0"), *[F.col(t).cast("double").alias(f"x{i + 1}") for i, t in enumerate(terms)]).dropna().persist()
+    data = rows.select(F.col(response).cast("double").alias("y"), w0.alias("w"), F.lit(1.0).alias("x0"), *[F.col(t).cast("double").alias(f"x{i + 1}") for i, t in enumerate(terms)]).dropna()
+    data = cut(data)
     beta = np.zeros(len(names))
     if family == "poisson":
         mean = data.agg(F.sum(F.col("y") * F.col("w")) / F.sum("w")).first()[0]
@@ -48,24 +49,66 @@ def fit_glm(rows: DataFrame, response: str, terms: list[str], family: str, weigh
             raise ValueError("the fit diverges")
         if np.abs(step).max() < 1e-10:
             break
-    data.unpersist()
     se = np.sqrt(np.diag(np.linalg.inv(h)))
     normal = NormalDist()
     return [(n, float(b), float(s), float(b / s), 2 * (1 - normal.cdf(abs(b / s)))) for n, b, s in zip(names, beta, se)]
 
 
-def overdispersion(rows: DataFrame, response: str, mean: str) -> float:
-    """Moment estimate of the negative-binomial alpha: mean of ((y - mu)^2 - mu) / mu^2, at least 0."""
-    got = rows.agg(F.avg((F.pow(F.col(response) - F.col(mean), F.lit(2.0)) - F.col(mean)) / F.pow(mean, F.lit(2.0)))).first()[0]
-    return max(0.0, got or 0.0)
+def _digamma(x: Column) -> Column:
+    """Digamma for x > 0: moved up by 6, then the asymptotic series."""
+    y = x + 6
+    return F.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * F.pow(y, F.lit(4.0))) - 1 / (252 * F.pow(y, F.lit(6.0))) - sum((1 / (x + i) for i in range(6)), F.lit(0.0))
+
+
+def _trigamma(x: Column) -> Column:
+    y = x + 6
+    return 1 / y + 1 / (2 * y * y) + 1 / (6 * F.pow(y, F.lit(3.0))) - 1 / (30 * F.pow(y, F.lit(5.0))) + 1 / (42 * F.pow(y, F.lit(7.0))) + sum((1 / ((x + i) * (x + i)) for i in range(6)), F.lit(0.0))
+
+
+def fit_negative_binomial(rows: DataFrame, response: str, terms: list[str], steps: int = 60) -> tuple[dict[str, float], float]:
+    """(coefficients, alpha) of the log-linear negative-binomial model with variance mu + alpha mu^2, by maximum
+    likelihood: Newton steps of the coefficients and of log alpha together, each one Spark aggregate.
+
+    Rows with a null in a used column are left out. Where the counts are not overdispersed alpha goes to 0, the Poisson
+    limit. A singular or diverging fit raises ValueError.
+    """
+    names = ["intercept", *terms]
+    data = cut(rows.select(F.col(response).cast("double").alias("y"), F.lit(1.0).alias("x0"), *[F.col(t).cast("double").alias(f"x{i + 1}") for i, t in enumerate(terms)]).dropna())
+    start = fit_glm(rows, response, terms, "poisson")
+    beta, theta, k = np.array([e for _, e, *_ in start]), math.log(0.5), len(names)
+    for _ in range(steps):
+        r = F.lit(math.exp(-theta))
+        mu = F.exp(F.least(sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0)), F.lit(50.0)))
+        y = F.col("y")
+        w, slope = mu * r / (r + mu), (y - mu) * r / (r + mu)
+        g = _digamma(y + r) - _digamma(r) + F.log(r / (r + mu)) + 1 - (y + r) / (r + mu)
+        h = _trigamma(r) * -1 + _trigamma(y + r) + 1 / r - 2 / (r + mu) + (y + r) / ((r + mu) * (r + mu))
+        got = data.agg(*[F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(slope * F.col(f"x{i}")).alias(f"g{i}") for i in range(k)], F.sum(g).alias("g"), F.sum(h).alias("h")).first()
+        if got["g0"] is None:
+            raise ValueError("no rows to fit")
+        matrix = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        try:
+            step = np.linalg.solve(matrix, np.array([got[f"g{i}"] for i in range(k)]))
+        except np.linalg.LinAlgError as e:
+            raise ValueError("singular fit") from e
+        size = math.exp(-theta)
+        first, second = -size * got["g"], size * got["g"] + size * size * got["h"]
+        move = -first / second if second < 0 else math.copysign(1.0, first)
+        move = max(-1.0, min(1.0, move))
+        beta, theta = beta + np.clip(step, -5, 5), max(-20.0, theta + move)
+        if not np.isfinite(beta).all() or np.abs(beta).max() > 1e3:
+            raise ValueError("the fit diverges")
+        if np.abs(step).max() < 1e-9 and (abs(move) < 1e-8 or theta <= -20.0):
+            break
+    return dict(zip(names, map(float, beta))), (math.exp(theta) if theta > -19 else 0.0)
 
 
 def size_adjusted(rows: DataFrame, response: str, terms: list[str]) -> DataFrame:
-    """rows + (expected, excess, residual): Pearson residual (y - mu) / sqrt(mu + alpha mu^2) of a log-linear fit."""
-    fit = fit_glm(rows, response, terms, "poisson")
-    eta = sum((F.lit(b) * F.col(t).cast("double") for t, b in ((n, e) for n, e, *_ in fit[1:])), F.lit(fit[0][1]))
+    """rows + (expected, excess, residual): Pearson residual (y - mu) / sqrt(mu + alpha mu^2) of a log-linear
+    negative-binomial fit."""
+    fit, alpha = fit_negative_binomial(rows, response, terms)
+    eta = sum((F.lit(fit[t]) * F.col(t).cast("double") for t in terms), F.lit(fit["intercept"]))
     with_mean = rows.withColumn("expected", F.exp(eta))
-    alpha = overdispersion(with_mean, response, "expected")
     mu = F.col("expected")
     return with_mean.withColumn("excess", F.col(response) - mu).withColumn("residual", (F.col(response) - mu) / F.sqrt(mu + alpha * mu * mu))
 
@@ -175,7 +218,7 @@ def faith_diversity(counts: DataFrame, tree: DataFrame) -> DataFrame:
     now = counts.select("node", F.col("cluster").cast("string").alias("at")).distinct()
     seen = None
     while True:
-        step = now.join(edges, "at").select("node", "at", "parent", "length").persist()
+        step = cut(now.join(edges, "at").select("node", "at", "parent", "length"))
         if step.isEmpty():
             break
         seen = step.select("node", "at", "length") if seen is None else seen.unionByName(step.select("node", "at", "length"))
@@ -190,26 +233,30 @@ def node_seed(base: int, node: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{base}::{node}".encode(), digest_size=8).digest(), "big") % (2**32 - 1)
 
 
-def resampled_counts(counts: DataFrame, n_boot: int, seed: int = 186, frac: tuple[float, float] = (0.7, 1.2)) -> DataFrame:
-    """(replicate, node, cluster, n): each node's count vector drawn anew (multinomial) with a random part of its total.
-    A group holds one node: a row a cluster."""
-    if n_boot < 1 or not 0 < frac[0] <= frac[1]:
-        raise ValueError("n_boot must be at least 1 and 0 < frac[0] <= frac[1]")
+def multinomial(counts: DataFrame, by: list[str], replicates: int, seed: int = 186, frac: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """by + (replicate, node, cluster, n): each node's count vector drawn anew (multinomial), with a part of its total
+    between the two of frac. A group holds one node of one `by`: a row a cluster; replicates leave it one at a time."""
+    if replicates < 1 or not 0 < frac[0] <= frac[1]:
+        raise ValueError("replicates must be at least 1 and 0 < frac[0] <= frac[1]")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cluster")
-        rng, p = np.random.default_rng(node_seed(seed, pdf.node.iloc[0])), pdf.n.to_numpy(float)
-        draws = np.array([rng.multinomial(max(1, round(p.sum() * rng.uniform(*frac))), p / p.sum()) for _ in range(n_boot)])
+        rng, p = np.random.default_rng(node_seed(seed, "::".join(map(str, key)))), pdf.n.to_numpy(float)
+        draws = np.array([rng.multinomial(max(1, round(p.sum() * rng.uniform(*frac))), p / p.sum()) for _ in range(replicates)])
         r, c = np.nonzero(draws)
-        return pd.DataFrame({"replicate": r.astype("int32"), "node": pdf.node.iloc[0], "cluster": pdf.cluster.to_numpy()[c], "n": draws[r, c]})
+        fixed = {name: pdf[name].iloc[0] for name in [*by, "node"]}
+        return pd.DataFrame({**{b: fixed[b] for b in by}, "replicate": r.astype("int32"), "node": fixed["node"], "cluster": pdf.cluster.to_numpy()[c], "n": draws[r, c]})
 
-    return counts.groupBy("node").applyInPandas(run, f"replicate int, node string, cluster {counts.schema['cluster'].dataType.simpleString()}, n long")
+    kinds = "".join(f"{b} {counts.schema[b].dataType.simpleString()}, " for b in by)
+    return counts.groupBy(*by, "node").applyInPandas(run, f"{kinds}replicate int, node string, cluster {counts.schema['cluster'].dataType.simpleString()}, n long")
 
 
-def triangle_stability(counts: DataFrame, triangles: DataFrame, n_boot: int, seed: int = 186) -> DataFrame:
-    """(a, b, c, source, selected_rate, supported_rate, delta_mean, delta_lo, delta_hi): how often each candidate of each
+def triangle_stability(counts: DataFrame, triangles: DataFrame, n_boot: int, seed: int = 186, frac: tuple[float, float] = (0.7, 1.2)) -> DataFrame:
+    """(a, b, c, source, n_valid, n_invalid, selected_rate, supported_rate, delta_mean, delta_lo, delta_hi): how often each candidate of each
     triangle comes first, and is supported, over resampled counts. All triangles are judged in every replicate by
     the closed form, in one plan; replicates where a cosine is undefined count as draws without a result."""
-    judged = residual_triangles(cut(resampled_counts(counts, n_boot, seed)), triangles.select("a", "b", "c"), by=("replicate",))
+    drawn = cut(multinomial(counts, [], n_boot, seed, frac))
+    judged = residual_triangles(drawn, triangles.select("a", "b", "c"), by=("replicate",))
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return judged.groupBy("a", "b", "c", "source").agg(share(F.col("delta_rank") == 1).alias("selected_rate"), share(F.col("supported")).alias("supported_rate"), F.round(F.avg("delta"), 6).alias("delta_mean"), F.round(F.percentile("delta", 0.025), 6).alias("delta_lo"), F.round(F.percentile("delta", 0.975), 6).alias("delta_hi"))
+    valid = F.count(F.lit(1))
+    return judged.groupBy("a", "b", "c", "source").agg(valid.alias("n_valid"), (F.lit(n_boot) - valid).alias("n_invalid"), share(F.col("delta_rank") == 1).alias("selected_rate"), share(F.col("supported")).alias("supported_rate"), F.round(F.avg("delta"), 6).alias("delta_mean"), F.round(F.percentile("delta", 0.025), 6).alias("delta_lo"), F.round(F.percentile("delta", 0.975), 6).alias("delta_hi"))

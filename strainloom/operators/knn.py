@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from strainloom.functions.portable import folds
 from strainloom.functions.profiles import extent, matrix
+from strainloom.operators.association import normal_tail
 
-#: Rows of a block of queries and of a block of training profiles that meet in one task.
-QUERY_BLOCK, TRAIN_BLOCK = 500, 20_000
+#: Most rows of a block of queries and of a block of training profiles that meet in one task, and least rows of a block
+#: of queries where there are fewer tasks than partitions. A row is copied once for each block of the other side.
+QUERY_BLOCK, TRAIN_BLOCK, LEAST_QUERIES = 10_000, 40_000, 100
 #: Queries and training rows compared at once.
 TILE = (64, 4096)
 
@@ -46,7 +48,9 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, per_label: bool = Fals
     index would give them. Distances are at least min_dist; a null or short array counts as missing loci.
     """
     (rows_t, loci_t), (rows_q, loci_q) = extent(train, "alleles"), extent(queries, "alleles")
-    loci, n_train, n_query = max(1, loci_t, loci_q), max(1, -(-rows_t // TRAIN_BLOCK)), max(1, -(-rows_q // QUERY_BLOCK))
+    loci, n_train = max(1, loci_t, loci_q), max(1, -(-rows_t // TRAIN_BLOCK))
+    wanted = -(-2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_train)
+    n_query = max(1, -(-rows_q // QUERY_BLOCK), min(wanted, rows_q // LEAST_QUERIES))
     q = queries.select(F.col("id").alias("i"), F.col("alleles").alias("x"), F.pmod(F.xxhash64("id"), F.lit(n_query)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("tb"))
     t = train.select(F.col("id").alias("i"), F.col("alleles").alias("x"), "label", F.pmod(F.xxhash64("id"), F.lit(n_train)).cast("int").alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"))
     keep = pool or k
@@ -87,33 +91,66 @@ def class_weights(train: DataFrame, gamma: float = 2.5) -> DataFrame:
     return n.crossJoin(least).select("label", "n", F.round(F.pow(F.col("n") / (F.col("least") + 1), F.lit(-1 / gamma)), 6).alias("weight"))
 
 
-def probabilities(near: DataFrame, weights: DataFrame, min_dist: float = 5e-5, delta: float = 1.0) -> DataFrame:
-    """(query_id, label, proba) for every class: softmax of class-weighted distance votes.
+def probabilities(near: DataFrame, weights: DataFrame, min_dist: float = 5e-5, delta: float = 1.0, voting: str = "distance", method: str = "softmax") -> DataFrame:
+    """(query_id, label, proba) for every class, from class-weighted votes.
 
-    The nearest votes 1, the j-th (d_k - d_j) / (d_k - d_1 + min_dist).
+    voting: distance (the nearest votes 1, the j-th (d_k - d_j) / (d_k - d_1 + min_dist)), inverse (2 / distance) or
+    uniform (1). method: softmax of the sums of the votes times the class weight, or softmin of the means of the inverse
+    votes over the class weight (a vote counts as at least min_dist there).
     """
     w = Window.partitionBy("query_id")
-    voted = near.withColumn("d1", F.min("distance").over(w)).withColumn("dk", F.max("distance").over(w)).withColumn("w", F.when(F.col("rank") == 1, 1.0).otherwise((F.col("dk") - F.col("distance")) / (F.col("dk") - F.col("d1") + min_dist)))
-    votes = voted.groupBy("query_id", "label").agg(F.sum("w").alias("w"))
+    first, last, d = F.min("distance").over(w), F.max("distance").over(w), F.col("distance")
+    votes = {"distance": F.when(F.col("rank") == 1, 1.0).otherwise((last - d) / (last - first + min_dist)), "inverse": 2 / d, "uniform": F.lit(1.0)}
+    if voting not in votes or method not in ("softmax", "softmin"):
+        raise ValueError(f"unknown voting {voting} or method {method}")
+    voted = near.withColumn("w", votes[voting]).withColumn("k", F.count(F.lit(1)).over(w))
+    if method == "softmin":
+        voted = voted.withColumn("w", -1 / F.greatest("w", F.lit(min_dist)) / F.col("k"))
+    sums = voted.groupBy("query_id", "label").agg(F.sum("w").alias("w"))
     grid = near.select("query_id").distinct().crossJoin(F.broadcast(weights.select("label", "weight")))  # classes are few
-    scored = grid.join(votes, ["query_id", "label"], "left").withColumn("z", delta * F.col("weight") * F.coalesce("w", F.lit(0.0)))
+    weight = F.col("weight") if method == "softmax" else 1 / F.col("weight")
+    scored = grid.join(sums, ["query_id", "label"], "left").withColumn("z", delta * weight * F.coalesce("w", F.lit(0.0)))
     shifted = scored.withColumn("e", F.exp(F.col("z") - F.max("z").over(w)))
     return shifted.select("query_id", "label", F.round(F.col("e") / F.sum("e").over(w), 6).alias("proba"))
 
 
+def named_probabilities(proba: DataFrame, classes: list[str]) -> DataFrame:
+    """(query_id, p_<class> ...): one column a class."""
+    return proba.groupBy("query_id").agg(*[F.max(F.when(F.col("label") == c, F.col("proba"))).alias(f"p_{c}") for c in classes])
+
+
 def predictions(proba: DataFrame) -> DataFrame:
     """(query_id, prediction, proba): the most probable class, ties by the smaller label."""
     w = Window.partitionBy("query_id").orderBy(F.desc("proba"), "label")
     return proba.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", F.col("label").alias("prediction"), "proba")
 
 
-def trust(per_label: DataFrame, predicted: DataFrame, beta: float = 2.0) -> DataFrame:
-    """(query_id, trust): sigmoid of the ratio of the distance to the nearest other class and to the predicted one;
-    a class's distance is the median of its k nearest."""
-    d = per_label.groupBy("query_id", "label").agg(F.median("distance").alias("d"))
-    j = d.join(predicted.select("query_id", "prediction"), "query_id")
-    got = j.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("prediction"), F.col("d"))).alias("own"), F.min(F.when(F.col("label") != F.col("prediction"), F.col("d"))).alias("other"))
-    return got.select("query_id", F.round(1 / (1 + F.exp(-beta * (F.col("other") / (F.col("own") + 1e-7) - 1))), 6).alias("trust"))
+def distance_ratio(per_label: DataFrame, own_class: DataFrame, mean: bool = False) -> DataFrame:
+    """(query_id, prediction, own, other, ratio): distance to the named class of (query_id, prediction), to the nearest
+    other one and their ratio; a class's distance is the median (or mean) of the listed neighbours."""
+    d = per_label.groupBy("query_id", "label").agg((F.avg("distance") if mean else F.median("distance")).alias("d"))
+    j = d.join(own_class.select("query_id", "prediction"), "query_id")
+    got = j.groupBy("query_id", "prediction").agg(F.min(F.when(F.col("label") == F.col("prediction"), F.col("d"))).alias("own"), F.min(F.when(F.col("label") != F.col("prediction"), F.col("d"))).alias("other"))
+    return got.withColumn("ratio", F.col("other") / (F.col("own") + 1e-7))
+
+
+def ratio_statistics(per_label: DataFrame, truth: DataFrame) -> DataFrame:
+    """(label, n, mean_ratio, sd_ratio, skewness): median, population deviation and skewness of the distance ratios of
+    labelled rows (query_id, label) by class; distances are means over the listed neighbours."""
+    ratios = distance_ratio(per_label, truth.select("query_id", F.col("label").alias("prediction")), mean=True)
+    return ratios.where("ratio is not null").groupBy(F.col("prediction").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.median("ratio").alias("mean_ratio"), F.stddev_pop("ratio").alias("sd_ratio"), F.coalesce(F.skewness("ratio"), F.lit(0.0)).alias("skewness"))
+
+
+def trust(per_label: DataFrame, predicted: DataFrame, beta: float = 2.0, mean: bool = False, statistics: DataFrame | None = None) -> DataFrame:
+    """(query_id, trust): sigmoid of beta (ratio - 1), the ratio of the distance to the nearest other class and to the
+    predicted one. With the ratio_statistics of the classes it is the normal distribution of the standardised ratio
+    plus the class's skewness, times beta; null for a class without statistics or deviation."""
+    got = distance_ratio(per_label, predicted, mean)
+    if statistics is None:
+        return got.select("query_id", F.round(1 / (1 + F.exp(-beta * (F.col("ratio") - 1))), 6).alias("trust"))
+    joined = got.join(F.broadcast(statistics.withColumnRenamed("label", "prediction")), "prediction", "left")  # a row a class
+    z = beta * (F.try_divide(F.col("ratio") - F.col("mean_ratio"), F.col("sd_ratio")) + F.col("skewness"))
+    return joined.select("query_id", F.round(1 - normal_tail(z), 6).alias("trust"))
 
 
 def confusion(labelled: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ from strainloom.session import cut, require_columns
 
 @dataclass(frozen=True)
 class ConsensusSettings:
-    replicates: int = 8
+    replicates: int = 100
     similarity_threshold: float = 0.35
     graph_threshold: float = 0.5
     partition_threshold: float = 0.5
     seed: int = 186
+    #: Rows drawn of each node: as many as it has (None), as the smallest has ("least"), or a number.
+    size: int | str | None = None
 
 
 @dataclass(frozen=True)
@@ -34,9 +36,9 @@ class Consensus:
     partition: DataFrame
 
 
-def replicate_similarities(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+def replicate_similarities(rows: DataFrame, replicates: int, seed: int, size: int | str | None = None) -> DataFrame:
     """(replicate, u, v, weight): cosine of the resampled counts of each pair that shares a cluster, u < v."""
-    drawn = draw_with_replacement(rows, "row_id", "node", replicates, seed)
+    drawn = draw_with_replacement(rows, "row_id", "node", replicates, seed, size)
     counts = drawn.groupBy("replicate", "node", "cluster").agg(F.count(F.lit(1)).alias("n"))
     norms = counts.groupBy("replicate", "node").agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("s2"))
     a, b = counts.select("replicate", "cluster", F.col("node").alias("u"), F.col("n").alias("nu")), counts.select("replicate", "cluster", F.col("node").alias("v"), F.col("n").alias("nv"))
@@ -51,16 +53,16 @@ def consensus_network(rows: DataFrame, settings: ConsensusSettings = ConsensusSe
     require_columns(rows, ["row_id", "node", "cluster"], "consensus_network")
     rows = rows.where("node is not null and cluster is not null")
     nodes = sorted(r.node for r in rows.select("node").distinct().collect())
-    sims = cut(replicate_similarities(rows, settings.replicates, settings.seed))
+    sims = cut(replicate_similarities(rows, settings.replicates, settings.seed, settings.size))
     edges = sims.where(F.col("weight") > settings.similarity_threshold)
     support = edges.groupBy("u", "v").agg(F.round(F.count(F.lit(1)) / F.lit(float(settings.replicates)), 6).alias("support"))
     partitions = cut(Z.replicate_communities(edges, nodes, seed=settings.seed))
-    together = Z.coassignment(partitions)
+    together = Z.coassignment(partitions, replicates=settings.replicates)
     kept = support.where(F.col("support") >= settings.graph_threshold).select("u", "v", F.col("support").alias("weight"))
     return Consensus(nodes, edges, support, kept, partitions, together, Z.consensus_partition(together, nodes, settings.partition_threshold))
 
 
-def threshold_grid(rows: DataFrame, similarity: list[float], support: list[float], replicates: int = 8, seed: int = 186) -> DataFrame:
+def threshold_grid(rows: DataFrame, similarity: list[float], support: list[float], replicates: int = 100, seed: int = 186) -> DataFrame:
     """(similarity_threshold, graph_threshold, n_edges) for every combination, from one table of similarities."""
     sims = replicate_similarities(rows, replicates, seed)
     grid = rows.sparkSession.createDataFrame([(s,) for s in similarity], "similarity_threshold double")

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strainloom.operators.centrality import METRICS, metrics_of, roles
-from strainloom.session import BROADCAST_ROWS
+from strainloom.operators.centrality import all_roles, replicate_metrics, roles
+from strainloom.operators.inference import multinomial
+from strainloom.session import cut
 
 
 def fingerprint(**settings) -> str:
@@ -19,42 +17,26 @@ def fingerprint(**settings) -> str:
     return hashlib.sha256(repr(sorted(settings.items())).encode()).hexdigest()[:16]
 
 
-def nested_replicates(counts: DataFrame, outer: DataFrame, inner: int, threshold: float = 0.35, support: float = 0.5, seed: int = 186) -> DataFrame:
-    """(replicate, node, six metrics): for each outer replicate the counts are drawn anew, then `inner` times again for
-    a consensus graph (cosine above `threshold` in a share of at least `support`), whose connected nodes are kept.
+def nested_support(counts: DataFrame, outer: int, inner: int, threshold: float = 0.35, seed: int = 186) -> DataFrame:
+    """(replicate, u, v, weight): for each outer replicate the counts are drawn anew, then `inner` times again; weight is
+    the share of the inner draws in which the cosine of two nodes is above the threshold, u < v.
 
-    Replicates are independent rows of `outer`. The count table goes to every task, so it may have at most
-    BROADCAST_ROWS rows (nodes times clusters); a larger one raises ValueError.
+    Draws are keyed by (outer, inner, node) and meet by one self-join on the cluster, so neither a replicate nor the
+    table of counts is held by one task.
     """
-    if counts.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} rows of counts")
-    packed = counts.agg(F.sort_array(F.collect_list(F.struct("node", F.col("cluster").cast("string").alias("cluster"), "n"))).alias("cells"))
-
-    def draw(rng: np.random.Generator, m: np.ndarray) -> np.ndarray:
-        return np.array([rng.multinomial(int(v.sum()), v / v.sum()) if v.sum() else v for v in m], float)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for replicate, cells in zip(batch.replicate, batch.cells):
-                table = pd.DataFrame([(c["node"], c["cluster"], c["n"]) for c in cells], columns=["node", "cluster", "n"]).pivot_table(index="node", columns="cluster", values="n", fill_value=0)
-                rng = np.random.default_rng([seed, int(replicate)])
-                base, votes = draw(rng, table.to_numpy(float)), 0
-                for _ in range(inner):
-                    x = draw(rng, base)
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    votes = votes + (x @ x.T > threshold)
-                share = np.triu(votes / inner, 1)
-                i, j = np.nonzero(share >= support)
-                names = table.index.to_numpy()
-                edges = pd.DataFrame({"u": names[i], "v": names[j], "weight": share[i, j]})
-                kept = sorted(set(edges.u) | set(edges.v))
-                if kept:
-                    yield metrics_of(edges, kept).assign(replicate=replicate)[["replicate", "node", *METRICS]]
-
-    spread = outer.select("replicate").repartition("replicate").crossJoin(F.broadcast(packed))
-    return spread.mapInPandas(run, "replicate int, node string, " + ", ".join(f"{m} double" for m in METRICS))
-
-
-def nested_roles(counts: DataFrame, outer: int, inner: int, **settings) -> DataFrame:
-    """nested_replicates of 0..outer-1 with the role of every retained node."""
-    return roles(nested_replicates(counts, counts.sparkSession.range(outer).select(F.col("id").cast("int").alias("replicate")), inner, **settings), ["replicate"])
+    base = cut(multinomial(counts, [], outer, seed).withColumnRenamed("replicate", "outer"))
+    drawn = cut(multinomial(base, ["outer"], inner, seed + 1).withColumnRenamed("replicate", "inner"))
+    by = ["outer", "inner"]
+    norms = drawn.groupBy(*by, "node").agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("s2"))
+    a, b = drawn.select(*by, "cluster", F.col("node").alias("u"), F.col("n").alias("nu")), drawn.select(*by, "cluster", F.col("node").alias("v"), F.col("n").alias("nv"))
+    dots = a.join(b, [*by, "cluster"]).where("u < v").groupBy(*by, "u", "v").agg(F.sum(F.col("nu") * F.col("nv")).cast("double").alias("dot"))
+    both = dots.join(norms.withColumnsRenamed({"node": "u", "s2": "su"}), [*by, "u"]).join(norms.withColumnsRenamed({"node": "v", "s2": "sv"}), [*by, "v"])
+    near = both.where(F.round(F.col("dot") / F.sqrt(F.col("su") * F.col("sv")), 6) > threshold)
+    return near.groupBy(F.col("outer").alias("replicate"), "u", "v").agg((F.count(F.lit(1)) / F.lit(float(inner))).alias("weight"))
+
+
+def nested_roles(counts: DataFrame, outer: int, inner: int, threshold: float = 0.35, support: float = 0.5, seed: int = 186) -> DataFrame:
+    """(replicate, node, role) for outer replicates 0.. and every node: its role in the consensus graph of edges with at
+    least `support`, or that it is not retained there."""
+    edges = nested_support(counts, outer, inner, threshold, seed).where(F.col("weight") >= support)
+    return all_roles(roles(replicate_metrics(edges, None), ["replicate"]), outer, counts.select("node").distinct())

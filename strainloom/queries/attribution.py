@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strainloom.operators import curation as U
 from strainloom.operators import knn as K
 from strainloom.queries.base import META
-from strainloom.session import read_table
+from strainloom.session import cut, read_table
 
 TRAIN, TEST = "knn_training_cgmlst", "knn_testing_cgmlst"
 CLASSES = ["aquatic", "bovine", "feed", "human", "other", "poultry", "produce", "swine", "wild"]
@@ -40,18 +41,51 @@ def near(s, d, **kw):
     return K.nearest(labelled(s, d, TEST), labelled(s, d, TRAIN), NEIGHBOURS, **kw)
 
 
-def proba(s, d):
-    return K.probabilities(near(s, d), K.class_weights(labelled(s, d, TRAIN)))
+def searched(s, d):
+    """(per label, overall, statistics' own) neighbours of one search: the k nearest of every class hold the k nearest."""
+    per = cut(K.nearest(labelled(s, d, TEST), labelled(s, d, TRAIN), NEIGHBOURS, per_label=True))
+    w = Window.partitionBy("query_id").orderBy("distance", "train_id")
+    return per, per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= NEIGHBOURS)
 
 
-def predicted(s, d):
+def proba(s, d, found=None, **kw):
+    return K.probabilities(near(s, d) if found is None else found, K.class_weights(labelled(s, d, TRAIN)), **kw)
+
+
+def predicted(s, d, found=None):
     truth = labelled(s, d, TEST).select(F.col("id").alias("query_id"), "label")
-    return K.predictions(proba(s, d)).join(truth, "query_id").select("query_id", "label", "prediction")
+    return K.predictions(proba(s, d, found)).join(truth, "query_id").select("query_id", "label", "prediction")
+
+
+def knn_trust(s, d, found=None):
+    per, overall = found or searched(s, d)
+    return K.trust(per.where("rank <= 3"), K.predictions(proba(s, d, overall)))
+
+
+def trust_statistics(s, d):
+    """Distance ratios of training profiles by class: those whose id is divisible by 100, against all."""
+    train = labelled(s, d, TRAIN)
+    asked = train.where("id % 100 = 0")
+    return K.ratio_statistics(K.nearest(asked, train, NEIGHBOURS, per_label=True), asked.select(F.col("id").alias("query_id"), "label"))
+
+
+def normal_trust(s, d):
+    per, overall = searched(s, d)
+    return K.trust(per, K.predictions(proba(s, d, overall)), mean=True, statistics=cut(trust_statistics(s, d)))
+
+
+def external(s, d):
+    """All testing profiles, labelled or not, with the predicted class, whether it is theirs, and every class's probability."""
+    t = read_table(s, d, TEST)
+    queries = t.select(F.col("profile_id").alias("id"), "alleles", U.class_in(F.col("source"), CLASSES).alias("label"))
+    p = cut(K.probabilities(K.nearest(queries, labelled(s, d, TRAIN), NEIGHBOURS), K.class_weights(labelled(s, d, TRAIN))))
+    got = queries.select(F.col("id").alias("query_id"), "label").join(K.predictions(p).drop("proba"), "query_id").join(K.named_probabilities(p, CLASSES), "query_id")
+    return got.withColumn("is_match", F.col("label") == F.col("prediction"))
 
 
-def knn_trust(s, d):
-    per = K.nearest(labelled(s, d, TEST), labelled(s, d, TRAIN), 3, per_label=True)
-    return K.trust(per, K.predictions(proba(s, d)))
+def trust_histogram(s, d):
+    found = searched(s, d)
+    return K.trust_histogram(knn_trust(s, d, found).join(predicted(s, d, found[1]).withColumn("correct", F.col("label") == F.col("prediction")), "query_id"))
 
 
 def curated(s, d):
@@ -79,7 +113,13 @@ QUERIES = {
     "knn_probabilities": proba,
     "knn_confusion": lambda s, d: K.confusion(predicted(s, d)),
     "knn_trust": knn_trust,
-    "knn_trust_histogram": lambda s, d: K.trust_histogram(knn_trust(s, d).join(predicted(s, d).withColumn("correct", F.col("label") == F.col("prediction")), "query_id")),
+    "knn_trust_histogram": trust_histogram,
+    "knn_trust_normal": normal_trust,
+    "knn_trust_statistics": lambda s, d: trust_statistics(s, d).select("label", "n", *[F.round(c, 5).alias(c) for c in ("mean_ratio", "sd_ratio", "skewness")]),
+    "knn_uniform": lambda s, d: proba(s, d, voting="uniform"),
+    "knn_inverse": lambda s, d: proba(s, d, voting="inverse"),
+    "knn_softmin": lambda s, d: proba(s, d, method="softmin"),
+    "knn_external": external,
     "knn_cross_validation": lambda s, d: K.confusion(K.cross_validated(labelled(s, d, TRAIN), NEIGHBOURS, 10, 42)),
     "curated_labels": curated,
     "human_class_fwg": human_rows,
@@ -106,6 +146,10 @@ SQL = {
     "knn_topk": _K + " SELECT * FROM near",
     "knn_class_weights": _K + " SELECT * FROM cw",
     "knn_probabilities": _K + " SELECT * FROM proba",
+    "knn_uniform": _K + ", uv AS (SELECT query_id, label, CAST(count(*) AS DOUBLE) AS w FROM near GROUP BY 1, 2), uz AS (SELECT te.id AS query_id, cw.label, cw.weight * coalesce(w, 0) AS z FROM te CROSS JOIN cw LEFT JOIN uv ON uv.query_id = te.id AND uv.label = cw.label) SELECT query_id, label, round(exp(z - mz) / sum(exp(z - mz)) OVER (PARTITION BY query_id), 6) AS proba FROM (SELECT *, max(z) OVER (PARTITION BY query_id) AS mz FROM uz)",
+    "knn_inverse": _K + ", uv AS (SELECT query_id, label, sum(2 / distance) AS w FROM near GROUP BY 1, 2), uz AS (SELECT te.id AS query_id, cw.label, cw.weight * coalesce(w, 0) AS z FROM te CROSS JOIN cw LEFT JOIN uv ON uv.query_id = te.id AND uv.label = cw.label) SELECT query_id, label, round(exp(z - mz) / sum(exp(z - mz)) OVER (PARTITION BY query_id), 6) AS proba FROM (SELECT *, max(z) OVER (PARTITION BY query_id) AS mz FROM uz)",
+    "knn_softmin": _K + f", sv AS (SELECT query_id, label, sum(-1 / greatest(CASE WHEN rank = 1 THEN 1.0 ELSE (dk - distance) / (dk - d1 + 5e-5) END, 5e-5) / kk) AS w FROM (SELECT *, min(distance) OVER (PARTITION BY query_id) AS d1, max(distance) OVER (PARTITION BY query_id) AS dk, count(*) OVER (PARTITION BY query_id) AS kk FROM near) GROUP BY 1, 2), uz AS (SELECT te.id AS query_id, cw.label, coalesce(w, 0) / cw.weight AS z FROM te CROSS JOIN cw LEFT JOIN sv ON sv.query_id = te.id AND sv.label = cw.label) SELECT query_id, label, round(exp(z - mz) / sum(exp(z - mz)) OVER (PARTITION BY query_id), 6) AS proba FROM (SELECT *, max(z) OVER (PARTITION BY query_id) AS mz FROM uz)",
+    "knn_external": _K.replace(f"AS label FROM {TEST} WHERE {_CLASS} IS NOT NULL", f"AS label FROM {TEST}") + " SELECT te.id AS query_id, te.label, prediction, te.label = prediction AS is_match, " + ", ".join(f"max(CASE WHEN proba.label = '{c}' THEN proba END) AS p_{c}" for c in CLASSES) + " FROM te JOIN pred ON pred.query_id = te.id JOIN proba ON proba.query_id = te.id GROUP BY 1, 2, 3, 4",
     "knn_confusion": _K + ", c AS (SELECT te.label, prediction, count(*) AS n FROM pred JOIN te ON te.id = query_id GROUP BY 1, 2) SELECT label, prediction, n, CASE WHEN label = prediction THEN round(n / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE), 6) END AS recall FROM c",
     "knn_trust": _K + ", pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY raw, train_id) AS r FROM dist), md AS (SELECT query_id, label, median(round(greatest(raw, 5e-5), 9)) AS d FROM pl WHERE r <= 3 GROUP BY 1, 2) SELECT query_id, round(1 / (1 + exp(-2.0 * (min(CASE WHEN label <> prediction THEN d END) / (min(CASE WHEN label = prediction THEN d END) + 1e-7) - 1))), 6) AS trust FROM md JOIN pred USING (query_id) GROUP BY 1",
     "knn_two_phase_topk": _K

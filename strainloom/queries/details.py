@@ -17,7 +17,7 @@ from strainloom.queries import network as QN
 from strainloom.queries.base import META, WITH, counts_of
 from strainloom.session import read_table
 
-SEED, REPLICATES, FOLDS, SLOPES = 42, 5, 10, 40
+SEED, REPLICATES, FOLDS, SLOPES = 42, 500, 10, 500
 LEVELS = ["hc5", "hc10", "hc20", "hc50", "hc100"]
 TOUCHING = ["patient_plains", "hogbarn_plains"]
 PET_TERMS = ["pet", "dog", "cat", "treat", "chew"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strainloom.operators import diversity as D
 from strainloom.session import read_table
 
-N_STAR, REPLICATES, SEED = 20, 5, 42
+N_STAR, REPLICATES, SEED = 50, 200, 42
 
 
 def near(s, d):

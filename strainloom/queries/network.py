@@ -9,7 +9,9 @@ from strainloom.operators import graph as G
 from strainloom.plans.consensus import replicate_similarities
 from strainloom.queries.base import META, REGION, REGIONS_SQL, WITH, counts_of, observations, regions
 
-THRESHOLD, REPLICATES, SUPPORT = 0.35, 8, 0.5
+THRESHOLD, REPLICATES, SUPPORT = 0.35, 100, 0.5
+#: Place by clusters that the source of a supported triangle may have at most in sized_triangles.
+TOP_SOURCES = 20
 
 
 def _graph(spark, sf_dir):
@@ -27,6 +29,25 @@ def bootstrap_support(spark, sf_dir):
     return edges.groupBy("u", "v").agg(F.round(F.count(F.lit(1)) / F.lit(float(REPLICATES)), 6).alias("support"))
 
 
+def balanced_support(s, d):
+    """As bootstrap_support, with as many draws of every node as the smallest has rows."""
+    edges = replicate_similarities(observations(s, d), REPLICATES, 186, "least").where(F.col("weight") > THRESHOLD)
+    return edges.groupBy("u", "v").agg(F.round(F.count(F.lit(1)) / F.lit(float(REPLICATES)), 6).alias("support"))
+
+
+def supported_triangles(s, d, excluded="patient", **options):
+    """Triangles whose source is supported and whose name does not begin with `excluded`."""
+    c, v, e = _graph(s, d)
+    got = G.residual_triangles(c, G.triangles(e), **options).where("supported").where(~F.col("source").startswith(excluded))
+    return got.select("a", "b", "c", "source", "delta")
+
+
+def removal(s, d):
+    """The graph before and after nodes without an edge are removed."""
+    c, v, e = _graph(s, d)
+    return G.removal_stats(v, e, _partition(v), G.without_isolated(v, e))
+
+
 def region_unmatched(spark, sf_dir):
     """Regions, as written, that mean no node, with their rows."""
     return regions(spark, sf_dir).where(F.col(REGION).isNotNull() & F.col("node").isNull()).groupBy(F.col(REGION).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -55,7 +76,13 @@ QUERIES = {
     "consensus_edges": lambda s, d: bootstrap_support(s, d).where(F.col("support") >= SUPPORT).select("u", "v", F.col("support").alias("weight")),
     "triangles": lambda s, d: G.triangles(_graph(s, d)[2]).select("a", "b", "c"),
     "triangle_candidates": lambda s, d: (lambda c, v, e: G.residual_triangles(c, G.triangles(e)))(*_graph(s, d)),
-    "supported_triangles": lambda s, d: (lambda c, v, e: G.residual_triangles(c, G.triangles(e)).where("supported").where(~F.col("source").startswith("patient")).select("a", "b", "c", "source", "delta"))(*_graph(s, d)),
+    "supported_triangles": lambda s, d: supported_triangles(s, d),
+    "sized_triangles": lambda s, d: supported_triangles(s, d, require_size=True, richness_top_n=TOP_SOURCES),
+    "balanced_edge_support": balanced_support,
+    "singletons_removed": lambda s, d: G.without_singletons(_partition(_graph(s, d)[1])),
+    "removal_stats": removal,
+    "sorted_communities": lambda s, d: G.sorted_communities(_partition(_graph(s, d)[1])),
+    "normalised_cosine": lambda s, d: C.similarities(C.row_shares(counts_of(s, d))).select("u", "v", "cosine", "braycurtis", "ruzicka"),
 }
 
 _BOOT = f""", placed AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY row_id) - 1 AS place, count(*) OVER (PARTITION BY node) AS size FROM obs),
@@ -72,11 +99,12 @@ _RES = (
  full_c AS (SELECT cand.*, xx.dot AS xx, yy.dot AS yy, ss.dot AS ss, coalesce(xy.dot, 0) AS xy, coalesce(xs.dot, 0) AS xs, coalesce(ys.dot, 0) AS ys FROM cand
    JOIN dots xx ON xx.p = x AND xx.q = x JOIN dots yy ON yy.p = y AND yy.q = y JOIN dots ss ON ss.p = source AND ss.q = source
    LEFT JOIN dots xy ON xy.p = x AND xy.q = y LEFT JOIN dots xs ON xs.p = x AND xs.q = source LEFT JOIN dots ys ON ys.p = y AND ys.q = source),
- cos_c AS (SELECT a, b, c, source, round(xy / sqrt(xx * yy), 6) AS original, round((xy - xs * ys / ss) / sqrt((xx - xs * xs / ss) * (yy - ys * ys / ss)), 6) + 0.0 AS residual FROM full_c WHERE xx - xs * xs / ss > 1e-9 AND yy - ys * ys / ss > 1e-9),
- delta_c AS (SELECT *, round(original - residual, 6) AS delta, CASE WHEN original > 0 THEN round((original - residual) / original, 9) END AS fraction FROM cos_c),
+ rk AS (SELECT node, CAST(rich AS BIGINT) AS clusters, rank() OVER (ORDER BY rich DESC) AS rk FROM stats),
+ cos_c AS (SELECT a, b, c, source, rs.clusters AS source_clusters, rs.rk AS source_rank, rs.clusters >= greatest(rx.clusters, ry.clusters) AS passes_size, round(xy / sqrt(xx * yy), 6) AS original, round((xy - xs * ys / ss) / sqrt((xx - xs * xs / ss) * (yy - ys * ys / ss)), 6) + 0.0 AS residual FROM full_c JOIN rk rs ON rs.node = source JOIN rk rx ON rx.node = x JOIN rk ry ON ry.node = y WHERE xx - xs * xs / ss > 1e-9 AND yy - ys * ys / ss > 1e-9),
+ delta_c AS (SELECT *, round(original - residual, 6) AS delta, round(greatest(0.15, original - 0.3), 6) AS required_delta, CASE WHEN original > 0 THEN round((original - residual) / original, 9) END AS fraction FROM cos_c),
  rank_c AS (SELECT *, row_number() OVER w AS delta_rank, round(delta - lead(delta) OVER w, 6) AS g FROM delta_c WINDOW w AS (PARTITION BY a, b, c ORDER BY delta DESC, source)),
- last_c AS (SELECT a, b, c, source, original, residual, delta, fraction, delta_rank, CASE WHEN delta_rank = 1 THEN g END AS gap,
-   coalesce(delta_rank = 1 AND residual <= 0.3 AND delta >= greatest(0.15, original - 0.3) AND fraction >= 0.5 AND g >= 0.1, FALSE) AS supported FROM rank_c)"""
+ last_c AS (SELECT a, b, c, source, original, residual, source_clusters, source_rank, passes_size, delta, fraction, required_delta, delta_rank, CASE WHEN delta_rank = 1 THEN g END AS gap,
+   coalesce(delta_rank = 1 AND residual <= 0.3 AND delta >= required_delta AND fraction >= 0.5 AND g >= 0.1, FALSE) AS supported FROM rank_c)"""
 )
 
 SQL = {
@@ -106,4 +134,10 @@ SQL = {
     "triangles": WITH + _TRI + " SELECT a, b, c FROM tri",
     "triangle_candidates": WITH + _RES + " SELECT * FROM last_c",
     "supported_triangles": WITH + _RES + " SELECT a, b, c, source, delta FROM last_c WHERE supported AND source NOT LIKE 'patient%'",
+    "sized_triangles": WITH + _RES + f" SELECT a, b, c, source, delta FROM last_c WHERE supported AND passes_size AND source_rank <= {TOP_SOURCES} AND source NOT LIKE 'patient%'",
+    "balanced_edge_support": WITH + _BOOT.replace("FROM placed, range(", "FROM (SELECT *, min(size) OVER () AS least FROM placed) QUALIFY_PLACE, range(").replace("QUALIFY_PLACE, range(" + str(REPLICATES) + ") t(r))", "q, range(" + str(REPLICATES) + ") t(r) WHERE place < least)") + " SELECT * FROM support",
+    "singletons_removed": WITH + " SELECT node, number AS community FROM part JOIN (SELECT community, row_number() OVER (ORDER BY community) - 1 AS number FROM part GROUP BY 1 HAVING count(*) > 1) USING (community)",
+    "removal_stats": WITH + ", st AS (SELECT 'before' AS stage, node FROM nodes UNION ALL SELECT 'after', node FROM nodes WHERE node IN (SELECT a FROM both_ways)), j AS (SELECT p.community AS cu, q.community AS cv, weight FROM edges JOIN part p ON u = p.node JOIN part q ON v = q.node), dg AS (SELECT c, sum(weight) AS d FROM (SELECT cu AS c, weight FROM j UNION ALL SELECT cv, weight FROM j) GROUP BY 1), ins AS (SELECT cu AS c, sum(weight) AS l FROM j WHERE cu = cv GROUP BY 1), mo AS (SELECT round(coalesce(sum(coalesce(l, 0) / m - pow(d / (2 * m), 2)), 0.0), 6) AS modularity FROM dg LEFT JOIN ins USING (c), (SELECT sum(weight) AS m FROM edges)) SELECT stage, count(*) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, count(DISTINCT community) AS n_communities, any_value(modularity) AS modularity FROM st JOIN part USING (node), mo GROUP BY 1",
+    "sorted_communities": WITH + " SELECT community, count(*) AS size, string_agg(node, ', ' ORDER BY node) AS members FROM part GROUP BY 1",
+    "normalised_cosine": WITH + ", sh AS (SELECT c.node, cluster, n / s1 AS n FROM counts c JOIN stats USING (node)), t2 AS (SELECT node, sum(n) AS s1, sum(n * n) AS s2 FROM sh GROUP BY 1), mt AS (SELECT a.node AS u, b.node AS v, sum(a.n * b.n) AS dot, sum(least(a.n, b.n)) AS lst FROM sh a JOIN sh b ON a.cluster = b.cluster AND a.node < b.node GROUP BY 1, 2) SELECT a.node AS u, b.node AS v, round(coalesce(dot, 0) / sqrt(a.s2 * b.s2) + 1e-12, 6) AS cosine, round(2 * coalesce(lst, 0) / (a.s1 + b.s1) + 1e-12, 6) AS braycurtis, round(coalesce(lst, 0) / (a.s1 + b.s1 - coalesce(lst, 0)) + 1e-12, 6) AS ruzicka FROM t2 a JOIN t2 b ON a.node < b.node LEFT JOIN mt ON mt.u = a.node AND mt.v = b.node",
 }
