@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strainloom.functions.text import accession_key, outbreak_key, site_key
+from strainloom.functions.text import NO_VALUE, accession_key, outbreak_key, site_key
 from strainloom.llm.canonical import map_to_reference, unmatched_values
 from strainloom.llm.lookalike import canonical_texts, look_alike_classes, look_alike_pairs
 from strainloom.llm.mixing import mix_sources, repetition_rates, shares_reached
@@ -166,7 +166,20 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (p1_found, p1_unmatched, p4_found, p4_splits, p4_shares, p5_found, p5_links, p5_counts, p6_found, p7_containers, p7_room, p8_mixed, p8_shares, p9_found, p9_classes, p9_canonical)
 QUERIES = {q.__name__: q for q in _ALL}
 _ACC = r"nullif(upper(regexp_replace(regexp_replace({}, '\.[0-9]{{1,2}}\s*$', ''), '[^A-Za-z0-9]+', '', 'g')), '')"
+_NONE = ", ".join(f"'{v}'" for v in NO_VALUE)
+_KEY = f"(SELECT CASE WHEN k NOT IN ({_NONE}) THEN k END FROM (SELECT {{}} AS k))"
+_CODE = r"coalesce(upper(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', '', 'g')), '')"
+_BARE = r"regexp_replace(regexp_replace({}, '\bno\b\.?', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_GROUPS = (
+    rf"""WITH RECURSIVE meta AS (SELECT row_id, {_KEY.format("coalesce(" + _ACC.format("biosample_acc") + ", '')")} AS acc, hc5, {_KEY.format(_CODE.format("outbreak"))} AS code FROM {META}),
+ site AS (SELECT acc, CASE WHEN regexp_matches(b, '^\p{{L}}+[0-9]+$') THEN b END AS site FROM (SELECT acc, {_BARE.format("CASE WHEN l <> '' THEN l ELSE f END")} AS b FROM (SELECT {_KEY.format("coalesce(" + _ACC.format("barcode") + ", '')")} AS acc, regexp_extract(lower(source), '^(.*[0-9])\s*(?:;.*|\(.*\)\s*)$', 1) AS l, regexp_extract(lower(source), '^\s*\p{{L}}+\s*(?:[:/,\-]|\s{{2,}})\s*(.*[0-9].*)$', 1) AS f FROM {TRAIN}))),
+ tie AS (SELECT row_id, 'a' || acc AS k FROM meta WHERE acc IS NOT NULL UNION SELECT row_id, 'h' || hc5 FROM meta WHERE hc5 > 0 UNION SELECT row_id, 'o' || code FROM meta WHERE code IS NOT NULL UNION SELECT row_id, 's' || site FROM meta JOIN site USING (acc) WHERE site IS NOT NULL),
+ hub AS (SELECT k, min(row_id) AS h FROM tie GROUP BY 1 HAVING count(*) > 1), link AS (SELECT DISTINCT row_id, h FROM tie JOIN hub USING (k) WHERE row_id <> h), both_ways AS (SELECT row_id AS x, h AS y FROM link UNION SELECT h, row_id FROM link),
+ reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT reach.x, b.y FROM reach JOIN both_ways b ON b.x = reach.y),
+ grp AS (SELECT row_id, coalesce(least(row_id, min(y)), row_id) AS group_id FROM {META} LEFT JOIN reach ON x = row_id GROUP BY row_id)"""
+)
 SQL: dict[str, str] = {
+    "p4_found": _GROUPS + " SELECT row_id, group_id FROM grp WHERE group_id IN (SELECT group_id FROM grp GROUP BY 1 HAVING count(*) > 1)",
     "p5_found": f"""WITH tr AS (SELECT profile_id AS t, {_ACC.format("barcode")} AS acc, alleles FROM {TRAIN}), te AS (SELECT profile_id AS e, {_ACC.format("barcode")} AS acc, alleles FROM {TEST}),
  h AS (SELECT DISTINCT {_ACC.format("biosample_acc")} AS acc, hc5 FROM {META} WHERE hc5 > 0),
  lt AS (SELECT t, generate_subscripts(alleles, 1) AS p, unnest(alleles) AS a FROM tr), le AS (SELECT e, generate_subscripts(alleles, 1) AS p, unnest(alleles) AS a FROM te),
@@ -174,3 +187,6 @@ SQL: dict[str, str] = {
  pairs AS (SELECT t, e FROM near UNION SELECT t, e FROM tr JOIN te ON tr.acc = te.acc UNION SELECT t, e FROM tr JOIN h x ON x.acc = tr.acc JOIN h y ON y.hc5 = x.hc5 JOIN te ON te.acc = y.acc)
  SELECT least(t, e) AS profile_a, greatest(t, e) AS profile_b FROM pairs""",
 }
+_LINKS = f"SELECT split_name, profile_id, source, count(a) AS n_links FROM (SELECT 'training' AS split_name, profile_id, source FROM {TRAIN} UNION ALL SELECT 'testing', profile_id, source FROM {TEST}) LEFT JOIN (SELECT profile_a AS a FROM ({SQL['p5_found']}) UNION ALL SELECT profile_b FROM ({SQL['p5_found']})) ON a = profile_id GROUP BY 1, 2, 3"
+SQL["p5_links"] = _LINKS
+SQL["p5_counts"] = f"SELECT split_name, source, count(*) AS n_profiles, count(*) FILTER (WHERE n_links > 0) AS n_overlapping, CAST(sum(n_links) AS BIGINT) AS n_pairs FROM ({_LINKS}) GROUP BY 1, 2"
