@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strainloom.functions.portable import draw_with_replacement, draw_without_replacement
+from strainloom.session import cut
+
+#: Added before means of rounded values are rounded again, so that halves go up whatever the order of the sum.
+HAIR = 1e-9
 
 
 def known(distance: Column) -> Column:
@@ -52,16 +56,16 @@ def rarefaction_cutoff(rows: DataFrame, group: str, q: float = 0.1, least: int =
     return sizes.agg(F.floor(F.greatest(F.lit(float(least)), F.percentile("n", q))).cast("long").alias("cutoff"))
 
 
-def rarefied(rows: DataFrame, id_col: str, group: str, lineage: str, distance: str, n_star: int, replicates: int, seed: int, threshold: int = 20) -> DataFrame:
-    """(group, n_available, auc, goods, obs_chao1, distc with mean, lo and hi): statistics of n_star rows of each group,
+def rarefied(rows: DataFrame, id_col: str, group: str, lineage: str, distance: str, n_star: int, replicates: int, seed: int, thresholds: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
+    """(group, n_available, auc, goods, obs_chao1 and a distc for each threshold with mean, lo and hi): statistics of n_star rows of each group,
     drawn without replacement in each replicate; groups with fewer rows are left out."""
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_available")).where(F.col("n_available") >= n_star)
     kept = rows.join(F.broadcast(sizes), group)  # one row a group
     drawn = draw_without_replacement(kept, id_col, group, n_star, replicates, seed)
     by = [group, "replicate"]
-    stats = coverage(drawn, by, lineage, distance, [threshold]).join(ecdf_auc(ecdf(drawn, by, distance, 50, keep_unknown=False), by), by, "left")
-    named = [("auc", "auc"), ("goods", "goods"), ("obs_chao1", "obs_chao1"), ("distc", f"distc{threshold}")]
-    aggs = [a for n, c in named for a in (F.round(F.avg(c), 4).alias(f"{n}_mean"), F.round(F.percentile(c, 0.025), 4).alias(f"{n}_lo"), F.round(F.percentile(c, 0.975), 4).alias(f"{n}_hi"))]
+    stats = coverage(drawn, by, lineage, distance, list(thresholds)).join(ecdf_auc(ecdf(drawn, by, distance, 50, keep_unknown=False), by), by, "left")
+    named = [("auc", "auc"), ("goods", "goods"), ("obs_chao1", "obs_chao1"), *((f"distc{t}", f"distc{t}") for t in thresholds)]
+    aggs = [a for n, c in named for a in (F.round(F.avg(c) + HAIR, 4).alias(f"{n}_mean"), F.round(F.percentile(c, 0.025) + HAIR, 4).alias(f"{n}_lo"), F.round(F.percentile(c, 0.975) + HAIR, 4).alias(f"{n}_hi"))]
     return stats.groupBy(group).agg(*aggs).join(sizes, group)
 
 
@@ -71,7 +75,7 @@ def rarefied_band(rows: DataFrame, id_col: str, group: str, distance: str, n_sta
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= n_star).select(group)
     drawn = draw_without_replacement(rows.join(F.broadcast(sizes), group, "left_semi"), id_col, group, n_star, replicates, seed)  # one row a group
     curves = ecdf(drawn, [group, "replicate"], distance, max_d, keep_unknown=False)
-    return curves.groupBy(group, "x").agg(F.round(F.avg("y"), 8).alias("y_mean"), F.round(F.percentile("y", 0.025), 8).alias("y_lo"), F.round(F.percentile("y", 0.975), 8).alias("y_hi"))
+    return curves.groupBy(group, "x").agg(F.round(F.avg("y") + HAIR, 6).alias("y_mean"), F.round(F.percentile("y", 0.025) + HAIR, 6).alias("y_lo"), F.round(F.percentile("y", 0.975) + HAIR, 6).alias("y_hi"))
 
 
 def quadrants(points: DataFrame, name: str, x: str, y: str, size: str, smallest: float = 40.0, largest: float = 400.0, power: float = 0.5) -> DataFrame:
@@ -91,3 +95,35 @@ def slope_band(points: DataFrame, id_col: str, x: str, y: str, replicates: int,
     slopes = drawn.groupBy("replicate").agg(F.regr_slope(y, x).alias("s"))
     band = slopes.agg(F.round(F.percentile("s", 0.025), 6).alias("slope_lo"), F.round(F.percentile("s", 0.975), 6).alias("slope_hi"))
     return whole.agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept")).crossJoin(band)
+
+
+def regression_band(points: DataFrame, id_col: str, x: str, y: str, replicates: int, seed: int, steps: int = 300) -> DataFrame:
+    """(step, x, y, lo, hi): the least-squares line at equal steps over the range of x, and the 2.5 and 97.5 percentiles of
+    the lines of resampled points; resamples of a single x have no line and do not count."""
+    whole = points.select(id_col, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().withColumn("__g", F.lit("all"))
+    line = whole.agg(F.min("x").alias("from"), F.max("x").alias("to"), F.regr_slope("y", "x").alias("s"), F.regr_intercept("y", "x").alias("i"))
+    grid = line.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    grid = grid.select("step", (F.col("from") + (F.col("to") - F.col("from")) * F.col("step") / (steps - 1)).alias("x"), "s", "i")
+    lines = draw_with_replacement(whole, id_col, "__g", replicates, seed).groupBy("replicate").agg(F.regr_slope("y", "x").alias("rs"), F.regr_intercept("y", "x").alias("ri")).where("rs is not null")
+    at = lines.crossJoin(F.broadcast(grid)).withColumn("v", F.col("ri") + F.col("rs") * F.col("x"))  # a row a step
+    return at.groupBy("step", "x", "s", "i").agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi")).select("step", F.round("x", 6).alias("x"), F.round(F.col("i") + F.col("s") * F.col("x"), 6).alias("y"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+def huber_line(points: DataFrame, x: str, y: str, width: float = 1.345, rounds: int = 30) -> tuple[float, float]:
+    """(slope, intercept) of y on x that bounds the influence of outliers: weights of residuals beyond `width` scales fall
+    as 1 / residual, the scale is the median absolute residual / 0.6745. A round is two Spark aggregates; fewer than two
+    different x raise ValueError."""
+    data = cut(points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna())
+    slope, intercept = data.agg(F.regr_slope("y", "x"), F.regr_intercept("y", "x")).first()
+    if slope is None:
+        raise ValueError("a line needs two different x")
+    for _ in range(rounds):
+        r = F.abs(F.col("y") - intercept - slope * F.col("x"))
+        scale = data.agg(F.median(r)).first()[0] / 0.6745
+        w = F.when(r <= max(width * scale, 1e-12), 1.0).otherwise(width * scale / r)
+        s, sx, sy, sxx, sxy = data.agg(F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("y")), F.sum(w * F.col("x") * F.col("x")), F.sum(w * F.col("x") * F.col("y"))).first()
+        before, slope = slope, (s * sxy - sx * sy) / (s * sxx - sx * sx)
+        intercept = (sy - slope * sx) / s
+        if abs(slope - before) < 1e-10:
+            break
+    return slope, intercept

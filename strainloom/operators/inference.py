@@ -65,6 +65,10 @@ def _trigamma(x: Column) -> Column:
     return 1 / y + 1 / (2 * y * y) + 1 / (6 * F.pow(y, F.lit(3.0))) - 1 / (30 * F.pow(y, F.lit(5.0))) + 1 / (42 * F.pow(y, F.lit(7.0))) + sum((1 / ((x + i) * (x + i)) for i in range(6)), F.lit(0.0))
 
 
+#: A dispersion alpha up to this is none; the fit goes no further down than LEAST in log alpha.
+POISSON, LEAST = 1e-6, -14.0
+
+
 def fit_negative_binomial(rows: DataFrame, response: str, terms: list[str], steps: int = 60) -> tuple[dict[str, float], float]:
     """(coefficients, alpha) of the log-linear negative-binomial model with variance mu + alpha mu^2, by maximum
     likelihood: Newton steps of the coefficients and of log alpha together, each one Spark aggregate.
@@ -95,12 +99,12 @@ def fit_negative_binomial(rows: DataFrame, response: str, terms: list[str], step
         first, second = -size * got["g"], size * got["g"] + size * size * got["h"]
         move = -first / second if second < 0 else math.copysign(1.0, first)
         move = max(-1.0, min(1.0, move))
-        beta, theta = beta + np.clip(step, -5, 5), max(-20.0, theta + move)
+        beta, theta = beta + np.clip(step, -5, 5), max(LEAST, theta + move)
         if not np.isfinite(beta).all() or np.abs(beta).max() > 1e3:
             raise ValueError("the fit diverges")
-        if np.abs(step).max() < 1e-9 and (abs(move) < 1e-8 or theta <= -20.0):
+        if np.abs(step).max() < 1e-9 and (abs(move) < 1e-8 or theta <= LEAST):
             break
-    return dict(zip(names, map(float, beta))), (math.exp(theta) if theta > -19 else 0.0)
+    return dict(zip(names, map(float, beta))), (math.exp(theta) if math.exp(theta) > POISSON else 0.0)
 
 
 def size_adjusted(rows: DataFrame, response: str, terms: list[str]) -> DataFrame:

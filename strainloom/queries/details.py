@@ -55,6 +55,10 @@ def diversity_points(s, d):
     return C.alpha_diversity(counts_of(s, d)).select("node", "isolate_n", "shannon", "obs_chao1")
 
 
+def huber(s, d):
+    return s.createDataFrame([D.huber_line(diversity_points(s, d), "shannon", "obs_chao1")], "slope double, intercept double")
+
+
 def fold_sizes(s, d):
     return folds(Q.labelled(s, d, Q.TRAIN), "id", "label", FOLDS, SEED).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
@@ -70,6 +74,8 @@ QUERIES = {
     "rarefied_band": lambda s, d: D.rarefied_band(QD.near(s, d), "key", "source", "distance", QD.N_STAR, QD.REPLICATES, QD.SEED),
     "diversity_quadrants": lambda s, d: D.quadrants(diversity_points(s, d), "node", "shannon", "obs_chao1", "isolate_n"),
     "diversity_slope": lambda s, d: D.slope_band(diversity_points(s, d), "node", "shannon", "obs_chao1", SLOPES, SEED),
+    "diversity_band": lambda s, d: D.regression_band(diversity_points(s, d), "node", "shannon", "obs_chao1", SLOPES, SEED),
+    "diversity_huber": huber,
     "stratified_permutation": stratified,
     "feed_subclasses": feed_subclasses,
     "fold_sizes": fold_sizes,
@@ -85,12 +91,17 @@ SQL = {
     "distinct_clusters_per_source": f"SELECT lower(source) AS source, {', '.join(f'count(DISTINCT {c}) AS distinct_{c}' for c in LEVELS)} FROM {META} WHERE source IS NOT NULL GROUP BY 1",
     "coassignment_by_partition": WITH + ", pt AS (SELECT node, 0 AS r, split_part(node, '_', 1) AS c FROM nodes UNION ALL SELECT node, 1, split_part(node, '_', 2) FROM nodes WHERE contains(node, '_')) SELECT x.node AS u, y.node AS v, round(count(*) / CAST((SELECT count(DISTINCT r) FROM pt) AS DOUBLE), 6) AS support FROM pt x JOIN pt y ON x.r = y.r AND x.c = y.c AND x.node < y.node GROUP BY 1, 2",
     "triangles_with_nodes": WITH + QN._TRI + f" SELECT a, b, c FROM tri WHERE list_has_any([a, b, c], {TOUCHING})",
-    "rarefied_band": QD._W + _DRAWN + ", cu AS (SELECT source, replicate, CAST(x AS INT) AS x, round(avg(CASE WHEN d <= x THEN 1.0 ELSE 0.0 END), 6) AS y FROM drawn, range(51) g(x) WHERE d IS NOT NULL GROUP BY 1, 2, 3) SELECT source, x, round(avg(y), 8) AS y_mean, round(quantile_cont(y, 0.025), 8) AS y_lo, round(quantile_cont(y, 0.975), 8) AS y_hi FROM cu GROUP BY 1, 2",
+    "rarefied_band": QD._W + _DRAWN + ", cu AS (SELECT source, replicate, CAST(x AS INT) AS x, round(avg(CASE WHEN d <= x THEN 1.0 ELSE 0.0 END), 6) AS y FROM drawn, range(51) g(x) WHERE d IS NOT NULL GROUP BY 1, 2, 3) SELECT source, x, round(avg(y) + 1e-9, 6) AS y_mean, round(quantile_cont(y, 0.025) + 1e-9, 6) AS y_lo, round(quantile_cont(y, 0.975) + 1e-9, 6) AS y_hi FROM cu GROUP BY 1, 2",
     "diversity_quadrants": f"WITH {_POINTS}, q AS (SELECT quantile_cont(shannon, 0.75) AS qx, quantile_cont(obs_chao1, 0.75) AS qy, min(sqrt(isolate_n)) AS lo, max(sqrt(isolate_n)) AS hi FROM al) SELECT node, shannon, obs_chao1, round(CASE WHEN hi > lo THEN 40.0 + (sqrt(isolate_n) - lo) / (hi - lo) * 360.0 ELSE 220.0 END, 6) AS marker, shannon >= qx AS high_x, obs_chao1 >= qy AS high_y FROM al, q",
     "diversity_slope": f"""WITH {_POINTS}, pl AS (SELECT *, row_number() OVER (ORDER BY node) - 1 AS place, count(*) OVER () AS size FROM al),
  dr AS (SELECT r, CAST(floor((CAST('0x' || substr(md5('{SEED}:' || r || ':all:' || place), 1, 8) AS BIGINT) / 4294967296.0) * size) AS BIGINT) AS place FROM pl, range({SLOPES}) t(r)),
  sl AS (SELECT r, regr_slope(obs_chao1, shannon) AS s FROM dr JOIN pl USING (place) GROUP BY 1)
  SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(lo, 6) AS slope_lo, round(hi, 6) AS slope_hi FROM (SELECT regr_slope(obs_chao1, shannon) AS slope, regr_intercept(obs_chao1, shannon) AS intercept FROM al), (SELECT quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM sl)""",
+    "diversity_band": f"""WITH {_POINTS}, pl AS (SELECT *, row_number() OVER (ORDER BY node) - 1 AS place, count(*) OVER () AS size FROM al),
+ dr AS (SELECT r, CAST(floor((CAST('0x' || substr(md5('{SEED}:' || r || ':all:' || place), 1, 8) AS BIGINT) / 4294967296.0) * size) AS BIGINT) AS place FROM pl, range({SLOPES}) t(r)),
+ ln AS (SELECT r, regr_slope(obs_chao1, shannon) AS rs, regr_intercept(obs_chao1, shannon) AS ri FROM dr JOIN pl USING (place) GROUP BY 1),
+ gr AS (SELECT CAST(step AS INT) AS step, f + (t - f) * step / 299 AS x, s, i FROM (SELECT min(shannon) AS f, max(shannon) AS t, regr_slope(obs_chao1, shannon) AS s, regr_intercept(obs_chao1, shannon) AS i FROM al), range(300) g(step))
+ SELECT step, round(x, 6) AS x, round(i + s * x, 6) AS y, round(quantile_cont(ri + rs * x, 0.025), 6) AS lo, round(quantile_cont(ri + rs * x, 0.975), 6) AS hi FROM gr, ln WHERE NOT isnan(rs) AND rs IS NOT NULL GROUP BY step, x, s, i""",
     "stratified_permutation": QA._S
     + QA._BIN
     + f""", pl AS (SELECT target_breadth, bin, feed_present, row_number() OVER (PARTITION BY target_breadth, bin ORDER BY cluster) AS place FROM b),

@@ -39,11 +39,11 @@ def _coverage(rows: str, by: str, thresholds: list[int]) -> str:
 
 _RARE = f""", sized AS (SELECT source, count(*) AS n_available FROM near GROUP BY 1 HAVING count(*) >= {N_STAR}),
  drawn AS (SELECT * FROM (SELECT near.*, r AS replicate, row_number() OVER (PARTITION BY source, r ORDER BY md5('{SEED}:' || r || ':' || key), key) AS o FROM near JOIN sized USING (source), range({REPLICATES}) t(r)) WHERE o <= {N_STAR}),
- cov AS ({_coverage("drawn", "source, replicate", [20])}),
+ cov AS ({_coverage("drawn", "source, replicate", [20, 50, 100])}),
  cur AS (SELECT source, replicate, x, round(avg(CASE WHEN d <= x THEN 1.0 ELSE 0.0 END), 6) AS y FROM drawn, range(51) g(x) WHERE d IS NOT NULL GROUP BY 1, 2, 3),
  auc AS (SELECT source, replicate, round(sum(CASE WHEN x IN (0, 50) THEN y / 2 ELSE y END) / 50, 6) AS auc FROM cur GROUP BY 1, 2),
  both_s AS (SELECT * FROM cov LEFT JOIN auc USING (source, replicate))
- SELECT source, n_available, {", ".join(f"round(avg({c}), 4) AS {n}_mean, round(quantile_cont({c}, 0.025), 4) AS {n}_lo, round(quantile_cont({c}, 0.975), 4) AS {n}_hi" for n, c in (("auc", "auc"), ("goods", "goods"), ("obs_chao1", "obs_chao1"), ("distc", "distc20")))}
+ SELECT source, n_available, {", ".join(f"round(avg({c}) + 1e-9, 4) AS {n}_mean, round(quantile_cont({c}, 0.025) + 1e-9, 4) AS {n}_lo, round(quantile_cont({c}, 0.975) + 1e-9, 4) AS {n}_hi" for n, c in (("auc", "auc"), ("goods", "goods"), ("obs_chao1", "obs_chao1"), *((f"distc{t}", f"distc{t}") for t in (20, 50, 100))))}
  FROM both_s JOIN sized USING (source) GROUP BY 1, 2"""
 
 SQL = {

@@ -8,6 +8,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,11 +19,14 @@ def preferred_path(path: str) -> str:
     return path + ".gz" if os.path.exists(path + ".gz") else path
 
 
-def read_delimited(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str | None = None) -> DataFrame:
-    """A CSV or TSV file (also gzipped) with a header; tab by suffix. Without a schema all columns are strings."""
+def read_delimited(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str | None = None, multi_line: bool = False) -> DataFrame:
+    """A CSV or TSV file (also gzipped) with a header; tab by suffix. Without a schema all columns are strings.
+
+    Line breaks inside quotes need multi_line, with which a file is one task; without it files are split.
+    """
     path = preferred_path(path)
     sep = sep or ("\t" if path.removesuffix(".gz").endswith((".tsv", ".txt")) else ",")
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
@@ -80,21 +84,44 @@ def write_summary(path: str, **values) -> None:
     os.replace(path + ".part", path)
 
 
-def resume_replicates(spark: SparkSession, path: str, fingerprint: str, replicates: int, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def resume_replicates(spark: SparkSession, path: str, fingerprint: str, replicates: int, compute: Callable[[DataFrame], DataFrame], batch: int | None = None) -> DataFrame:
     """The results of replicates 0..n-1, computing only those not yet in the table at `path`.
 
     compute takes (replicate) and returns rows with a replicate column; results are appended as Parquet partitioned
-    by fingerprint, so runs with other settings never mix and a second run computes nothing.
+    by fingerprint, so runs with other settings never mix and a second run computes nothing. With `batch`, that many
+    replicates are computed and committed at a time: a batch that fails leaves no rows, is noted beside the results
+    (see failed_replicates) and tried again by the next run, while the others go on.
     """
     wanted = spark.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    here = f"{path}/fingerprint={fingerprint}"
-    done = None
+    here, notes = f"{path}/fingerprint={fingerprint}", f"{path}/failures/fingerprint={fingerprint}"
+    done = _read_if_there(spark, here)
+    todo = wanted if done is None else wanted.join(done.select("replicate").distinct(), "replicate", "left_anti")
+    size = batch or replicates
+    for first in range(0, replicates, size):
+        part = todo.where((F.col("replicate") >= first) & (F.col("replicate") < first + size))
+        if part.isEmpty():
+            continue
+        try:
+            compute(part).write.mode("append").parquet(here)
+        except Exception as e:
+            if batch is None:
+                raise
+            part.select("replicate", F.lit(str(e)[:2000]).alias("error")).write.mode("append").parquet(notes)
+    got = _read_if_there(spark, here)
+    if got is None:
+        raise RuntimeError("no replicate was computed")
+    return got.join(F.broadcast(wanted), "replicate", "left_semi")
+
+
+def failed_replicates(spark: SparkSession, path: str, fingerprint: str) -> DataFrame | None:
+    """(replicate, error) of the batches that failed in some run, None if there are none."""
+    return _read_if_there(spark, f"{path}/failures/fingerprint={fingerprint}")
+
+
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        done = spark.read.parquet(here).select("replicate").distinct()
-    except Exception as e:  # noqa: BLE001
+        return spark.read.parquet(path)
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    todo = wanted if done is None else wanted.join(done, "replicate", "left_anti")
-    if not todo.isEmpty():
-        compute(todo).write.mode("append").parquet(here)
-    return spark.read.parquet(here).join(F.broadcast(wanted), "replicate", "left_semi")
+        return None
