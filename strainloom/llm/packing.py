@@ -1,7 +1,8 @@
 """Texts of varying length packed into containers of fixed capacity.
 
-Documents are spread over shards of bounded size; inside a shard the longest go first into the tightest open
-container that has no conflict. Open containers lie ordered by their free room, each with a bitmap of the sources
+Documents are spread over shards of bounded size; inside a shard each goes into the tightest open container that has
+no conflict, the sources with the most documents left first and of those the longest, so that no source is left over
+when the containers are full. Open containers lie ordered by their free room, each with a bitmap of the sources
 and one of the duplicate clusters in it; the search goes on to the next larger room until one is compatible.
 """
 
@@ -18,7 +19,7 @@ SHARD = 8_000
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, source_slack: float | None = None) -> list[int]:
-    """Container of each item (sizes at most capacity, in falling order).
+    """Container of each item (sizes at most capacity), in the order given.
 
     Two items of one cluster (an id from 0; -1 for none) never share a container, nor do two of one source. With a
     `source_slack`, two of one source may share the tightest container where the tightest one that keeps them apart
@@ -74,6 +75,8 @@ def pack_documents(sized: DataFrame, id_col: str, size_col: str, source: Column,
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(n_tokens=group.token_to - group.token_from).sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], kind="stable")
+        if source_slack is None:
+            group = group.assign(left=group.groupby("source").cumcount(ascending=False)).sort_values("left", ascending=False, kind="stable")
         sources = pd.factorize(group.source)[0].tolist()
         codes = pd.factorize(group.cluster)[0]
         twice = pd.Series(codes).duplicated(keep=False).to_numpy() & group.known.to_numpy()

@@ -4,6 +4,7 @@ import random
 import unicodedata
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from strainloom.llm.lookalike import Trie, by_table, canonical_texts, look_alike_classes, look_alike_pairs
@@ -48,6 +49,19 @@ def test_pack_documents(spark):
     assert pack_documents(df.where("false"), "doc_id", "n_tokens", F.col("source"), F.col("cluster"), 4096).count() == 0
 
 
+@pytest.mark.parametrize("share,over", [(0.12, 1.06), (0.2, 1.1)])  # half as many documents as containers, and more
+def test_hot_source_leaves_little_room(spark, share, over):
+    """Sources never meet, and containers are few beside what the tokens, or the documents of one source, ask for."""
+    rng = random.Random(9)
+    rows = [(i, min(4096, int(rng.lognormvariate(6.1, 1.0)) + 1), "hot" if rng.random() < share else f"s{rng.randrange(20)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens int, source string")
+    got = pack_documents(df, "doc_id", "n_tokens", F.col("source"), F.lit(None).cast("string"), 4096)
+    boxes = got.groupBy("container").agg(F.sum("n_tokens").alias("used")).collect()
+    assert got.where("source_again").count() == 0 and max(r.used for r in boxes) <= 4096
+    bound = max(sum(r[1] for r in rows) / 4096, sum(r[2] == "hot" for r in rows))
+    assert len(boxes) < over * bound
+
+
 def test_mix(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' when id < 60 then 'small' when id % 7 = 0 then null else 'mid' end as source", "if(id = 5, null, 10) as n_tokens", "1 as size")
     targets = spark.createDataFrame([("hot", 0.3, 2), ("small", 0.1, 3), ("mid", 0.5, 2), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
