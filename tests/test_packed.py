@@ -91,6 +91,7 @@ def test_very_long_text(spark):
     got = run(spark, [long, '"' + "y" * 2_000_000 + '"', '"' * 2_001])
     assert len(got[0]) == 60_000 and got[0][-1] == "v59999, w"
     assert got[1] == ["y" * 2_000_000]
+    assert got[2] == ['"' * 2_001]  # the first mark has no partner, so the text is no quoted value and stays as it is
 
 
 VALUES = ['"a, b"', '"""q"" r"', '"\\"s"', "plain", "x/y", '" "', "[", "]", "", "k=[v]"]
