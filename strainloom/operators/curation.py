@@ -60,6 +60,33 @@ def curate(rows: DataFrame, key: str, rules: Sequence[Rule], resolve: dict[str,
     return sets.withColumn("curated", meaning.when(F.col("labels").contains("|"), other).otherwise(F.col("labels")))
 
 
+def normal_text(value: Column, nothing: Sequence[str]) -> Column:
+    """The text in lower case, null where it is one of the texts that say there is none."""
+    text = F.lower(value)
+    return F.when(~text.isin(list(nothing)), text)
+
+
+def validate_keys(rows: DataFrame, key: str, inside: Column) -> DataFrame:
+    """The rows; raises ValueError naming how many have a null key, or do not meet `inside`."""
+    lost, out = rows.agg(F.count_if(F.col(key).isNull()), F.count_if(~F.coalesce(inside, F.lit(False)))).first()
+    if lost:
+        raise ValueError(f"{lost} rows without {key}")
+    if out:
+        raise ValueError(f"{out} rows from outside")
+    return rows
+
+
+def back_mapped(rows: DataFrame, key: str, curated: DataFrame) -> DataFrame:
+    """All rows with all their columns and the labels and resolution of their key, null for a key without; a key that
+    holds a large share of the rows is joined by broadcast."""
+    return skew_join(rows, curated.select(key, "labels", "curated"), [key], "left")
+
+
+def curated_counts(mapped: DataFrame, other: str = "others/missing") -> DataFrame:
+    """(n_rows, n_labelled, n_other): all rows, those with a resolution, and those resolved to nothing."""
+    return mapped.agg(F.count(F.lit(1)).alias("n_rows"), F.count("curated").alias("n_labelled"), F.count_if(F.col("curated") == other).alias("n_other"))
+
+
 def parse_vector(text: Column) -> Column:
     """array<double> of a bracketed list; null and unreadable texts give an empty one."""
     parts = F.split(F.regexp_replace(text, r"[\[\]\s]", ""), ",")

@@ -88,10 +88,29 @@ def trust_histogram(s, d):
     return K.trust_histogram(knn_trust(s, d, found).join(predicted(s, d, found[1]).withColumn("correct", F.col("label") == F.col("prediction")), "query_id"))
 
 
+#: Texts that say there is no isolation source.
+NOTHING = ["not collected", "not known", "not provided"]
+
+
+def in_usa(c):
+    return F.coalesce(c.contains("USA") | c.contains("United States"), F.lit(False))
+
+
+def to_curate(s, d):
+    """Rows of the country with a key, their isolation source in lower case and null where it says nothing."""
+    rows = read_table(s, d, META).where(in_usa(F.col("geo_loc_name")) & F.col("biosample_acc").isNotNull())
+    return rows.withColumn("isolation_source", U.normal_text(F.col("isolation_source"), NOTHING))
+
+
 def curated(s, d):
     human = F.coalesce((F.col("source_type") == "human") | (F.col("epi_type") == "clinical") | (F.col("host") == "Homo sapiens"), F.lit(False))
-    usa = F.coalesce(F.col("geo_loc_name").contains("USA") | F.col("geo_loc_name").contains("United States"), F.lit(False))
-    return U.curate(read_table(s, d, META).where(usa), "biosample_acc", RULES, RESOLVE, ~human)
+    return U.curate(to_curate(s, d), "biosample_acc", RULES, RESOLVE, ~human)
+
+
+def curated_rows(s, d):
+    """The labels on every row they hold for."""
+    rows = U.validate_keys(to_curate(s, d), "biosample_acc", in_usa(F.col("geo_loc_name")))
+    return U.back_mapped(rows, "biosample_acc", cut(curated(s, d)))
 
 
 def human_rows(s, d):
@@ -122,6 +141,8 @@ QUERIES = {
     "knn_external": external,
     "knn_cross_validation": lambda s, d: K.confusion(K.cross_validated(labelled(s, d, TRAIN), NEIGHBOURS, 10, 42)),
     "curated_labels": curated,
+    "curated_rows": lambda s, d: curated_rows(s, d).select("row_id", "biosample_acc", "isolation_source", "labels", "curated"),
+    "curated_counts": lambda s, d: U.curated_counts(curated_rows(s, d)),
     "human_class_fwg": human_rows,
     "attribution_subset_counts": subset_counts,
 }
@@ -141,6 +162,16 @@ _K = f"""WITH tr AS (SELECT profile_id AS id, alleles, {_CLASS} AS label FROM {T
 _HUMAN = f"""SELECT row_id, source, CASE WHEN lower(source) = 'human' THEN CASE replace(lower(trim(animal_type)), '_', ' ') WHEN 'food animal' THEN 'F' WHEN 'wild animal' THEN 'W' WHEN 'generalist' THEN 'G' ELSE
  CASE WHEN prediction IS NULL THEN 'G' WHEN d <= 38 AND trust_rounded >= 0.54 THEN 'F' WHEN d > 38 THEN 'W' ELSE 'G' END END END AS human_class FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(dist_int, '[\\[\\]\\s]', '', 'g'), ','), lambda v: TRY_CAST(v AS DOUBLE)), lambda v: v IS NOT NULL)[1] AS d FROM {META})"""
 
+_CURATED = f"""WITH u AS (SELECT * REPLACE (CASE WHEN lower(isolation_source) NOT IN ('not collected', 'not known', 'not provided') THEN lower(isolation_source) END AS isolation_source) FROM {META} WHERE biosample_acc IS NOT NULL AND (contains(geo_loc_name, 'USA') OR contains(geo_loc_name, 'United States'))),
+ e AS (SELECT * FROM u WHERE NOT coalesce(source_type = 'human' OR epi_type = 'clinical' OR host = 'Homo sapiens', FALSE)),
+ h AS (SELECT biosample_acc, 0 AS p, 'poultry' AS l FROM e WHERE lower(ifsac_category) IN ('chicken', 'turkey', 'poultry')
+  UNION SELECT biosample_acc, 1, 'dairy' FROM e WHERE (contains(lower(isolation_source), 'milk') OR contains(lower(isolation_source), 'cheese')) AND coalesce(lower(food_origin) <> 'nigeria', TRUE)
+  UNION SELECT biosample_acc, 2, 'bovine' FROM e WHERE lower(ifsac_category) IN ('beef', 'bovine') OR (ifsac_category IS NULL AND lower(host) IN ('bos taurus', 'cattle'))
+  UNION SELECT biosample_acc, 3, 'produce' FROM e WHERE regexp_matches(lower(isolation_source), 'sprout|romaine|cilantro|papaya')
+  UNION SELECT biosample_acc, 4, 'swine' FROM e WHERE lower(host) IN ('sus scrofa', 'swine')),
+ g AS (SELECT biosample_acc, coalesce(string_agg(l, '|' ORDER BY p), '') AS labels FROM (SELECT DISTINCT biosample_acc FROM u) LEFT JOIN h USING (biosample_acc) GROUP BY 1),
+ l AS (SELECT biosample_acc, labels, CASE WHEN labels = '' THEN 'others/missing' WHEN labels = 'dairy|bovine' THEN 'dairy' WHEN contains(labels, '|') THEN 'others/missing' ELSE labels END AS curated FROM g)"""
+
 SQL = {
     "source_unmatched": f"SELECT source, count(*) AS n_profiles FROM (SELECT source FROM {TRAIN} UNION ALL SELECT source FROM {TEST}) WHERE {_CLASS} IS NULL GROUP BY 1",
     "knn_topk": _K + " SELECT * FROM near",
@@ -157,15 +188,9 @@ SQL = {
  pd AS (SELECT ce.id AS query_id, ct.id AS train_id, count(*) FILTER (WHERE ce.a <> ct.a) AS plain FROM ce JOIN ct USING (p) GROUP BY 1, 2),
  pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY plain, train_id) AS o FROM pd QUALIFY o <= 100)
  SELECT query_id, train_id, label, round(greatest(raw, 5e-5), 9) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY raw, train_id) AS rank FROM pool JOIN dist USING (query_id, train_id) QUALIFY rank <= {NEIGHBOURS}""",
-    "curated_labels": f"""WITH u AS (SELECT * FROM {META} WHERE biosample_acc IS NOT NULL AND (contains(geo_loc_name, 'USA') OR contains(geo_loc_name, 'United States'))),
- e AS (SELECT * FROM u WHERE NOT coalesce(source_type = 'human' OR epi_type = 'clinical' OR host = 'Homo sapiens', FALSE)),
- h AS (SELECT biosample_acc, 0 AS p, 'poultry' AS l FROM e WHERE lower(ifsac_category) IN ('chicken', 'turkey', 'poultry')
-  UNION SELECT biosample_acc, 1, 'dairy' FROM e WHERE (contains(lower(isolation_source), 'milk') OR contains(lower(isolation_source), 'cheese')) AND coalesce(lower(food_origin) <> 'nigeria', TRUE)
-  UNION SELECT biosample_acc, 2, 'bovine' FROM e WHERE lower(ifsac_category) IN ('beef', 'bovine') OR (ifsac_category IS NULL AND lower(host) IN ('bos taurus', 'cattle'))
-  UNION SELECT biosample_acc, 3, 'produce' FROM e WHERE regexp_matches(lower(isolation_source), 'sprout|romaine|cilantro|papaya')
-  UNION SELECT biosample_acc, 4, 'swine' FROM e WHERE lower(host) IN ('sus scrofa', 'swine')),
- g AS (SELECT biosample_acc, coalesce(string_agg(l, '|' ORDER BY p), '') AS labels FROM (SELECT DISTINCT biosample_acc FROM u) LEFT JOIN h USING (biosample_acc) GROUP BY 1)
- SELECT biosample_acc, labels, CASE WHEN labels = '' THEN 'others/missing' WHEN labels = 'dairy|bovine' THEN 'dairy' WHEN contains(labels, '|') THEN 'others/missing' ELSE labels END AS curated FROM g""",
+    "curated_labels": _CURATED + " SELECT * FROM l",
+    "curated_rows": _CURATED + " SELECT row_id, biosample_acc, isolation_source, labels, curated FROM u LEFT JOIN l USING (biosample_acc)",
+    "curated_counts": _CURATED + " SELECT count(*) AS n_rows, count(curated) AS n_labelled, count(*) FILTER (WHERE curated = 'others/missing') AS n_other FROM u LEFT JOIN l USING (biosample_acc)",
     "human_class_fwg": _HUMAN,
     "attribution_subset_counts": f"SELECT lower(source) AS source, human_class, count(*) AS n FROM ({_HUMAN}) WHERE NOT coalesce(lower(source) = 'human', FALSE) OR human_class IN ('F', 'G') GROUP BY 1, 2",
 }

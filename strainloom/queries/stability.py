@@ -12,6 +12,7 @@ from strainloom.plans.stability import nested_roles
 from strainloom.queries.base import WITH, counts_of, observations
 from strainloom.queries.network import _BOOT, REPLICATES
 from strainloom.queries.network import SQL as _NETWORK
+from strainloom.session import cut
 
 
 #: Outer and inner draws of the nested bootstrap.
@@ -57,9 +58,11 @@ def nested(s, d):
 
 
 def nested_gaps(s, d):
-    """Outer replicates that lack a node or hold one twice: none."""
+    """(n_rows, n_incomplete): roles of the nested bootstrap, and outer replicates that lack a node or hold one twice."""
     counts = counts_of(s, d)
-    return Z.incomplete_replicates(nested_roles(counts, OUTER, INNER), OUTER, counts.select("node").distinct().count())
+    labelled = cut(nested_roles(counts, OUTER, INNER))
+    odd = Z.incomplete_replicates(labelled, OUTER, counts.select("node").distinct().count())
+    return labelled.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(odd.agg(F.count(F.lit(1)).alias("n_incomplete")))
 
 
 QUERIES = {

@@ -246,3 +246,15 @@ def test_lines(spark):
     assert [r.x for r in band] == [0, 2.75, 5.5, 8.25, 11] and all(r.lo == r.hi == r.y == pytest.approx(2 * r.x + 1) for r in band)
     with pytest.raises(ValueError):
         D.huber_line(points.where("id = 1"), "x", "y")
+
+
+def test_back_map(spark):
+    rows = spark.createDataFrame([(1, "k1", "Not Known", "USA: Ohio"), (2, "k1", "Milk", "USA"), (3, "k2", None, "USA")], "row_id long, key string, text string, place string")
+    assert [r.t for r in rows.select(U.normal_text(F.col("text"), ["not known"]).alias("t")).collect()] == [None, "milk", None]
+    got = U.back_mapped(rows, "key", spark.createDataFrame([("k1", "a|b", "others/missing")], "key string, labels string, curated string"))
+    assert {r.row_id: r.curated for r in got.collect()} == {1: "others/missing", 2: "others/missing", 3: None}
+    assert tuple(U.curated_counts(got).first()) == (3, 2, 2)
+    assert U.validate_keys(rows, "key", F.col("place").contains("USA")).count() == 3
+    for bad in ((4, None, "x", "USA"), (4, "k", "x", None)):
+        with pytest.raises(ValueError):
+            U.validate_keys(rows.unionByName(spark.createDataFrame([bad], rows.schema)), "key", F.col("place").contains("USA"))

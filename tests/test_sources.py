@@ -2,11 +2,13 @@
 
 import gzip
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strainloom.__main__ import main
 from strainloom.sources import io as S
 from strainloom.streaming.counts import windowed_counts
 
@@ -53,3 +55,28 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     query = windowed_counts(stream, "ts", "node", "cluster").writeStream.outputMode("complete").format("memory").queryName("counts_now").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(map(tuple, spark.table("counts_now").collect())) == sorted(map(tuple, windowed_counts(rows, "ts", "node", "cluster").collect()))
+
+
+def test_a_failed_batch_is_noted_and_tried_again(spark, tmp_path):
+    broken = [True]
+
+    def compute(wanted):
+        if broken[0] and wanted.where("replicate = 2").count():
+            raise ValueError("no luck")
+        return wanted.withColumn("x", F.col("replicate") * 2)
+
+    path = str(tmp_path / "r")
+    assert sorted(r.replicate for r in S.resume_replicates(spark, path, "f1", 5, compute, batch=2).collect()) == [0, 1, 4]
+    assert [(r.replicate, r.error) for r in S.failed_replicates(spark, path, "f1").orderBy("replicate").collect()] == [(2, "no luck"), (3, "no luck")]
+    broken[0] = False
+    assert S.resume_replicates(spark, path, "f1", 5, compute, batch=2).count() == 5
+    assert S.failed_replicates(spark, path, "f2") is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    assert main(["--list"]) == 0 and "node_richness" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["/root/testdata/sf0.001", "no_such_query"])
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert main(["/root/testdata/sf0.001", "rarefaction_cutoff", "--out", str(tmp_path / "o")]) == 0
+        assert S.read_json(spark, str(tmp_path / "o/summary.json")).count() == 1
