@@ -12,7 +12,7 @@ from strainloom.llm.mixing import mix_sources, repetition_rates, shares_reached
 from strainloom.llm.neighbours import nearest_profiles
 from strainloom.llm.overlap import cross_split_pairs
 from strainloom.llm.packing import pack_documents
-from strainloom.llm.splits import related_groups, split_by_weight
+from strainloom.llm.splits import heavy_keys, related_groups, split_by_weight
 from strainloom.llm.tokens import n_tokens
 from strainloom.operators.skew import skew_join
 from strainloom.session import cut, read_table
@@ -47,15 +47,16 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = cut(_groups(spark, sf_dir))
-    tied = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id")
-    return skew_join(grouped, cut(tied), ["group_id"]).select("row_id", "group_id")
+    tied = cut(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return skew_join(grouped, tied.drop("n"), ["group_id"], heavy=heavy_keys(tied, "n", F.col("group_id"))).select("row_id", "group_id")
 
 
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metadata row with its group and split."""
     grouped = cut(_groups(spark, sf_dir))
-    weights = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("weight"))
-    return skew_join(grouped, cut(split_by_weight(weights, read_table(spark, sf_dir, "split_targets"))), ["group_id"]).select("row_id", "group_id", "split_name")
+    weights = cut(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("weight")))
+    heavy = heavy_keys(weights, "weight", F.col("group_id"))
+    return skew_join(grouped, split_by_weight(weights, read_table(spark, sf_dir, "split_targets")), ["group_id"], heavy=heavy).select("row_id", "group_id", "split_name")
 
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ from strainloom.session import cut
 
 #: Rounds are given up beyond this; each at least halves the expected number of edges of a matching.
 MAX_ROUNDS = 200
-#: A vertex with more edges than this, and more than HOT_SHARE of all, is joined apart from the others.
-HOT_DEGREE, HOT_SHARE = 10_000, 0.01
+#: A key with more rows than HOT_ROWS is joined apart from the others, if it is one of the MOST_HOT with the most; any
+#: other has less than 1 / MOST_HOT of all.
+HOT_ROWS, MOST_HOT = 10_000, 200
 #: Buckets over which cumulative weights are summed before they are summed inside a bucket.
 WEIGHT_BUCKETS = 1024
 
@@ -28,6 +29,12 @@ def _coin(vertex: Column, turn: int) -> Column:
     return F.pmod(F.xxhash64(vertex, F.lit(turn)), F.lit(2)) == 1
 
 
+def heavy_keys(counts: DataFrame, n_col: str, key: Column) -> list[str]:
+    """The keys, as text, of the at most MOST_HOT rows of a table of counts that are above HOT_ROWS."""
+    top = counts.where(F.col(n_col) > HOT_ROWS).orderBy(F.desc(n_col)).limit(MOST_HOT)
+    return [r[0] for r in top.select(key.cast("string")).collect()]
+
+
 def components(edges: DataFrame, heads: Callable[[Column], Column] | None = None) -> DataFrame:
     """(vertex, label) for every vertex of the undirected edges (u, v): label names its component.
 
@@ -47,10 +54,9 @@ def components(edges: DataFrame, heads: Callable[[Column], Column] | None = None
         ends, most = around.agg(F.sum("n"), F.max("n")).first()
         if not ends:
             break
-        hot = max(HOT_DEGREE, HOT_SHARE * ends)
-        heavy = [str(r.a) for r in around.where(F.col("n") > hot).select("a").collect()] if most > hot else []  # at most 1 / HOT_SHARE
+        heavy = heavy_keys(around, "n", F.col("a")) if most > HOT_ROWS else []
         step = around.where("b is not null").select("a", "b")
-        maps.append(step)
+        maps.append((step, heavy))  # no vertex takes in more others than it has edges
         moved = skew_join(now, step.select(F.col("a").alias("u"), F.col("b").alias("nu")), ["u"], "left", heavy=heavy)
         moved = skew_join(moved, step.select(F.col("a").alias("v"), F.col("b").alias("nv")), ["v"], "left", heavy=heavy)
         moved = moved.select(F.coalesce("nu", "u").alias("x"), F.coalesce("nv", "v").alias("y")).where("x <> y")
@@ -58,11 +64,11 @@ def components(edges: DataFrame, heads: Callable[[Column], Column] | None = None
     else:
         raise RuntimeError("contraction did not end")
     labels = None
-    for step in reversed(maps):  # each table is met by those of the later rounds only, which shrink geometrically
+    for step, heavy in reversed(maps):  # each table is met by those of the later rounds only, which shrink geometrically
         if labels is None:
             labels = step.select(F.col("a").alias("vertex"), F.col("b").alias("label"))
             continue
-        through = skew_join(step, labels.select(F.col("vertex").alias("b"), F.col("label").alias("end")), ["b"], "left").select(F.col("a").alias("vertex"), F.coalesce("end", "b").alias("label"))
+        through = skew_join(step, labels.select(F.col("vertex").alias("b"), F.col("label").alias("end")), ["b"], "left", heavy=heavy).select(F.col("a").alias("vertex"), F.coalesce("end", "b").alias("label"))
         labels = cut(through.unionByName(labels))
     vertices = clean.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
     if labels is None:
@@ -80,11 +86,13 @@ def related_groups(records: DataFrame, id_col: str, ties: DataFrame) -> DataFram
     known = ties.where(F.col("key").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "kind", "key")
     # the hub of a key is a vertex of its own, named by the smallest id that has it: 8 kinds fit beside the ids
     hubs = known.groupBy("kind", "key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = skew_join(known, cut(hubs), ["kind", "key"]).select((F.col("id") * 8).alias("u"), (F.col("least") * 8 + F.col("kind")).alias("v"))
+    hubs = cut(hubs)
+    heavy = heavy_keys(hubs, "n", F.to_json(F.struct("kind", "key")))
+    edges = skew_join(known, hubs.drop("n"), ["kind", "key"], heavy=heavy).select((F.col("id") * 8).alias("u"), (F.col("least") * 8 + F.col("kind")).alias("v"))
     found = components(edges, lambda vertex: vertex % 8 != 0).where("vertex % 8 = 0").select(F.expr("vertex div 8").alias(id_col), "label")
     found = cut(found)
-    least = found.groupBy("label").agg(F.min(id_col).alias("group_id"))
-    grouped = skew_join(found, least, ["label"]).select(id_col, "group_id")
+    least = cut(found.groupBy("label").agg(F.min(id_col).alias("group_id"), F.count(F.lit(1)).alias("n")))
+    grouped = skew_join(found, least.drop("n"), ["label"], heavy=heavy_keys(least, "n", F.col("label"))).select(id_col, "group_id")
     return records.select(id_col).join(grouped, id_col, "left").select(id_col, F.coalesce("group_id", id_col).alias("group_id"))
 
 

@@ -33,7 +33,7 @@ def test_components(spark):
 
 
 def test_hub_that_holds_half_of_the_edges(spark, monkeypatch):
-    monkeypatch.setattr(splits, "HOT_DEGREE", 50)
+    monkeypatch.setattr(splits, "HOT_ROWS", 50)
     rng = random.Random(4)
     edges = [(0, i) for i in range(1, 800)] + [(1000 + rng.randrange(600), 1000 + rng.randrange(600)) for _ in range(400)] + [(799, 1000)]
     got = {r.vertex: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -52,6 +52,16 @@ def test_related_groups(spark):
     assert related_groups(records.where("false"), "row_id", ties.where("false")).count() == 0
 
 
+def test_key_and_group_of_a_third_of_the_records(spark, monkeypatch):
+    monkeypatch.setattr(splits, "HOT_ROWS", 40)
+    records = spark.range(300).withColumnRenamed("id", "row_id")
+    ties = records.selectExpr("row_id", "1 as kind", "if(row_id % 3 = 0, 'hot', concat('k', row_id div 6)) as key").unionByName(spark.createDataFrame([(0, 2, "x"), (7, 2, "x")], "row_id long, kind int, key string"))
+    got = {r.row_id: r.group_id for r in related_groups(records, "row_id", ties).collect()}
+    for i in range(300):
+        block = [j for j in range(i // 6 * 6, i // 6 * 6 + 6) if j % 3]
+        assert got[i] == (0 if i % 3 == 0 or 7 in block else min(block))
+
+
 def test_shares(spark):
     targets = spark.createDataFrame([("train", 0.8), ("test", 0.1), ("validation", 0.1)], "split_name string, target_share double")
     groups = spark.range(4000).selectExpr("id as group_id", "if(id = 0, 6000L, 1 + id % 5) as weight")
