@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strainloom.operators.skew import skew_join
@@ -50,9 +50,11 @@ def components(edges: DataFrame, heads: Callable[[Column], Column] | None = None
         both = now.select(F.inline(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))))
         is_head = heads if heads is not None and turn == 0 else (lambda c: _coin(c, turn))
         mate = F.when(~is_head(F.col("a")) & is_head(F.col("b")), F.col("b"))
-        around = cut(both.groupBy("a").agg(F.min(mate).alias("b"), F.count(F.lit(1)).alias("n")))  # combined before the shuffle
-        ends, most = around.agg(F.sum("n"), F.max("n")).first()
-        if not ends:
+        seen = Observation()
+        around = both.groupBy("a").agg(F.min(mate).alias("b"), F.count(F.lit(1)).alias("n"))  # combined before the shuffle
+        around = cut(around.observe(seen, F.max("n").alias("most")))
+        most = seen.get["most"]
+        if not most:
             break
         heavy = heavy_keys(around, "n", F.col("a")) if most > HOT_ROWS else []
         step = around.where("b is not null").select("a", "b")
@@ -64,12 +66,16 @@ def components(edges: DataFrame, heads: Callable[[Column], Column] | None = None
     else:
         raise RuntimeError("contraction did not end")
     labels = None
-    for step, heavy in reversed(maps):  # each table is met by those of the later rounds only, which shrink geometrically
+    for turn, (step, heavy) in enumerate(reversed(maps)):  # each table is met by those of the later rounds only, which shrink geometrically
         if labels is None:
             labels = step.select(F.col("a").alias("vertex"), F.col("b").alias("label"))
             continue
         through = skew_join(step, labels.select(F.col("vertex").alias("b"), F.col("label").alias("end")), ["b"], "left", heavy=heavy).select(F.col("a").alias("vertex"), F.coalesce("end", "b").alias("label"))
-        labels = cut(through.unionByName(labels))
+        labels = through.unionByName(labels)
+        if turn % 3 == 0:  # a short plan between written tables
+            labels = cut(labels)
+    if labels is not None:
+        labels = cut(labels)
     vertices = clean.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
     if labels is None:
         return vertices.select("vertex", F.col("vertex").alias("label"))
