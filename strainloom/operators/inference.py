@@ -20,8 +20,9 @@ from strainloom.session import cut
 def fit_glm(rows: DataFrame, response: str, terms: list[str], family: str, weight: str | None = None, steps: int = 25) -> list[tuple[str, float, float, float, float]]:
     """[(term, estimate, se, z, p)] of a binomial (logit) or poisson (log) model by iteratively reweighted least squares.
 
-    Each step is one Spark aggregate of the normal equations (terms squared sums), so no row leaves its task. Rows
-    with a null in a used column are left out; a singular or diverging fit raises ValueError.
+    Each step is one Spark aggregate of the normal equations (terms squared sums), so no row leaves its task; a step that
+    lowers the likelihood is halved. Rows with a null in a used column are left out; a singular or diverging fit raises
+    ValueError.
     """
     names = ["intercept", *terms]
     w0 = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -31,14 +32,20 @@ def fit_glm(rows: DataFrame, response: str, terms: list[str], family: str, weigh
     if family == "poisson":
         mean = data.agg(F.sum(F.col("y") * F.col("w")) / F.sum("w")).first()[0]
         beta[0] = math.log(mean) if mean and mean > 0 else 0.0
-    for _ in range(steps):
+    best, reached, left = beta, -math.inf, steps
+    while left:
         eta = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0))
         mu = 1 / (1 + F.exp(-eta)) if family == "binomial" else F.exp(F.least(eta, F.lit(50.0)))
         var = mu * (1 - mu) if family == "binomial" else mu
+        log_norm = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) if family == "binomial" else mu
         k = len(names)
-        got = data.agg(*[F.sum(F.col("w") * var * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(F.col("w") * (F.col("y") - mu) * F.col(f"x{i}")).alias(f"g{i}") for i in range(k)]).first()
+        got = data.agg(F.sum(F.col("w") * (F.col("y") * eta - log_norm)).alias("l"), *[F.sum(F.col("w") * var * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(F.col("w") * (F.col("y") - mu) * F.col(f"x{i}")).alias(f"g{i}") for i in range(k)]).first()
         if got["g0"] is None:
             raise ValueError("no rows to fit")
+        if not got["l"] >= reached - 1e-9 * abs(reached) and np.abs(beta - best).max() > 1e-10:
+            beta = best + (beta - best) / 2
+            continue
+        best, reached, left = beta, got["l"], left - 1
         h = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
         try:
             step = np.linalg.solve(h, np.array([got[f"g{i}"] for i in range(k)]))

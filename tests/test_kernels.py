@@ -55,6 +55,13 @@ def test_neighbour_joining_restores_distances():
     assert sum(length for *_, length in tree) == pytest.approx(sum(edges.values()))
 
 
+def test_poisson_fit_of_skewed_counts(spark):
+    """Counts in proportion to a skewed size: a whole first step overshoots to exp(50)."""
+    rows = spark.range(1, 2001).selectExpr("floor(4e6 / (id * id)) + 1 as y", "log1p(4e6 / (id * id)) as x")
+    fit = {t: e for t, e, *_ in I.fit_glm(rows, "y", ["x"], "poisson")}
+    assert fit["x"] == pytest.approx(1, abs=0.05) and fit["intercept"] == pytest.approx(0, abs=0.5)
+
+
 def test_fisher_and_haenszel(spark):
     df = spark.createDataFrame([(3, 1, 2, 4), (0, 0, 5, 5)], "a long, b long, c long, d long")
     p = [r.p for r in df.select(A.fisher_greater("a", "b", "c", "d").alias("p")).collect()]
