@@ -37,9 +37,10 @@ class Consensus:
 
 
 def replicate_similarities(rows: DataFrame, replicates: int, seed: int, size: int | str | None = None) -> DataFrame:
-    """(replicate, u, v, weight): cosine of the resampled counts of each pair that shares a cluster, u < v."""
-    drawn = draw_with_replacement(rows, "row_id", "node", replicates, seed, size)
-    counts = drawn.groupBy("replicate", "node", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    """(replicate, u, v, weight): cosine of the resampled counts of each pair that shares a cluster, u < v. The rows and
+    the counts are written, else each of their uses would plan (and in part run) the draws anew."""
+    drawn = draw_with_replacement(cut(rows), "row_id", "node", replicates, seed, size)
+    counts = cut(drawn.groupBy("replicate", "node", "cluster").agg(F.count(F.lit(1)).alias("n")))
     norms = counts.groupBy("replicate", "node").agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("s2"))
     a, b = counts.select("replicate", "cluster", F.col("node").alias("u"), F.col("n").alias("nu")), counts.select("replicate", "cluster", F.col("node").alias("v"), F.col("n").alias("nv"))
     dots = a.join(b, ["replicate", "cluster"]).where("u < v").groupBy("replicate", "u", "v").agg(F.sum(F.col("nu") * F.col("nv")).cast("double").alias("dot"))

@@ -39,6 +39,14 @@ def test_draw_sizes(spark):
     assert portable.draw_with_replacement(rows.where("false"), "row_id", "node", 2, 5).count() == 0
 
 
+@pytest.mark.parametrize("size", ["least", 5000])
+def test_draws_are_not_broadcast(spark, size):
+    """Draws of an asked number come from an exploded table, whose size Spark takes for that of its few groups."""
+    rows = spark.range(40).selectExpr("id as row_id", "if(id < 30, 'a', 'b') as node")
+    plan = draw_with_replacement(rows, "row_id", "node", 1000, 1, size)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortMergeJoin [node") < plan.index("Generate explode") and "BroadcastHashJoin" not in plan[: plan.index("Generate explode")]
+
+
 def test_permutation_keeps_strata(spark):
     rows = spark.createDataFrame([(i, i % 2 == 0, "s" if i % 5 else "t") for i in range(60)], "id long, label boolean, s string")
     got = A.permuted_within(rows, "id", "label", ["s"], 4, 1).join(rows.select("id", "s"), "id")
