@@ -183,3 +183,14 @@ def test_overlap_memory_does_not_grow_with_the_anchors():
     tracemalloc.stop()
     assert len(set(zip(r.tolist(), at.tolist()))) == len(r) == 800 * 3000 and d.max() <= 0.02
     assert peak < 400e6
+
+
+def test_index_is_compact():
+    """Of random profiles, each allele a run of its own, the index holds less than 22 bytes a locus."""
+    x = np.random.default_rng(2).integers(1, 900, (4000, 240)).astype(np.int16)
+    blob = SuffixIndex.dump(x)
+    tracemalloc.start()
+    index = SuffixIndex.load(blob, 240)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 22 * x.size and (index.x == x).all()
