@@ -43,11 +43,12 @@ def supported(s, d):
 
 
 def knn_results(s, d):
-    found = Q.searched(s, d)
-    near, p = found[1], cut(Q.proba(s, d, found[1]))
+    near = cut(Q.near(s, d))
+    p = cut(Q.proba(s, d, near))
+    per = K.nearest_of_labels(Q.labelled(s, d, Q.TEST), Q.labelled(s, d, Q.TRAIN), K.predictions(p), 3)
     truth = Q.labelled(s, d, Q.TEST).select(F.col("id").alias("query_id"), "label")
     names = read_table(s, d, Q.TRAIN).select(F.col("profile_id").alias("id"), F.col("barcode").alias("name"))
-    return K.results(near, p, Q.knn_trust(s, d, found), truth, names)
+    return K.results(near, p, K.trust(per, K.predictions(p)), truth, names)
 
 
 def loads(s, d):

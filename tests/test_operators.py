@@ -350,3 +350,22 @@ def test_rows_without_known_loci_meet_few():
     sides = np.zeros(403, int), np.minimum(np.arange(20_000), 9) // 3
     assert (K.k_nearest(y, x, 2, sides)[1][:800].reshape(-1, 2) == [3, 4]).all()
     assert set(K.k_nearest(y, x, 2, limit=np.full(403, 0.5))[0].tolist()) == {400, 401, 402}
+
+
+def test_rare_labels_count_whole(spark, monkeypatch):
+    """A label of two rows, one near and one far, has the mean of both as its distance, cell by cell as among all pairs."""
+    x = lineages(1500, 40, 11)
+    x[:2] = x[20], np.arange(40) + 2000
+    df = spark.createDataFrame([(i, r.tolist(), "z" if i < 2 else "ab"[i % 2]) for i, r in enumerate(x)], "id long, alleles array<short>, label string")
+    q = df.where("id % 3 = 2")
+    named = q.select(F.col("id").alias("query_id"), F.lit("a").alias("prediction"))
+
+    def got():
+        return sorted(map(tuple, K.trust(K.nearest_of_labels(q, df, named, 3), named).collect()))
+
+    want = got()
+    for name, v in (("DIRECT", 0), ("SAMPLE", 900)):
+        monkeypatch.setattr(K, name, v)
+    assert got() == want
+    with pytest.raises(ValueError):
+        K.nearest_of_labels(q, df, named, 2)
